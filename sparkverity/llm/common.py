@@ -80,3 +80,16 @@ def keep_rows(docs: DataFrame, mask: Callable[[], Callable[[pa.RecordBatch], lis
             yield batch.filter(pa.array(of(batch), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df as a compressed table in the shared folder, read back, and its path."""
+    path = new_dir(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of our own from the shared folder."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
