@@ -36,7 +36,7 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 SAMPLE = 4096
-SHARD_ROWS = 16_384
+SHARD_ROWS = 65_536
 LEAF = 48
 _BITS = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
