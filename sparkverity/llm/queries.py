@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkverity.llm import decontam, langid, licenses, simhash, toxicity, warc
+from sparkverity.llm import decontam, langid, licenses, mixing, pii, simhash, toxicity, warc
 from sparkverity.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,15 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the interleaved order."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -74,8 +83,10 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": op1_toxicity,
         "op3_license_scan": op3_license_scan,
         "op4_decontamination": op4_decontamination,
+        "op6_pii": op6_pii,
         "op7_language_id": op7_language_id,
         "op8_warc_chunks": op8_warc_chunks,
+        "op9_source_mixing": op9_source_mixing,
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
     }
 
