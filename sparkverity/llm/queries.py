@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkverity.llm import decontam, langid, licenses, mixing, pii, simhash, topk, toxicity, warc
+from sparkverity.llm import decontam, langid, licenses, mixing, pii, simhash, tokenout, topk, toxicity, warc
 from sparkverity.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenout.materialise(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -98,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_topk": op2_exact_topk,
         "op3_license_scan": op3_license_scan,
         "op4_decontamination": op4_decontamination,
+        "op5_token_output": op5_token_output,
         "op6_pii": op6_pii,
         "op7_language_id": op7_language_id,
         "op8_warc_chunks": op8_warc_chunks,
