@@ -111,6 +111,21 @@ class Inputs:
         return self.table(name) if name in TABLES else self.sql(f"SELECT * FROM {name}", name)
 
 
+def _rounded(sql: str) -> str:
+    """printf of a number, with the number rounded first: Java rounds decimal halves up, C binary ones."""
+    out, at = [], 0
+    for m in re.finditer(r"printf\('%\.(\d)f', ", sql):
+        if m.start() < at:
+            continue
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += [sql[at : m.end()], f"round({_rounded(sql[m.end() : end - 1])}, {m[1]}))"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def query(name: str, *views: str, sql: str | None = None) -> Callable:
     """Register a function of Inputs under a name, with SQL over the named views where there is some."""
 
@@ -118,7 +133,7 @@ def query(name: str, *views: str, sql: str | None = None) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: function(Inputs(spark, sf_dir))
         if sql is not None:
             prefix = _with(list(views), "duckdb")
-            text = sql.strip()
+            text = _rounded(sql.strip())
             if prefix and text[:5].upper() == "WITH ":
                 text = ", " + text[5:]
             SQL[name] = f"{prefix} {text}"
