@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkverity.session import new_dir, shared_dir
+
 #: A-Z to a-z, every other ASCII byte that is neither digit nor a-z to a blank. UTF-8 bytes
 #: from 0x80 stay, so splitting at blanks gives the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
 WORD_BYTES = bytes(
@@ -19,32 +19,11 @@ WORD_BYTES = bytes(
 #: Upper bound of one Arrow batch, so that long texts don't pile up in a Python worker.
 BATCH_BYTES = 16 << 20
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    if sc.applicationId not in _own_dirs:
-        _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(_own_dirs[sc.applicationId])
-    return _own_dirs[sc.applicationId]
-
-
-def new_dir(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; later steps survive lost executors."""
     shared_dir(df.sparkSession)

@@ -87,11 +87,11 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def mix(
+def _placed(
     docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD,
     bucket_rows: int = BUCKET_ROWS, temperature: float = TEMPERATURE,
 ) -> DataFrame:
-    """docs with mix_slot (the block's slot), mix_block (number in its source) and mix_position (within the block)."""
+    """_row (the document), _slot, _block and _position."""
     spark = docs.sparkSession
     rows = {r.k: r.n for r in docs.groupBy(_key(F.col("source")).alias("k")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(rows) > MAX_SOURCES:
@@ -124,9 +124,17 @@ def mix(
     here = F.expr("element_at(filter(phases, p -> _block >= p.b0 AND _block < p.b0 + p.n), 1)")
     placed = planned.select("_row", "_block", "_rank", here.alias("_p"))
     slot = F.expr("_p.t0 + (_block - _p.b0) div size(_p.slots) * _p.period + _p.slots[cast((_block - _p.b0) % size(_p.slots) AS int)]")
-    return placed.select("_row.*", slot.alias("mix_slot"), F.col("_block").alias("mix_block"), (F.col("_rank") % block_docs).cast("int").alias("mix_position"))
+    return placed.select("_row", slot.alias("_slot"), "_block", (F.col("_rank") % block_docs).cast("int").alias("_position"))
 
 
-def ordered(docs: DataFrame, **parameters) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, **parameters) -> DataFrame:
+    """docs with mix_slot (the block's slot), mix_block (number in its source) and mix_position (within
+    the block); columns of these names that docs already has are replaced."""
+    ours = ("mix_slot", "mix_block", "mix_position")
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ours))
+    return _placed(kept, weights, **parameters).select("_row.*", *(F.col(a).alias(b) for a, b in zip(("_slot", "_block", "_position"), ours, strict=True)))
+
+
+def ordered(docs: DataFrame, weights: dict[str | None, float] | None = None, **parameters) -> DataFrame:
     """The documents, whole, range-partitioned and sorted by slot: the interleaving as it is read."""
-    return mix(docs, **parameters).orderBy("mix_slot", "mix_position").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _placed(docs, weights, **parameters).orderBy("_slot", "_position").select("_row.*")

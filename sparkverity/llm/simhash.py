@@ -215,5 +215,5 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The documents, whole, that name their component; rows without an id also stay."""
     kept = near_duplicates(docs, **parameters).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    named = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
