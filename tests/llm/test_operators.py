@@ -341,7 +341,7 @@ def test_mixing_against_the_definition(spark):
         blocks.setdefault(r.mix_slot, []).append(r)
     assert sorted(blocks) == list(range(len(blocks))) and all(len({(r.source, r.mix_block) for r in b}) == 1 for b in blocks.values())
     assert all(sorted(r.mix_position for r in b) == list(range(len(b))) for b in blocks.values())
-    left, got = Counter(-(-sources.count(s) // 4) * [s] and {s: -(-sources.count(s) // 4) for s in weights}), Counter()
+    left, got = {s: -(-sources.count(s) // 4) for s in weights}, Counter()
     for t in sorted(blocks):
         got[blocks[t][0].source] += 1
         if any(got[s] >= left[s] for s in weights):
