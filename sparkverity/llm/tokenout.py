@@ -5,8 +5,8 @@ every document is cut into sequences of ``length`` ids. The sequences are writte
 shared folder with the number of their write task and their place in it; with the counts per task
 that gives each sequence an index in 0..N-1 that no later retry can change. A keyed Feistel
 permutation, walked until it lands below N (cycle-walking), turns the index into the sequence's
-global slot. Shard s holds the slots from s * per_shard on; sequences are partitioned by shard and
-a task writes one shard at a time, in slot order, each record ``stride`` bytes long:
+global slot. Shard s holds the slots from s * per_shard on. Sequences travel to their shard in packs, those
+of one batch and shard compressed together, and a task writes one shard at a time, in slot order, each record ``stride`` bytes long:
 
     4 bytes number of ids, 4 bytes CRC-32 of the ids as stored, then ``length`` ids of 2 bytes,
     unused ones 0xFFFF; little-endian
@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from sparkverity.llm.common import bounded_batches, new_dir, stored
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: For text in many languages; any other byte-level vocabulary of under 65,535 ids will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the public 50k vocabulary splits text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LENGTH = 512
-PER_SHARD = 4096
+LENGTH = 256
+PER_SHARD = 16_384
 HEADER = 8
 UNUSED = 0xFFFF
 ROUNDS = 6
@@ -108,7 +109,7 @@ def sequences(docs: DataFrame, *, length: int = LENGTH, vocabulary: str = VOCABU
                     at.append(k)
                     chunks.append(chunk)
                     sizes.append(len(own))
-                    payloads.append(zlib.compress(own.tobytes(), 1))
+                    payloads.append(own.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(at, pa.int64())), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary()),
                  pa.array([task] * len(at), pa.int32()), pa.array(range(place, place + len(at)), pa.int64())],
@@ -153,29 +154,40 @@ def materialise(
     to = to or new_dir(spark, "shards")
     rows, total = sequences(docs, length=length, vocabulary=vocabulary)
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["shard", "slots", "doc_ids", "chunks", "sizes", "pack"]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
         for batch in batches:
             slot = feistel(batch.column("index").to_numpy(), total, key)
-            columns = [batch.column(c) for c in ("doc_id", "chunk", "n_tokens", "payload")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(slot), pa.array(slot // per_shard)], names=["doc_id", "chunk", "n_tokens", "payload", "slot", "shard"])
+            order = np.argsort(slot, kind="stable")
+            slot, batch = slot[order], batch.take(pa.array(order))
+            edges = np.concatenate([np.unique(slot // per_shard, return_index=True)[1], [len(slot)]]).astype(np.int32)
+            payload = batch.column("payload").to_pylist()
+            packs = [codec.compress(b"".join(payload[a:b]), asbytes=True) for a, b in zip(edges, edges[1:], strict=False)]
+            lists = [pa.ListArray.from_arrays(pa.array(edges), x) for x in (pa.array(slot), *(batch.column(c) for c in ("doc_id", "chunk", "n_tokens")))]
+            yield pa.RecordBatch.from_arrays([pa.array(slot[edges[:-1]] // per_shard), *lists, pa.array(packs, pa.binary())], names=names)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         store, folder = fs.FileSystem.from_uri(to)
         store.create_dir(folder, recursive=True)
-        pdf = pdf.sort_values("slot", kind="stable")
-        shard = int(pdf["shard"].iloc[0])
-        draft, crc = f"{folder}/draft-{uuid.uuid4().hex}", []
+        codec, rows = pa.Codec("zstd"), []
+        for r in pdf.itertuples():
+            plain, at = codec.decompress(r.pack, 2 * int(sum(r.sizes)), asbytes=True), 0
+            for slot, doc_id, chunk, n in zip(r.slots, r.doc_ids, r.chunks, r.sizes, strict=True):
+                rows.append((int(slot), doc_id, chunk, n, plain[at : at + 2 * n]))
+                at += 2 * n
+        rows.sort(key=lambda t: t[0])
+        shard, draft = int(pdf["shard"].iloc[0]), f"{folder}/draft-{uuid.uuid4().hex}"
         with store.open_output_stream(draft, compression=None) as out:
-            for payload in pdf["payload"]:
-                plain = zlib.decompress(payload)
-                crc.append(zlib.crc32(plain))
-                out.write(record(plain, length))
+            for r in rows:
+                out.write(record(r[4], length))
         store.move(draft, f"{folder}/shard-{shard:08d}.bin")
         return pd.DataFrame({
-            "slot": pdf["slot"], "doc_id": pdf["doc_id"], "chunk": pdf["chunk"], "n_tokens": pdf["n_tokens"],
-            "shard": pdf["shard"], "byte_offset": pdf["slot"] % per_shard * stride(length), "crc32": crc,
+            "slot": [r[0] for r in rows], "doc_id": pd.Series([r[1] for r in rows], dtype=object), "chunk": [r[2] for r in rows], "n_tokens": [r[3] for r in rows],
+            "shard": shard, "byte_offset": [r[0] % per_shard * stride(length) for r in rows], "crc32": [zlib.crc32(r[4]) for r in rows],
         })
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    placed = rows.mapInArrow(place, f"doc_id {kind}, chunk int, n_tokens int, payload binary, slot long, shard long")
-    return placed.groupBy("shard").applyInPandas(write, f"slot long, doc_id {kind}, chunk int, n_tokens int, shard long, byte_offset long, crc32 long")
+    packed = rows.mapInArrow(place, f"shard long, slots array<long>, doc_ids array<{kind}>, chunks array<int>, sizes array<int>, pack binary")
+    return packed.groupBy("shard").applyInPandas(write, f"slot long, doc_id {kind}, chunk int, n_tokens int, shard long, byte_offset long, crc32 long")
