@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 BLOCK_DOCS = 32
 PERIOD = 1024
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 TEMPERATURE = 0.5
 MAX_SOURCES = 256
 
