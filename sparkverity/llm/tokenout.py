@@ -44,6 +44,8 @@ PER_SHARD = 16_384
 HEADER = 8
 UNUSED = 0xFFFF
 ROUNDS = 6
+#: Counts of up to so many write tasks (16 bytes each) are sent to all tasks; of more they are joined by shuffle.
+BROADCAST_TASKS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -121,10 +123,11 @@ def sequences(docs: DataFrame, *, length: int = LENGTH, vocabulary: str = VOCABU
     rows, _ = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk int, n_tokens int, payload binary, task int, place long"), "tokens")
     counts = rows.groupBy("task").agg(F.count("*").alias("n"))
     before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))  # a row per write task
-    total = rows.count()
-    return rows.join(before.hint("shuffle_hash") if total > 1 << 40 else F.broadcast(before), "task").select(
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("tasks")).first()
+    before = F.broadcast(before) if sums.tasks <= BROADCAST_TASKS else before.hint("merge")
+    return rows.join(before, "task").select(
         "doc_id", "chunk", "n_tokens", "payload", (F.col("before") + F.col("place")).alias("index")
-    ), total
+    ), sums.total
 
 
 def stride(length: int = LENGTH) -> int:
