@@ -61,10 +61,10 @@ def keep_rows(docs: DataFrame, mask: Callable[[], Callable[[pa.RecordBatch], lis
     return docs.mapInArrow(run, docs.schema)
 
 
-def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, what: str, level: int = 3) -> tuple[DataFrame, str]:
     """df as a compressed table in the shared folder, read back, and its path."""
     path = new_dir(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

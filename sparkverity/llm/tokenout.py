@@ -40,7 +40,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the public 50k vocabulary splits text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH = 256
-PER_SHARD = 16_384
+PER_SHARD = 65_536
+ZSTD_LEVEL = 9
 HEADER = 8
 UNUSED = 0xFFFF
 ROUNDS = 6
@@ -120,7 +121,7 @@ def sequences(docs: DataFrame, *, length: int = LENGTH, vocabulary: str = VOCABU
             place += len(at)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, _ = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk int, n_tokens int, payload binary, task int, place long"), "tokens")
+    rows, _ = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk int, n_tokens int, payload binary, task int, place long"), "tokens", level=ZSTD_LEVEL)
     counts = rows.groupBy("task").agg(F.count("*").alias("n"))
     before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))  # a row per write task
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("tasks")).first()
@@ -161,7 +162,7 @@ def materialise(
     names = ["shard", "slots", "doc_ids", "chunks", "sizes", "pack"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 3)
+        codec = pa.Codec("zstd", ZSTD_LEVEL)
         for batch in batches:
             slot = feistel(batch.column("index").to_numpy(), total, key)
             order = np.argsort(slot, kind="stable")
