@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,11 +18,16 @@ def bits_to_hex(bits: Column) -> Column:
     return F.lower(F.lpad(F.conv(bits, 2, 16), 16, "0"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hash_bits(coefficients: Column) -> Column:
     """64 coefficients to bits: above the median (the mean of the two middle values) or not."""
-    ordered = F.array_sort(coefficients)
-    median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
-    return F.array_join(F.transform(coefficients, lambda x: F.when(x > median, "1").otherwise("0")), "")
+    ordered = F.sort_array(coefficients)
+    both = F.struct(coefficients.alias("c"), ((F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2).alias("m"))
+    return let(both, lambda s: F.array_join(F.transform(s["c"], lambda x: F.when(x > s["m"], "1").otherwise("0")), ""))
 
 
 def half(hex16: Column, which: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkverity.functions import image as I
 from sparkverity.functions import text as T
+from sparkverity.functions.hashing import let
 
 #: Fixed values of the keyword predictor: keyword, code, probability, in table order.
 KEYWORDS = [
@@ -36,9 +37,12 @@ def keyword_predictions(text: Column) -> Column:
 
 def code_check(text: Column, top_k: int = 5) -> Column:
     """Struct of success, match_score, status, num_icds, predicted and explanation."""
-    predicted = F.slice(keyword_predictions(text), 1, top_k)
-    score = F.round(F.array_max(F.transform(predicted, lambda p: p["prob"])), 4)
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    top = F.slice(keyword_predictions(text), 1, top_k)
+    found = let(top, lambda p: F.struct(p.alias("p"), F.round(F.array_max(F.transform(p, lambda x: x["prob"])), 4).alias("s"), (F.coalesce(F.trim(text), F.lit("")) == "").alias("blank")))
+    return let(found, lambda f: _checked(f["p"], f["s"], f["blank"]))
+
+
+def _checked(predicted: Column, score: Column, blank: Column) -> Column:
     status = F.when(blank, "error").when(score >= 0.8, "valid").when(score >= 0.6, "uncertain").otherwise("flagged")
     return F.struct(
         (~blank).alias("success"), F.when(blank, 0.0).otherwise(score).alias("match_score"), status.alias("status"),

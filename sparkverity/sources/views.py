@@ -61,8 +61,8 @@ FROM hash_bits""",
 }
 #: Spark and DuckDB write lambdas differently.
 HASH_BITS = {
-    "spark": """SELECT vec_id, array_join(transform(embedding, x -> CASE WHEN x > m THEN '1' ELSE '0' END), '') AS bits FROM
- (SELECT vec_id, embedding, (element_at(array_sort(embedding), 32) + element_at(array_sort(embedding), 33)) / 2 AS m FROM embeddings)""",
+    "spark": """SELECT vec_id, element_at(transform(array(named_struct('e', embedding, 'm', (element_at(sort_array(embedding), 32) + element_at(sort_array(embedding), 33)) / 2)),
+ s -> array_join(transform(s.e, x -> CASE WHEN x > s.m THEN '1' ELSE '0' END), '')), 1) AS bits FROM embeddings""",
     "duckdb": """SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), '') AS bits FROM
  (SELECT vec_id, embedding, (list_sort(embedding)[32] + list_sort(embedding)[33]) / 2 AS m FROM embeddings)""",
 }
