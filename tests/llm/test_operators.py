@@ -330,6 +330,36 @@ def test_one_period_keeps_windows():
             assert all(j * 128 // a <= t < -(-(j + 1) * 128 // a) for j, t in enumerate(own))
 
 
+@pytest.mark.parametrize("n", [20, 200, 400])
+def test_schedule_is_within_one_block_at_any_length(n):
+    rng = random.Random(n)
+    weights = [0.5] + [0.5 / (n - 1)] * (n - 1) if n != 400 else [rng.random() + 0.001 for _ in range(n)]
+    blocks = [8_000] + [rng.randint(0, 200) for _ in range(n - 1)]
+    slots = mixing.schedule(blocks, weights)
+    assert [len(s) for s in slots] == blocks and sorted(t for s in slots for t in s.tolist()) == list(range(sum(blocks)))
+    owner = np.empty(sum(blocks), np.int64)
+    for k, own in enumerate(slots):
+        owner[own] = k
+    got, fluid = np.zeros(n), np.zeros(n)
+    for k in owner:  # the fluid schedule, slot by slot: every source at its weight among those left
+        left = 1.0
+        while left > 1e-12:
+            rate = np.where(np.array(blocks) - fluid > 1e-9, weights, 0.0)
+            rate /= rate.sum()
+            step = min([left, *((np.array(blocks) - fluid)[rate > 0] / rate[rate > 0])])
+            fluid, left = fluid + step * rate, left - step
+            if fluid.sum() > sum(blocks) - 1e-6:
+                break
+        got[k] += 1
+        assert abs(got - fluid).max() < 1 + 1e-6
+
+
+def test_mixing_of_many_sources(spark):
+    docs = documents(spark, ["t"] * 1500, source=["big"] * 900 + [f"s{k % 300}" for k in range(600)])
+    rows = mixing.mix(docs, block_docs=2).collect()
+    assert len(rows) == 1500 and {r.mix_slot for r in rows} == set(range(450 + 300))
+
+
 def test_mixing_against_the_definition(spark):
     sources = ["big"] * 400 + ["mid"] * 120 + ["low"] * 45 + [None] * 20
     docs = documents(spark, ["t"] * len(sources), source=sources)
