@@ -38,9 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token shards in training order; a row per sequence says where it lies."""
+    """Write token shards in training order, sources dealt by their mixing weights; a row per sequence says where it lies."""
     ship(spark)
-    return tokenout.materialise(docs)
+    return tokenout.materialise(docs, weights={k: w for k, (_, w) in mixing.targets(docs).items()})
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -5,7 +5,11 @@ every document is cut into sequences of ``length`` ids. The sequences are writte
 shared folder with the number of their write task and their place in it; with the counts per task
 that gives each sequence an index in 0..N-1 that no later retry can change. A keyed Feistel
 permutation, walked until it lands below N (cycle-walking), turns the index into the sequence's
-global slot. Shard s holds the slots from s * per_shard on. Sequences travel to their shard in packs, those
+global slot. With weights the index and the permutation are those of the sequence's source, and the
+permuted sequences of every source are dealt, in blocks of ``block``, into the slots by the mixing
+schedule (``mixing.schedule``): any stretch of slots holds the sources by their weights, within two
+blocks of each, as long as none has run out. That doesn't rest on the order in which rows are read.
+The driver makes the schedule and sends a start (8 bytes) per block. Shard s holds the slots from s * per_shard on. Sequences travel to their shard in packs, those
 of one batch and shard compressed together, and a task writes one shard at a time, in slot order, each record ``stride`` bytes long:
 
     4 bytes number of ids, 4 bytes CRC-32 of the ids as stored, then ``length`` ids of 2 bytes,
@@ -24,6 +28,7 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkverity.llm.common import bounded_batches, new_dir, stored
+from sparkverity.llm.mixing import BLOCK_DOCS, schedule, source_key
 
 #: For text in many languages; any other byte-level vocabulary of under 65,535 ids will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -92,8 +98,9 @@ def feistel(index: np.ndarray, total: int, key: int, *, back: bool = False) -> n
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, *, length: int = LENGTH, vocabulary: str = VOCABULARY) -> tuple[DataFrame, int]:
-    """The stored sequences (doc_id, chunk, n_tokens, payload, task, place) with their index, and how many there are."""
+def sequences(docs: DataFrame, *, by_source: bool = False, length: int = LENGTH, vocabulary: str = VOCABULARY) -> tuple[DataFrame, dict[str, int]]:
+    """The stored sequences (part, doc_id, chunk, n_tokens, payload) with their index within the part, and
+    how many each part has. A part is a source, or else all there is."""
     spark = docs.sparkSession
     bounded_batches(spark)
 
@@ -101,11 +108,11 @@ def sequences(docs: DataFrame, *, length: int = LENGTH, vocabulary: str = VOCABU
         from pyspark import TaskContext
 
         encode, end = encoder(vocabulary)
-        task, place = TaskContext.get().partitionId(), 0
+        task, place = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            ids = batch.column("doc_id")
-            at, chunks, sizes, payloads = [], [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            ids, parts = batch.column("doc_id"), batch.column("part")
+            at, chunks, sizes, payloads, places = [], [], [], [], []
+            for k, (text, part) in enumerate(zip(batch.column("text").to_pylist(), parts.to_pylist(), strict=True)):
                 tokens = np.array([*(encode.encode_ordinary(text) if text else ()), end], np.uint16)
                 for chunk, start in enumerate(range(0, len(tokens), length)):
                     own = tokens[start : start + length]
@@ -113,22 +120,37 @@ def sequences(docs: DataFrame, *, length: int = LENGTH, vocabulary: str = VOCABU
                     chunks.append(chunk)
                     sizes.append(len(own))
                     payloads.append(own.tobytes())
+                    places.append(place[part])
+                    place[part] += 1
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at, pa.int64())), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary()),
-                 pa.array([task] * len(at), pa.int32()), pa.array(range(place, place + len(at)), pa.int64())],
-                names=["doc_id", "chunk", "n_tokens", "payload", "task", "place"],
+                [ids.take(pa.array(at, pa.int64())), parts.take(pa.array(at, pa.int64())), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary()),
+                 pa.array([task] * len(at), pa.int32()), pa.array(places, pa.int64())],
+                names=["doc_id", "part", "chunk", "n_tokens", "payload", "task", "place"],
             )
-            place += len(at)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, _ = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk int, n_tokens int, payload binary, task int, place long"), "tokens", level=ZSTD_LEVEL)
-    counts = rows.groupBy("task").agg(F.count("*").alias("n"))
-    before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))  # a row per write task
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("tasks")).first()
-    before = F.broadcast(before) if sums.tasks <= BROADCAST_TASKS else before.hint("merge")
-    return rows.join(before, "task").select(
-        "doc_id", "chunk", "n_tokens", "payload", (F.col("before") + F.col("place")).alias("index")
-    ), sums.total
+    parted = docs.select("doc_id", "text", (source_key(F.col("source")) if by_source else F.lit("")).alias("part"))
+    rows, _ = stored(parted.mapInArrow(run, f"doc_id {kind}, part string, chunk int, n_tokens int, payload binary, task int, place long"), "tokens", level=ZSTD_LEVEL)
+    counts = rows.groupBy("part", "task").agg(F.count("*").alias("n"))
+    before = counts.select("part", "task", (F.sum("n").over(Window.partitionBy("part").orderBy("task")) - F.col("n")).alias("before"))  # a row per part and write task
+    sums = {r.part: r for r in counts.groupBy("part").agg(F.sum("n").alias("total"), F.count("*").alias("tasks")).collect()}
+    before = F.broadcast(before) if sum(r.tasks for r in sums.values()) <= BROADCAST_TASKS else before.hint("merge")
+    return rows.join(before, ["part", "task"]).select(
+        "part", "doc_id", "chunk", "n_tokens", "payload", (F.col("before") + F.col("place")).alias("index")
+    ), {k: r.total for k, r in sums.items()}
+
+
+def starts(totals: dict[str, int], weights: dict[str, float] | None, block: int) -> dict[str, np.ndarray]:
+    """Per part the first slot of each of its blocks."""
+    parts = sorted(totals)
+    if len(parts) < 2:
+        return {k: np.arange(0, totals[k], block) for k in parts}
+    slots = schedule([-(-totals[k] // block) for k in parts], [weights[k] for k in parts])
+    sizes = np.full(sum(map(len, slots)), block)
+    for k, own in zip(parts, slots, strict=True):
+        sizes[own[-1]] = totals[k] - (len(own) - 1) * block
+    first = np.cumsum(sizes) - sizes
+    return {k: first[own] for k, own in zip(parts, slots, strict=True)}
 
 
 def stride(length: int = LENGTH) -> int:
@@ -151,12 +173,15 @@ def read_slot(store: fs.FileSystem, folder: str, slot: int, *, length: int = LEN
 
 
 def materialise(
-    docs: DataFrame, to: str | None = None, *, key: int = 2024, length: int = LENGTH, per_shard: int = PER_SHARD, vocabulary: str = VOCABULARY
+    docs: DataFrame, to: str | None = None, *, weights: dict[str, float] | None = None, key: int = 2024, length: int = LENGTH,
+    per_shard: int = PER_SHARD, block: int = BLOCK_DOCS, vocabulary: str = VOCABULARY,
 ) -> DataFrame:
-    """Write the shards; a row per sequence: slot, doc_id, chunk, n_tokens, shard, byte_offset and crc32."""
+    """Write the shards; a row per sequence: slot, doc_id, chunk, n_tokens, shard, byte_offset and crc32.
+    weights: of every source_key; without, all slots are one permutation."""
     spark = docs.sparkSession
     to = to or new_dir(spark, "shards")
-    rows, total = sequences(docs, length=length, vocabulary=vocabulary)
+    rows, totals = sequences(docs, by_source=weights is not None, length=length, vocabulary=vocabulary)
+    sent = spark.sparkContext.broadcast(starts(totals, weights, block))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["shard", "slots", "doc_ids", "chunks", "sizes", "pack"]
@@ -164,7 +189,12 @@ def materialise(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", ZSTD_LEVEL)
         for batch in batches:
-            slot = feistel(batch.column("index").to_numpy(), total, key)
+            index, parts = batch.column("index").to_numpy(), batch.column("part").dictionary_encode()
+            own, slot = parts.indices.to_numpy(), np.zeros(len(index), np.int64)
+            for k, part in enumerate(parts.dictionary.to_pylist()):
+                here = own == k
+                turn = feistel(index[here], totals[part], key ^ zlib.crc32(part.encode()))
+                slot[here] = sent.value[part][turn // block] + turn % block
             order = np.argsort(slot, kind="stable")
             slot, batch = slot[order], batch.take(pa.array(order))
             edges = np.concatenate([np.unique(slot // per_shard, return_index=True)[1], [len(slot)]]).astype(np.int32)

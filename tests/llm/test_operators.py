@@ -203,6 +203,21 @@ def test_token_shards_round_trip(spark):
     assert tokenout.materialise(docs.limit(0)).count() == 0
 
 
+def test_token_slots_follow_the_mix(spark):
+    sources = ["big"] * 1200 + ["mid"] * 300 + [None] * 80
+    docs = documents(spark, ["some text"] * len(sources), source=sources)
+    weights = {k: w for k, (_, w) in mixing.targets(docs).items()}
+    rows = tokenout.materialise(docs, weights=weights, block=4, per_shard=128).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and len(rows) == len(sources)
+    assert Counter(r.doc_id for r in rows) == Counter(range(len(sources)))
+    of = [sources[r.doc_id] for r in sorted(rows, key=lambda r: r.slot)]
+    total = sum(weights.values())
+    for start in range(0, 300, 20):  # no source has run out
+        part = Counter(of[start : start + 100])
+        for k, w in weights.items():
+            assert abs(part[None if k == "null" else k[1:]] - 100 * w / total) <= 3 * 4
+
+
 # -- 6
 
 def brute_spans(text):

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__ as entry
-from sparkverity.llm import decontam, langid, simhash
+from sparkverity.llm import decontam, langid, mixing, simhash
 from sparkverity.llm.common import table
 from tests.compare import connect, differences
 
@@ -19,6 +23,23 @@ def test_pipeline_is_the_chain_of_its_stages(spark):
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
 
 
+def test_training_order_follows_the_mix(spark):
+    rows = sorted(corpus_pipeline.run(spark, FOLDER).collect(), key=lambda r: r.slot)
+    source = {r.doc_id: r.source for r in table(spark, FOLDER, "documents").collect()}
+    docs = table(spark, FOLDER, "documents").where(F.col("doc_id").isin(list({r.doc_id for r in rows})))
+    weights = {k[1:]: w for k, (_, w) in mixing.targets(docs).items()}
+    of, total = [source[r.doc_id] for r in rows], sum(weights.values())
+    left = Counter(of)
+    for at, own in enumerate(of, 1):
+        left[own] -= 1
+        if not left[own]:
+            break
+        if at % 32 == 0:
+            got = Counter(of[:at])
+            assert all(abs(got[k] - at * w / total) < 2 * 32 for k, w in weights.items())
+    assert len(weights) > 1 and at > 64
+
+
 def test_stages_keep_columns(spark):
     docs = table(spark, FOLDER, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
