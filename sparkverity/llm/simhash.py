@@ -213,7 +213,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents, whole, that name their component; rows without an id also stay."""
-    kept = near_duplicates(docs, **parameters).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """The documents, whole, that name their component; rows without an id also stay. A row is known by
+    its doc_id and a hash of all its columns, so rows of one doc_id but other texts are documents apart."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(*columns).alias("row")))
+    named = near_duplicates(docs.select(key.alias("doc_id"), "text"), **parameters).where(F.col("doc_id") == F.col("component_id"))
+    kept = named.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.row").alias("_row")).distinct()
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64(*columns).alias("_row"))
+    once = rows.join(kept.hint("merge"), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("_doc.*")
+    return once.unionByName(docs.where("doc_id IS NULL"))

@@ -489,3 +489,9 @@ def test_simhash_awkward(spark):
     assert by_id[0].fingerprint == by_id[1].fingerprint == "0" * 16 and by_id[2].component_id == 0 and by_id[8].component_id == 7
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert Counter(r.doc_id for r in simhash.keep_one(docs).collect())[None] == 1
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    texts = [" ".join(f"w{random.Random(k).randint(0, 10**6) + i}" for i in range(50)) for k in range(4)]
+    docs = documents(spark, [*texts, texts[1]]).withColumn("doc_id", F.expr("CASE WHEN doc_id < 3 THEN 5L ELSE doc_id END"))
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs.union(docs)).collect()) == Counter([(5, texts[0]), (5, texts[2]), (3, texts[3]), (4, texts[1])])
