@@ -1,133 +1,191 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney bigram models, one over toxic and one over ordinary training texts, rest
-on continuation counts: a word counts at its first place in a text, and once for each different pair
-of words before it; a bigram once for each different word before it. Copies of a text and repetition
-within one thus add nothing. What absolute discounting takes from it goes to a lowest order that
-both classes share: continuation counts (how many different words precede a word) pooled over the
-classes, within bins of about equally common words. The discount grows with the size of a class, so
-both classes discount the same relative frequency; a rare or unseen expression is left to the shared
-counts in both models and its log-likelihood ratio stays near zero, while a common one that a class
-never uses costs that class dearly. A small share of the pooled model in both bounds what a single
-word can say. A word's ratio counts as far as it exceeds what chance explains, and is taken against the median over the text, which holds what language and topic
-say rather than single expressions. A text's ratio, normalised by its number of different words (and by its root), is
-calibrated to a probability by logistic regression on training texts whose own counts are taken out
-of the models first.
-
-All counts come from all training rows. What travels to the tasks has fixed bounds: the
-``vocabulary`` commonest words (others share one place) and ``cells`` hashed bigram cells that
-hold bigrams seen at least twice. Only the calibration is fitted on a bounded sample of about
-``calibration_rows`` labelled rows.
+Two models, of toxic and of ordinary training texts, give every word a likelihood byte by byte, from
+its whole history within the word (up to ``ORDER`` bytes, the end of the word counts as one). That
+learns whole words and stems alike: of a family of words that share a stem, most are rare, but the
+stem isn't. Counts are those of Kneser-Ney's lower orders: a word counts in a class once for each
+different word before it, and not more often than there are texts that hold it, so neither
+repetition within a text nor copies of a text add up.
+
+    P_c(b | h) = max(n_c(hb) - D_c(hb), 0) / n_c(h) + l_c(h) n(hb) / n(h)
+
+n_c are counts of class c, n those pooled over both; l_c(h) is what discounting takes from the
+continuations of h, and goes to the pooled counts that both classes share. The discount of a count is
+``DISCOUNT`` and ``ERRORS`` standard errors of the count expected in the smaller class, by the ratio of
+their sizes larger in the larger class, so that both classes discount the same relative frequency.
+Rare expressions are thereby left to the shared counts, and their likelihoods don't differ. A share
+``POOL`` of the pooled model in both bounds what one word can say.
+
+A text is scored by the log-likelihood ratio of its different words: each counts as far as it exceeds
+``EXCESS``, and their sum is normalised by the root of their number. Logistic regression, fitted on a
+bounded sample of about ``calibration_rows`` training rows, whose own counts are taken out of the
+models first, makes a probability of it. All other counts come from all training rows.
+
+A history whose counts (or those of a part of it) don't exceed their discounts says nothing, and is
+left out; no result changes by it. The others are counted: up to ``broadcast_nodes`` go to all tasks,
+more stay a table that the words of all texts are joined with. Words are single; an expression
+of several common words isn't learned.
 
 Defined results: a null or wordless text has ratio zero and gets the score of that; labels with a
-null toxic or doc_id are ignored; repeated documents and labels count as often as they occur;
-without training rows of both classes every score is 0 (or 1, if all are toxic); other columns
-are ignored.
+null toxic or doc_id are ignored; repeated documents and labels count as often as they occur (a word
+not oftener than words before it); without training rows of both classes every score is 0 (or 1, if
+all are toxic); other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from zlib import crc32
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from sparkverity.llm.common import as_bytes, bounded_batches, remainder, remove, stored, words
 
-VOCABULARY = 1 << 16
-CELLS = 1 << 20
-CALIBRATION_ROWS = 20_000
-#: Absolute discount in the smaller class; in the larger one it is larger by the ratio of their counts.
-DISCOUNT = 4.0
+ORDER = 32
+CALIBRATION_ROWS = 8_000
+DISCOUNT = 2.0
+ERRORS = 3.5
+POOL = 0.02
+EXCESS = 1.0
 THRESHOLD = 0.7
-#: A text's usual ratio is the median over its words and so many zeros.
-SHORT = 9
-#: A word's ratio counts as far as it exceeds so many standard errors.
-ERRORS = 2.0
-#: Share of the pooled model in either class model; bounds the ratio of a single word.
-POOL = 0.05
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: About 150 bytes each in a Python worker.
+BROADCAST_NODES = 1_000_000
+#: Ratios of so many words are remembered in a task.
+CACHE = 200_000
 
 
-def cell(v: np.ndarray, w: np.ndarray, cells: int = CELLS) -> np.ndarray:
-    key = (v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
-    key = (key ^ (key >> np.uint64(29))) * _MIX
-    return ((key ^ (key >> np.uint64(32))) % np.uint64(cells)).astype(np.int64)
+def histories(word: bytes) -> list[bytes]:
+    """All beginnings of a word, the empty one first, the word with its end last."""
+    marked = word[:ORDER] + b" " if len(word) < ORDER else word[:ORDER]
+    return [marked[:k] for k in range(len(marked) + 1)]
 
 
 @dataclass
 class Model:
-    """Counts of class 0 (ordinary) and 1 (toxic); rows of two-row arrays are the classes."""
-
-    ids: dict[bytes, int]
-    unigram: np.ndarray  # 2 x words: continuation counts; the last word stands for all others
-    shared: np.ndarray  # different words before each word, in either class
-    bigram: np.ndarray  # 2 x cells: continuation counts
-    context: np.ndarray  # 2 x words: how often a word is followed by another
-    kept: np.ndarray  # 2 x words: discounted mass of the bigrams in cells
-    discount: np.ndarray  # of each class
-    calibration: np.ndarray | None = None
-    limits: np.ndarray | None = None  # features are held between these two rows
+    """Counts (class 0: ordinary, 1: toxic) of the histories that say something, and what is fitted to them."""
+
+    total: tuple[float, float] = (0.0, 0.0)
+    place: dict[bytes, int] = field(default_factory=dict)  # history: row of counts
+    counts: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))  # n_0, n_1, discounted mass of the continuations in 0 and 1
+    slope: tuple[float, float] | None = None
     prior: float = 0.0
 
     def __post_init__(self):
-        self.total = self.unigram.sum(1)
-        bins = np.log2(self.unigram.sum(0) + 1.0).astype(np.int64)
-        of = lambda x: np.bincount(bins, x, minlength=bins.max() + 1)[bins]
-        expected = self.unigram.sum(0) * self.total[:, None] / max(self.total.sum(), 1.0)
-        #: What a word's ratio may be by chance, were it equally frequent in both classes.
-        self.doubt = ERRORS * np.sqrt((1.0 / (expected + 0.5)).sum(0))
-        taken = np.minimum(self.unigram, self.discount[:, None])
-        #: What each class's words leave to the shared order, dealt within their bin.
-        self.lower = np.stack([(of(t) + 0.5) * self.shared / of(self.shared) for t in taken]) / np.maximum(self.total, 1.0)[:, None]
-        self.backoff = np.where(self.context > 0, 1.0 - self.kept / np.maximum(self.context, 1), 1.0).clip(1e-6, 1.0)
-        self.known = len(self.unigram[0]) - 1
-
-    def numbers(self, text: bytes | None) -> np.ndarray:
-        get, other = self.ids.get, self.known
-        return np.array([get(x, other) for x in words(text)], np.int64)
-
-    def log_ratio(self, text: bytes | None, own_class: int = -1) -> tuple[float, int]:
-        """Sum of log-likelihood ratios of a text's different words, each at its first place, and their
-        number; with a class, as if the text hadn't been counted in it."""
-        w = self.numbers(text)
-        if not len(w):
-            return 0.0, 0
-        place = np.unique(w, return_index=True)[1]
-        start = np.nonzero(place == 0)[0]
-        before, w = w[np.maximum(place - 1, 0)], w[place]
-        probability = []
-        for c in (0, 1):
-            n = self.unigram[c][w]
-            pairs, contexts = self.bigram[c][cell(before, w, self.bigram.shape[1])], self.context[c][before]
-            if c == own_class:
-                n, pairs, contexts = n - 1, pairs - 1, contexts - 1
-            p = np.maximum(n - self.discount[c], 0.0) / max(self.total[c], 1.0) + self.lower[c][w]
-            seen = contexts > 0
-            seen[start] = False  # nothing stands before the first word
-            pair = np.maximum(pairs - self.discount[c], 0.0) / np.maximum(contexts, 1.0)
-            p = np.where(seen, pair + self.backoff[c][before] * p, p)
-            probability.append(np.maximum(p, 1e-12))
-        pool = POOL * (self.total[:, None] * probability).sum(0) / max(self.total.sum(), 1.0)
-        ordinary, toxic = ((1.0 - POOL) * p + pool for p in probability)
-        ratio = np.log(toxic / ordinary)
-        ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - self.doubt[w], 0.0)
-        usual = np.median(np.concatenate([ratio, np.zeros(SHORT)]))
-        return float((ratio - usual).sum()), len(w)
-
-    def score(self, text: bytes | None) -> float:
-        if self.calibration is None:
-            return self.prior
-        return float(1.0 / (1.0 + np.exp(-np.clip(np.clip(features(*self.log_ratio(text)), *self.limits) @ self.calibration, -30.0, 30.0))))
-
-
-def features(ratio: float, n: int) -> np.ndarray:
-    return np.array([ratio / max(n, 1), ratio / max(n, 1) ** 0.5 / 10.0, 1.0])
+        self.table: dict[bytes, tuple[float, float]] | None = None
+        self.cache: dict[bytes, float] = {}
+
+    @property
+    def toxic_share(self) -> float:
+        return self.total[1] / max(sum(self.total), 1.0)
+
+    def discounts(self, n: np.ndarray) -> np.ndarray:
+        """Discounts in both classes of histories with the pooled counts n."""
+        least = max(min(self.total), 1.0)
+        base = DISCOUNT + ERRORS * np.sqrt(n * least / max(sum(self.total), 1.0))
+        return base[..., None] * np.array(self.total) / least
+
+    def step(self, n: np.ndarray, before: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log P_1 / P_0 of continuations with counts n, after histories of counts before and discounted mass left."""
+        pooled, all_before = n.sum(-1), before.sum(-1)
+        shared = (pooled + 0.02) / (all_before + 5.12)
+        seen = before > 0
+        own = np.maximum(n - self.discounts(pooled), 0.0) / np.where(seen, before, 1.0)
+        p = np.where(seen, own + np.minimum(1.0, left / np.where(seen, before, 1.0)) * shared[..., None], shared[..., None])
+        p = np.maximum(p, 1e-12)
+        return np.log(p[..., 1] / p[..., 0])
+
+    def bounded(self, ratio):
+        """The ratio of a word with a share of the pooled model in both."""
+        e = np.exp(np.clip(ratio, -30.0, 30.0))
+        pooled = self.toxic_share * e + 1.0 - self.toxic_share
+        return np.log(((1.0 - POOL) * e + POOL * pooled) / ((1.0 - POOL) + POOL * pooled))
+
+    def prepared(self) -> Model:
+        """Sums along each history: (ratio up to here, ratio of whatever else follows)."""
+        if self.table is None:
+            by_length = sorted(self.place, key=len)
+            self.table = {}
+            if by_length:
+                n, left = self.counts[:, :2], self.counts[:, 2:]
+                rest = self.step(np.zeros((len(n), 2)), n, left)
+                at = np.array([self.place[g] for g in by_length])
+                parent = np.array([self.place.get(g[:-1], -1) if g else -1 for g in by_length])
+                steps = np.where(parent < 0, 0.0, self.step(n[at], n[np.maximum(parent, 0)], left[np.maximum(parent, 0)]))
+                for g, k, own, p in zip(by_length, at.tolist(), steps.tolist(), parent.tolist(), strict=True):
+                    if not g:
+                        self.table[g] = (0.0, float(rest[k]))
+                    elif p >= 0 and (before := self.table.get(g[:-1])):
+                        self.table[g] = (before[0] + own, float(rest[k]))
+        return self
+
+    def ratio(self, word: bytes) -> float:
+        """Log-likelihood ratio of a word."""
+        get, out = self.table.get, 0.0
+        found = get(b"")
+        if found:
+            end = min(len(word) + 1, ORDER)
+            marked = word[:ORDER] + b" "
+            for k in range(1, end + 1):
+                after = get(marked[:k])
+                if after is None:
+                    out = found[0] + found[1]
+                    break
+                found = after
+            else:
+                out = found[0]
+        return float(self.bounded(out))
+
+    def excess(self, text: bytes | None) -> float:
+        """What a text is judged by."""
+        own, cache, total = set(words(text)), self.cache, 0.0
+        for w in own:
+            r = cache.get(w)
+            if r is None:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                r = cache[w] = max(self.ratio(w) - EXCESS, 0.0)
+            total += r
+        return total / max(len(own), 1) ** 0.5
+
+    def excess_without(self, text: bytes | None, own_class: int) -> float:
+        """The same, as if the text hadn't been counted in its class."""
+        own = {w: histories(w) for w in set(words(text))}
+        mine, get = Counter(g for gs in own.values() for g in gs), self.place.get
+        now, before, left, of = [], [], [], []
+        least, both = max(min(self.total), 1.0), max(sum(self.total), 1.0)
+        for k, gs in enumerate(own.values()):
+            row = self.counts[get(b"")].tolist() if b"" in self.place else None
+            for a, b in zip(gs, gs[1:], strict=False):
+                then = row[:2] if row else [0.0, 0.0]
+                then[own_class] -= mine[a]
+                base = DISCOUNT + ERRORS * (max(sum(then), 0.0) * least / both) ** 0.5
+                if all(n * least <= base * t for n, t in zip(then, self.total, strict=True)):
+                    break
+                at = get(b)
+                after = self.counts[at].tolist() if at is not None else None
+                n = after[:2] if after else [0.0, 0.0]
+                n[own_class] = max(0.0, n[own_class] - mine[b])
+                now.append(n)
+                before.append(then)
+                left.append(row[2:])
+                of.append(k)
+                if after is None:
+                    break
+                row = after
+        if not of:
+            return 0.0
+        ratio = np.bincount(of, self.step(np.array(now), np.array(before), np.array(left)), minlength=len(own))
+        return float(np.maximum(self.bounded(ratio) - EXCESS, 0.0).sum()) / len(own) ** 0.5
+
+    def probability(self, excess):
+        if self.slope is None:
+            return np.full(np.shape(excess), self.prior)
+        return 1.0 / (1.0 + np.exp(-np.clip(self.slope[0] * np.asarray(excess) + self.slope[1], -30.0, 30.0)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -137,175 +195,196 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return a.join(b.hint("merge"), "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("hash"))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: tuple[Counter, Counter] = (Counter(), Counter())
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch: a word and a hash of the word before it, once; and a word with no hash, with the number of texts."""
     for batch in batches:
+        pairs: tuple[set, set] = (set(), set())
+        texts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, c in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-            own = set(words(text))
-            n[c].update(own)
-            n[c][b""] += len(own)  # no word is empty: this counts the words of all texts
-        if len(n[0]) + len(n[1]) > 1 << 20:
-            yield _word_rows(n)
-            n = (Counter(), Counter())
-    yield _word_rows(n)
+            own = words(text)
+            pairs[c].update(zip([b"", *own], own, strict=False))
+            texts[c].update(set(own))
+        for c in (0, 1):
+            before = pa.array([xxh64_intdigest(v) - (1 << 63) for v, _ in pairs[c]] + [None] * len(texts[c]), pa.int64())
+            word = pa.array([w for _, w in pairs[c]] + list(texts[c]), pa.binary())
+            n = [pa.array([1] * len(pairs[c]) + list(texts[c].values()), pa.int64()), pa.array(np.zeros(len(word), np.int64))]
+            yield pa.RecordBatch.from_arrays([word, before, *(n if c == 0 else n[::-1])], names=["word", "before", "n0", "n1"])
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, n0, n1: in each class the different words before it, but no more than texts that hold it."""
+    pairs = rows.mapInArrow(_pairs, "word binary, before long, n0 long, n1 long").groupBy("word", "before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    text, pair = F.col("before").isNull(), F.col("before").isNotNull()
+    sums = [F.sum(F.when(text, F.col(n)).otherwise(0)).alias(f"texts_{n}") for n in ("n0", "n1")]
+    sums += [F.count_if(pair & (F.col(n) > 0)).alias(f"pairs_{n}") for n in ("n0", "n1")]
+    counted = pairs.groupBy("word").agg(*sums)
+    return counted.select("word", *(F.least(f"texts_{n}", f"pairs_{n}").cast("double").alias(n) for n in ("n0", "n1")))
+
+
+def _histories(word: Column) -> Column:
+    marked = F.concat(word, F.lit(b" "))
+    return F.transform(F.sequence(F.lit(0), F.least(F.length(marked), F.lit(ORDER))), lambda k: F.substring(marked, F.lit(1), k))
+
+
+def history_counts(counted: DataFrame, total: tuple[float, float]) -> DataFrame:
+    """g, n0, n1, left0, left1 of the histories that exceed a discount."""
+    nodes = counted.select(F.explode(_histories(F.col("word"))).alias("g"), "n0", "n1").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    least = max(min(total), 1.0)
+    base = F.lit(DISCOUNT) + F.lit(ERRORS) * F.sqrt((F.col("n0") + F.col("n1")) * F.lit(least / max(sum(total), 1.0)))
+    discount = {f"n{c}": base * F.lit(t / least) for c, t in enumerate(total)}
+    nodes = nodes.select("*", *(F.least(F.col(n), d).alias(f"cut_{n}") for n, d in discount.items()))
+    says = (F.col("n0") > F.col("cut_n0")) | (F.col("n1") > F.col("cut_n1"))
+    left = nodes.where(F.length("g") > 0).groupBy(F.substring("g", F.lit(1), F.length("g") - 1).alias("g"))
+    left = left.agg(F.sum("cut_n0").alias("left0"), F.sum("cut_n1").alias("left1"))
+    found = nodes.where(says).select("g", "n0", "n1").join(left.hint("merge"), "g", "left")
+    return found.select("g", "n0", "n1", F.coalesce("left0", F.lit(0.0)).alias("left0"), F.coalesce("left1", F.lit(0.0)).alias("left1"))
+
+
+def _loaded(nodes: DataFrame, model: Model) -> Model:
+    got = nodes.toArrow()
+    model.place = {g: k for k, g in enumerate(got.column("g").to_pylist())}
+    model.counts = np.column_stack([got.column(c).to_numpy() for c in ("n0", "n1", "left0", "left1")]) if len(got) else np.zeros((0, 4))
+    return model
 
 
-def _word_rows(n: tuple[Counter, Counter]) -> pa.RecordBatch:
-    own = list(n[0].keys() | n[1].keys())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(own, pa.binary()), *(pa.array([n[c][w] for w in own], pa.int64()) for c in (0, 1))], names=["word", "n0", "n1"]
-    )
+def _calibrated(model: Model, sample: DataFrame) -> Model:
+    sent = sample.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            y = batch.column("toxic").to_pylist()
+            x = [own.excess_without(text, c) for text, c in zip(as_bytes(batch.column("text")), y, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.int32())], names=["x", "y"])
 
-def train(docs: DataFrame, labels: DataFrame, *, vocabulary: int = VOCABULARY, cells: int = CELLS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows, path = stored(training_rows(docs, labels), "toxicity")
-    try:
-        model = _fit(rows, vocabulary, cells, calibration_rows)
-    finally:
-        remove(spark, path)
+    got = sample.mapInArrow(run, "x double, y int").toArrow()
+    model.slope = logistic(got.column("x").to_numpy(), got.column("y").to_numpy().astype(float))
     return model
 
 
-def _fit(rows: DataFrame, vocabulary: int, cells: int, calibration_rows: int) -> Model:
-    if vocabulary >= (1 << 17) - 2:
-        raise ValueError("the vocabulary has to stay under 131,070 words")
-    spark = rows.sparkSession
-    counted = rows.mapInArrow(_count_words, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    common = counted.orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(vocabulary + 1).toArrow()
-    listed = common.column("word").to_pylist()
-    if b"" in listed:
-        at = listed.index(b"")
-        totals = np.array([common.column(c)[at].as_py() for c in ("n0", "n1")], float)
-        del listed[at]
-    else:
-        totals = np.zeros(2)
-    ids, size = {w: k for k, w in enumerate(listed)}, len(listed) + 1
-    sent_ids = spark.sparkContext.broadcast(ids)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent_ids.value.get
-        for batch in batches:
-            keys: tuple[list, list] = ([], [])
-            for text, c in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                own = words(text)
-                if own:
-                    w = np.array([get(x, size - 1) for x in own], np.uint64)
-                    place = np.unique(w, return_index=True)[1]
-                    v = np.concatenate([[np.uint64(size)], w[:-1]])[place]  # "before the text" is a word of its own
-                    u = np.array([crc32(own[k - 2]) if k > 1 else k for k in place.tolist()], np.uint64) & np.uint64((1 << 30) - 1)
-                    keys[c].append((u << np.uint64(34)) | (v << np.uint64(17)) | w[place])
-            for c in (0, 1):
-                if keys[c]:
-                    key = np.unique(np.concatenate(keys[c]))
-                    w = (key & np.uint64((1 << 17) - 1)).astype(np.int64)
-                    v = ((key >> np.uint64(17)) & np.uint64((1 << 17) - 1)).astype(np.int64)
-                    u, flag = (key >> np.uint64(34)).astype(np.int32), np.full(len(key), c, np.int8)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(u), pa.array(v.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(cell(v, w, cells).astype(np.int32)), pa.array(flag)],
-                        names=["u", "v", "w", "cell", "c"],
-                    )
-
-    histories = rows.mapInArrow(pairs, "u int, v int, w int, cell int, c byte").repartition("v", "w", "cell").groupBy("v", "w", "cell", "u")
-    histories = histories.agg(F.max(F.col("c") == 0).alias("in0"), F.max(F.col("c") == 1).alias("in1"))
-    counts = histories.groupBy("v", "w", "cell").agg(F.count_if("in0").alias("n0"), F.count_if("in1").alias("n1"))
-    discount = DISCOUNT * np.maximum(totals, 1.0) / max(1.0, totals.min())
-    stays = (F.col("n0") + F.col("n1") >= 2) & (F.col("v") < size)
-    discounted = [F.when(stays, F.greatest(F.col(n) - float(d), F.lit(0.0))).otherwise(0.0) for n, d in zip(("n0", "n1"), discount, strict=True)]
-    part = lambda kind, key, s0, s1: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.col("n0"), F.col("n1"), s0.alias("s0"), s1.alias("s1"), F.lit(1).alias("types"))
-    none = F.lit(0.0)
-    kinds = F.array_compact(F.array(part("word", F.col("w"), none, none), part("context", F.col("v"), *discounted), F.when(stays, part("pair", F.col("cell"), none, none))))
-    sums = (
-        counts.select(F.inline(kinds))
-        .groupBy("kind", "key")
-        .agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "s0", "s1", "types")))
-        .toArrow()
-    )  # at most words + words + cells rows
-    kind, key = np.array(sums.column("kind").to_pylist(), object), sums.column("key").to_numpy()
-    number = {c: sums.column(c).to_numpy() for c in ("n0", "n1", "s0", "s1", "types")}
-
-    def dense(name: str, length: int, *columns: str) -> np.ndarray:
-        own = (kind == name) & (key < length) if len(kind) else np.zeros(0, bool)
-        out = np.zeros((len(columns), length))
-        for k, c in enumerate(columns):
-            out[k, key[own]] = number[c][own]
-        return out
-
-    continuation = dense("word", size, "types")[0] + 0.5
-    model = Model(
-        ids, dense("word", size, "n0", "n1"), continuation, dense("pair", cells, "n0", "n1").astype(np.float32),
-        dense("context", size, "n0", "n1"), dense("context", size, "s0", "s1"), discount,
-    )
-    return _calibrated(model, rows, calibration_rows)
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope (not below zero) and intercept by Newton steps, lightly held back."""
+    scale = max(float(x.std()), 1e-9)
+    z, b, ridge = np.column_stack([x / scale, np.ones(len(x))]), np.zeros(2), np.array([0.1, 1e-6])
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-np.clip(z @ b, -30.0, 30.0)))
+        move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * b)
+        b += np.clip(move, -4.0, 4.0)
+        if np.abs(move).max() < 1e-7:
+            break
+    return max(0.0, float(b[0] / scale)), float(b[1])
 
 
-def _calibrated(model: Model, rows: DataFrame, calibration_rows: int) -> Model:
-    by_class = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n = sum(by_class.values())
-    model.prior = by_class.get(1, 0) / n if n else 0.0
-    if not by_class.get(1) or not by_class.get(0):
-        return model
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def _word_ratios(asked: DataFrame, nodes: DataFrame, model: Model) -> DataFrame:
+    """word, excess of each asked word, by joins with a table of histories of any size."""
+    before = nodes.select(F.col("g").alias("p"), F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.col("left0").alias("m0"), F.col("left1").alias("m1"))
+    steps = nodes.withColumn("p", F.when(F.length("g") > 0, F.substring("g", F.lit(1), F.length("g") - 1))).join(before.hint("merge"), "p", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         for batch in batches:
-            y = batch.column("toxic").to_pylist()
-            x = [features(*own.log_ratio(text, c)) for text, c in zip(as_bytes(batch.column("text")), y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([float(v[0]) for v in x]), pa.array([float(v[1]) for v in x]), pa.array(y, pa.int32())], names=["a", "b", "y"])
-
-    share = min(1.0, calibration_rows / n)
-    sample = rows.where(F.pmod("hash", F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    got = sample.mapInArrow(run, "a double, b double, y int").toArrow()
-    x = np.column_stack([got.column("a").to_numpy(), got.column("b").to_numpy(), np.ones(len(got))])
-    model.limits = np.array([np.quantile(x, 0.02, axis=0), np.quantile(x, 0.99, axis=0)])
-    model.calibration = noisy_logistic(np.clip(x, *model.limits), got.column("y").to_numpy().astype(float))
-    return model
+            col = {c: np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in ("n0", "n1", "left0", "left1", "b0", "b1", "m0", "m1")}
+            n, left = np.column_stack([col["n0"], col["n1"]]), np.column_stack([col["left0"], col["left1"]])
+            then, mass = np.column_stack([col["b0"], col["b1"]]), np.column_stack([col["m0"], col["m1"]])
+            own = np.where(then.sum(1) > 0, model.step(n, then, mass), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(own), pa.array(model.step(np.zeros_like(n), n, left))], names=["g", "own", "rest"])
+
+    valued = steps.mapInArrow(run, "g binary, own double, rest double")
+    parts = asked.select("word", F.explode(_histories(F.col("word"))).alias("g")).join(valued.hint("merge"), "g")
+    chain = parts.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(F.length("g").alias("k"), "own", "rest"))).alias("c"))  # at most ORDER + 1 entries
+    reach = F.aggregate("c", F.lit(0), lambda a, x: F.when(x["k"] == a, a + 1).otherwise(a))
+    whole = F.least(F.length("word") + 1, F.lit(ORDER)) + 1
+    ratio = chain.select("word", "c", reach.alias("reach"), whole.alias("whole")).select(
+        "word", F.aggregate(F.slice("c", F.lit(1), F.col("reach")), F.lit(0.0), lambda a, x: a + x["own"]).alias("sum"),
+        F.when((F.col("reach") > 0) & (F.col("reach") < F.col("whole")), F.expr("c[reach - 1].rest")).otherwise(0.0).alias("rest"),
+    )
+    e = F.exp(F.greatest(F.least(F.col("sum") + F.col("rest"), F.lit(30.0)), F.lit(-30.0)))
+    pooled = F.lit(model.toxic_share) * e + F.lit(1.0 - model.toxic_share)
+    bounded = F.log((F.lit(1.0 - POOL) * e + F.lit(POOL) * pooled) / (F.lit(1.0 - POOL) + F.lit(POOL) * pooled))
+    return ratio.select("word", F.greatest(bounded - F.lit(EXCESS), F.lit(0.0)).alias("excess"))
 
 
-def noisy_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression where an ordinary text may carry label 1 by mistake, at a rate that is
-    estimated too (EM); without it a few wrong labels flatten the curve."""
-    truth, noise = y.copy(), 0.5 * y.mean()
-    b = logistic(x, truth)
-    for _ in range(60):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -30.0, 30.0)))
-        truth = y * p / np.maximum(p + noise * (1.0 - p), 1e-12)
-        noise = float(((1.0 - truth) * y).sum() / max((1.0 - truth).sum(), 1e-9))
-        b = logistic(x, truth)
-    return b
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, listed, sizes = [], [], []
+        for row, text in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            own = set(words(text))
+            rows += [row] * len(own)
+            listed += own
+            sizes += [len(own)] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(listed, pa.binary()), pa.array(sizes, pa.int64())], names=["row", "word", "size"])
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column is the intercept."""
-    scale = np.append(np.maximum(x[:, :-1].std(0), 1e-9), 1.0)
-    z, b, ridge = x / scale, np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, 0.1), 1e-6)
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(z @ b, -30.0, 30.0)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * b)
-        b += np.clip(step, -4.0, 4.0)
-        if np.abs(step).max() < 1e-7:
-            break
-    return b / scale
+def _joined(rows: DataFrame, nodes: DataFrame, model: Model) -> DataFrame:
+    """row and excess of each row (row, text) with a word that says something."""
+    pairs = rows.mapInArrow(_words_of, "row long, word binary, size long")
+    ratios = _word_ratios(pairs.select("word").distinct(), nodes, model).where("excess > 0")
+    return pairs.join(ratios.hint("merge"), "word").groupBy("row").agg((F.sum("excess") / F.sqrt(F.max("size"))).alias("excess"))
+
+
+@dataclass
+class Fitted:
+    model: Model
+    nodes: DataFrame | None = None  # the histories, where they are too many to be sent
+    path: str | None = None
 
 
-def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, *, threshold: float = THRESHOLD) -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS, broadcast_nodes: int = BROADCAST_NODES) -> Fitted:
+    spark, paths = docs.sparkSession, []
+    bounded_batches(spark)
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        table, path = stored(df, what)
+        paths.append(path)
+        return table
+
+    rows = kept(training_rows(docs, labels), "toxicity")
+    try:
+        by_class = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        n = sum(by_class.values())
+        model = Model(prior=by_class.get(1, 0) / n if n else 0.0)
+        if not by_class.get(1) or not by_class.get(0):
+            return Fitted(model)
+        counted = kept(word_counts(rows), "toxicity-words")
+        sums = counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+        model.total = (sums.n0 or 0.0, sums.n1 or 0.0)
+        nodes = kept(history_counts(counted, model.total), "toxicity-histories")
+        remove(spark, paths.pop(1))
+        share = min(1.0, calibration_rows / n)
+        sample = rows.where(F.pmod("hash", F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+        if nodes.count() <= broadcast_nodes:
+            return Fitted(_calibrated(_loaded(nodes, model), sample))
+        used = sample.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(_words_of, "row long, word binary, size long")
+        used = used.select(F.explode(_histories(F.col("word"))).alias("g")).distinct()
+        _calibrated(_loaded(nodes.join(used.hint("merge"), "g", "left_semi"), model), sample)
+        return Fitted(Model(model.total, slope=model.slope, prior=model.prior), nodes, paths.pop())
+    finally:
+        for path in paths:
+            remove(spark, path)
+
+
+def score(docs: DataFrame, labels: DataFrame, fitted: Fitted | None = None, *, threshold: float = THRESHOLD, **parameters) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model or train(docs, labels))
+    fitted = fitted or train(docs, labels, **parameters)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    rows = docs.select("doc_id", held_out, "text")
     bounded_batches(spark)
+    if fitted.nodes is not None:
+        model = fitted.model
+        marked, _ = stored(rows.withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
+        logit = F.lit(model.slope[0]) * F.coalesce("excess", F.lit(0.0)) + F.lit(model.slope[1])
+        p = (1.0 / (1.0 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))).alias("score")
+        out = marked.select("doc_id", "held_out", "row").join(_joined(marked.select("row", "text"), fitted.nodes, model).hint("merge"), "row", "left")
+        return out.select("doc_id", "held_out", p).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    sent = spark.sparkContext.broadcast(fitted.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.value.prepared()
         for batch in batches:
-            scores = np.array([own.score(x) for x in as_bytes(batch.column("text"))], float)
+            scores = own.probability(np.array([own.excess(x) for x in as_bytes(batch.column("text"))], float))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held_out, "text").mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"
-    )
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -49,15 +50,84 @@ def sample_texts(spark, n=200):
 # -- 1
 
 def test_toxicity_held_out(spark):
-    rng = random.Random(2)
-    plain = [" ".join(rng.choice("abcdefgh") * 2 + str(rng.randint(0, 40)) for _ in range(60)) for _ in range(900)]
-    bad = [k % 6 == 0 for k in range(900)]
-    texts = [t + " " + " ".join(rng.choice(["vile", "awful", "nasty"]) + " " + t.split()[j] for j in range(5)) if b else t for t, b in zip(plain, bad, strict=True)]
-    docs = documents(spark, texts)
+    texts, bad = toxic_corpus()
     labels = spark.createDataFrame([(k, int(b)) for k, b in enumerate(bad)], "doc_id long, toxic int")
-    held = [r for r in toxicity.score(docs, labels).collect() if r.held_out]
-    right = sum(r.predicted == int(bad[r.doc_id]) for r in held) / len(held)
-    assert len(held) > 200 and right > 0.95
+    held = [r for r in toxicity.score(documents(spark, texts), labels).collect() if r.held_out]
+    caught = [r.predicted for r in held if bad[r.doc_id]]
+    assert len(held) > 200 and sum(caught) / len(caught) > 0.9 and not any(r.predicted for r in held if not bad[r.doc_id])
+
+
+def toxic_corpus(n=900):
+    """Ordinary texts of few words; every sixth holds words of a family that share a stem, or one of three words."""
+    rng = random.Random(2)
+    plain = [" ".join(rng.choice("abcdefgh") * 2 + str(rng.randint(0, 40)) for _ in range(60)) for _ in range(n)]
+    bad = [k % 6 == 0 for k in range(n)]
+    worse = lambda: rng.choice(["vile", "awful", "nasty", f"zork{rng.randint(0, 9999)}"])
+    return [t + " " + " ".join(worse() + " " + t.split()[j] for j in range(5)) if b else t for t, b in zip(plain, bad, strict=True)], bad
+
+
+def brute_excess(train, texts):
+    """Kneser-Ney by the formula of the docstring, with plain dictionaries."""
+    before, holding = [{}, {}], [Counter(), Counter()]
+    for t, y in train:
+        w = words(t)
+        for v, x in zip([""] + w, w, strict=False):
+            before[y].setdefault(x, set()).add(v)
+        holding[y].update(set(w))
+    marks = lambda w: (w + " ")[: toxicity.ORDER]
+    n = [Counter(), Counter()]
+    for c in (0, 1):
+        for w, vs in before[c].items():
+            for k in range(len(marks(w)) + 1):
+                n[c][marks(w)[:k]] += min(len(vs), holding[c][w])
+    total = [n[0][""], n[1][""]]
+    cut = lambda g, c: (toxicity.DISCOUNT + toxicity.ERRORS * ((n[0][g] + n[1][g]) * min(total) / sum(total)) ** 0.5) * total[c] / min(total)
+    after = {}
+    for g in set(n[0]) | set(n[1]):
+        if g:
+            after.setdefault(g[:-1], []).append(g)
+
+    def ratio(w):
+        out = 0.0
+        for k in range(1, len(marks(w)) + 1):
+            h, g = marks(w)[: k - 1], marks(w)[:k]
+            if all(n[c][h] <= cut(h, c) for c in (0, 1)):
+                break
+            p, shared = [], (n[0][g] + n[1][g] + 0.02) / (n[0][h] + n[1][h] + 5.12)
+            for c in (0, 1):
+                left = sum(min(n[c][x], cut(x, c)) for x in after.get(h, []))
+                p.append(max(n[c][g] - cut(g, c), 0) / n[c][h] + min(1, left / n[c][h]) * shared if n[c][h] else shared)
+            said = any(n[c][g] > cut(g, c) for c in (0, 1))
+            out += np.log(p[1] / p[0])
+            if not said:
+                break
+        share = total[1] / sum(total)
+        pooled = share * np.exp(out) + 1 - share
+        return np.log(((1 - toxicity.POOL) * np.exp(out) + toxicity.POOL * pooled) / (1 - toxicity.POOL + toxicity.POOL * pooled))
+
+    return [sum(max(ratio(w) - toxicity.EXCESS, 0) for w in set(words(t))) / max(1, len(set(words(t)))) ** 0.5 for t in texts]
+
+
+@pytest.mark.parametrize("nodes", [1_000_000, 5])
+def test_toxicity_brute_force(spark, nodes):
+    texts, bad = toxic_corpus(300)
+    texts += [None, "", "zork1 zork1 vile", "x" * 500]
+    docs, labels = documents(spark, texts), spark.createDataFrame([(k, int(b)) for k, b in enumerate(bad)], "doc_id long, toxic int")
+    fitted = toxicity.train(docs, labels, broadcast_nodes=nodes)
+    assert (fitted.nodes is None) == (nodes > 5)
+    train = [(texts[k], int(b)) for k, b in enumerate(bad) if crc32(str(k).encode()) % 3 != 1]
+    want = brute_excess(train, texts)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels, fitted).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], [float(fitted.model.probability(x)) for x in want], atol=1e-9)
+    assert max(want[:300]) > 1 and len(set(np.round(want, 6))) > 30
+
+
+def test_toxicity_learns_stems_and_ignores_copies(spark):
+    texts, bad = toxic_corpus()
+    texts += ["ordinary topic sentence of copies " + texts[0]] * 60 + ["qq1 zork77777 rr2 zork88888 ss3", "of copies topic sentence"]
+    labels = spark.createDataFrame([(k, int(b)) for k, b in enumerate(bad + [True] * 60)], "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in toxicity.score(documents(spark, texts), labels).collect()}
+    assert rows[960].predicted == 1 and rows[961].predicted == 0
 
 
 def test_toxicity_awkward(spark):
