@@ -1,20 +1,27 @@
 """License scan: exact set-similarity join between text blocks and license templates.
 
-A block is a line of a text, or a window of 64 words (every 32) of a longer line. A block matches
-a template if it holds at least 0.8 of the template's distinct words. Words are put in one global
-order, rarest first, by the number of documents of the whole corpus that hold them. A block that
-meets the threshold must share one of the template's ``size - need + 1`` rarest words (prefix
-filter), must have ``need`` words at all (length filter), and when the first shared word sits at
-place i of the template at most ``size - i`` words can still be shared (positional filter); what
-is left is verified by counting. The templates are a fixed list, so they go to every task. All
-templates a block matches are in ``found``; the label of a block is that of its best match.
+Blocks slide over the whole word sequence of a text; line breaks don't end one. A template of L words
+has blocks of W words, W being twice L, rounded up to a power of two, every W / 2 words: any stretch of
+up to W / 2 words, and so any whole copy of the template, lies whole in some block. A block matches a
+template if it holds at least 0.8 of the template's distinct words. The words of all templates are put
+in one global order, rarest first, by the number of documents of the whole corpus that hold them; both
+templates and blocks are read in it. A block that meets the threshold
+
+- must share one of the template's ``size - need + 1`` rarest words (prefix filter);
+- must have ``need`` different template words at all (length filter);
+- and after the k-th shared word, at place i of the template and place j of the block, what follows
+  both places must suffice: k + min(size - i - 1, block - j - 1) >= need (positional filter).
+
+What is left is verified by counting. The templates are a fixed list, so they go to every task. Every
+template that a block matches is reported, but one whose matched words are all among those of a better
+match (larger share, or as large a share of more words) in the same block.
 
 Besides, three base phrases are searched as consecutive words of the whole text.
 
 Defined results: a null text is empty; n_words 0, no places, null first and last word, no labels
 and score 0 for texts without words; the score is 1 with a base phrase, else the largest
-containment that meets the threshold, else 0; repeated rows are scanned one by one; other columns
-are ignored.
+containment that meets the threshold, else 0; repeated rows are scanned one by one; a template
+without words is an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,63 +41,116 @@ BASE = {
     (b"general", b"public", b"license"): "gpl",
     (b"all", b"rights", b"reserved"): "reserved",
 }
+#: Sentences of public license texts and of the notices that go with them.
 TEMPLATES = {
+    "agpl-3.0": "licensed under the gnu affero general public license version 3",
     "apache-2.0": "licensed under the apache license version 2 0",
-    "mit": "released under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "lgpl": "licensed under the gnu lesser general public license",
+    "apache-2.0-text": "you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "http www apache org licenses license 2 0",
+    "artistic-2.0": "this work is distributed under the terms of the artistic license 2 0",
+    "boost": "distributed under the boost software license version 1 0 see accompanying file license 1 0 txt",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+    "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "cc-by-4.0": "licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under cc by sa 4 0",
+    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
+    "gpl-text": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+    "as published by the free software foundation",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl": "licensed under the gnu lesser general public license",
+    "lgpl-text": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
+    "as published by the free software foundation",
+    "mit": "released under the mit license",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+    "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute "
+    "sublicense and or sell copies of the software",
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
     "public-domain": "this is free and unencumbered software released into the public domain",
     "reserved": "copyright all rights reserved",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+    "arising from the use of this software",
 }
 THRESHOLD = 0.8
-BLOCK_WORDS, BLOCK_STEP = 64, 32
 
 
-def blocks(text: bytes) -> Iterator[list[bytes]]:
-    for line in text.split(b"\n"):
-        own = words(line)
-        if len(own) <= BLOCK_WORDS:
-            yield own
-        else:
-            for start in range(0, len(own) - BLOCK_WORDS + BLOCK_STEP, BLOCK_STEP):
-                yield own[start : start + BLOCK_WORDS]
+def width(n_words: int) -> int:
+    """Words of the blocks for a template of so many words."""
+    return 1 << (2 * n_words - 1).bit_length()
 
 
 class Index:
     """Templates by their rarest words, for one global order of words."""
 
-    def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float):
-        self.need, self.tokens = {}, {}
-        self.by_word: dict[bytes, list[tuple[str, int]]] = {}
-        for label, text in templates.items():
-            own = sorted(set(words(text.encode())), key=lambda w: (frequency.get(w, 0), w))
-            need = math.ceil(threshold * len(own) - 1e-9)
-            self.tokens[label], self.need[label] = frozenset(own), need
-            for place, word in enumerate(own[: len(own) - need + 1]):
-                self.by_word.setdefault(word, []).append((label, place))
-        self.prefix = frozenset(self.by_word)
-
-    def matches(self, block: list[bytes]) -> dict[str, float]:
-        """Containment of every template that the block matches."""
-        own, out = set(block), {}
-        shared = own & self.prefix
-        if not shared:
-            return out
-        first: dict[str, int] = {}
-        for word in shared:
-            for label, place in self.by_word[word]:
-                first[label] = min(place, first.get(label, place))
-        for label, place in first.items():
-            tokens, need = self.tokens[label], self.need[label]
-            if len(own) >= need and len(tokens) - place >= need and (n := len(own & tokens)) >= need:
-                out[label] = n / len(tokens)
-        return out
+    def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float = THRESHOLD):
+        own = {label: words(text.encode()) for label, text in templates.items()}
+        if empty := [label for label, w in own.items() if not w]:
+            raise ValueError(f"templates without words: {empty}")
+        order = sorted({w for t in own.values() for w in t}, key=lambda w: (frequency.get(w, 0), w))
+        self.rank = {w: k for k, w in enumerate(order)}
+        self.width = {label: width(len(w)) for label, w in own.items()}
+        self.ranks = {label: sorted({self.rank[x] for x in w}) for label, w in own.items()}
+        self.need = {label: math.ceil(threshold * len(r) - 1e-9) for label, r in self.ranks.items()}
+        self.by_rank: dict[int, list[str]] = {}
+        for label, r in self.ranks.items():
+            for word in r[: len(r) - self.need[label] + 1]:
+                self.by_rank.setdefault(word, []).append(label)
+        self.prefix = frozenset(order[k] for k in self.by_rank)
+        #: Pairs of block and template after the prefix, length and positional filter, and matches.
+        self.passed = Counter()
+
+    def shared(self, label: str, block: list[int]) -> int:
+        """How many words the block (ranks in order) shares with the template; 0 where a filter says too few."""
+        own, need = self.ranks[label], self.need[label]
+        self.passed["prefix"] += 1
+        if len(block) < need:
+            return 0
+        self.passed["length"] += 1
+        i = j = k = 0
+        while i < len(own) and j < len(block):
+            if own[i] < block[j]:
+                i += 1
+            elif own[i] > block[j]:
+                j += 1
+            else:
+                i, j, k = i + 1, j + 1, k + 1
+                if k + min(len(own) - i, len(block) - j) < need:
+                    return 0
+                if k == 1:
+                    self.passed["position"] += 1
+        if k < need:
+            return 0
+        self.passed["match"] += 1
+        return k
+
+    def scan(self, text: list[bytes]) -> tuple[dict[str, float], set[str]]:
+        """The largest containment of every template that some block matches, and the labels to report."""
+        rank, asked = self.rank, {}
+        for at, word in enumerate(text):
+            if word in self.prefix:
+                for label in self.by_rank[rank[word]]:
+                    step = (w := self.width[label]) // 2
+                    for b in {at // step, max(0, at // step - 1)}:
+                        if b == 0 or (b + 1) * step < len(text):
+                            asked.setdefault((w, b), set()).add(label)
+        found: dict[str, float] = {}
+        labels: set[str] = set()
+        for (w, b), some in asked.items():
+            held = {rank[x] for x in text[b * w // 2 : b * w // 2 + w] if x in rank}
+            block, here = sorted(held), {}
+            for label in some:
+                if n := self.shared(label, block):
+                    here[label] = n / len(self.ranks[label])
+            for label, share in here.items():
+                found[label] = max(share, found.get(label, 0.0))
+                mine = held.intersection(self.ranks[label])
+                better = lambda x: (here[x], len(self.ranks[x])) > (share, len(self.ranks[label]))  # noqa: B023, E731
+                if not any(better(x) and mine <= set(self.ranks[x]) for x in here):
+                    labels.add(label)
+        return found, labels
 
 
 def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
@@ -128,15 +188,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, threshold:
                     if at:
                         base.add(label)
                         places += at
-                found: dict[str, float] = {}
-                labels = set(base)
-                if not index.prefix.isdisjoint(seen):
-                    for block in blocks(text):
-                        matched = index.matches(block)
-                        for label, share in matched.items():
-                            found[label] = max(share, found.get(label, 0.0))
-                        if matched:
-                            labels.add(min(matched, key=lambda x: (-matched[x], -len(index.tokens[x]), x)))
+                found, labels = index.scan(own) if not index.prefix.isdisjoint(seen) else ({}, set())
+                labels |= base
                 rows.append((
                     len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
                     ",".join(sorted(labels)), 1.0 if base else max(found.values(), default=0.0), sorted(found.items()),

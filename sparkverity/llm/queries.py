@@ -35,7 +35,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+    """All columns of the contract, and every match with its containment as text."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    shares = F.transform(F.array_sort(F.map_entries("found")), lambda e: F.format_string("%s:%.3f", e["key"], e["value"]))
+    return found.withColumn("matches", F.array_join(shares, ",")).drop("found")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

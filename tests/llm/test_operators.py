@@ -173,7 +173,7 @@ def test_topk_scores_beyond_doubles(spark):
 
 # -- 3
 
-def brute_license(text):
+def brute_license(text, templates=licenses.TEMPLATES):
     own, labels, places = words(text), set(), []
     for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
         p = phrase.split()
@@ -181,29 +181,65 @@ def brute_license(text):
         labels |= {label} if at else set()
         places += at
     base, best = set(labels), 0.0
-    for line in (text or "").split("\n"):
-        w = words(line)
-        for block in [w] if len(w) <= 64 else [w[s : s + 64] for s in range(0, len(w) - 32, 32)]:
-            found = {}
-            for label, t in licenses.TEMPLATES.items():
-                tokens = set(t.split())
-                share = len(tokens & set(block)) / len(tokens)
-                if share >= 0.8 - 1e-12:
-                    found[label] = (share, len(tokens))
-            if found:
-                best = max(best, *(s for s, _ in found.values()))
-                labels.add(min(found, key=lambda x: (-found[x][0], -found[x][1], x)))
+    size = {label: len(set(t.split())) for label, t in templates.items()}
+    by_width = {}
+    for label, t in templates.items():
+        w = 16
+        while w < 2 * len(t.split()):
+            w *= 2
+        while w // 2 >= 2 * len(t.split()):
+            w //= 2
+        by_width.setdefault(w, []).append(label)
+    for w, some in by_width.items():
+        for start in range(0, max(1, len(own) - w // 2), w // 2):
+            block, found = set(own[start : start + w]), {}
+            for label in some:
+                mine = set(templates[label].split()) & block
+                if len(mine) / size[label] >= 0.8 - 1e-12:
+                    found[label] = (len(mine) / size[label], size[label], mine)
+            for label, (share, n, mine) in found.items():
+                best = max(best, share)
+                if not any(found[x][:2] > (share, n) and mine <= set(templates[x].split()) for x in found):
+                    labels.add(label)
     return len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else best
 
 
+def wrapped(label, every):
+    """A template as it stands in a file: broken into comment lines."""
+    w = licenses.TEMPLATES[label].split()
+    return "\n".join(" * " + " ".join(w[k : k + every]) for k in range(0, len(w), every))
+
+
 def test_license_brute_force(spark):
     extra = ["Licensed under CC BY-SA 4.0. all rights reserved ALL RIGHTS RESERVED", "mit released under license the", "word " * 100 + "Released under the MIT License " + "word " * 100, "cc by cc by cc"]
+    extra += ["x " * (7 * k) + wrapped(label, 5 + k) + " y" * 40 for k, label in enumerate(licenses.TEMPLATES)]
+    extra += ["the license software of this " * 50, "Licensed under the Apache License, Version 2.0 or released under the MIT License"]
     docs = documents(spark, sample_texts(spark) + extra).union(awkward(spark))
-    got = sorted(tuple(r) for r in licenses.scan(docs).drop("doc_id", "found").collect() if True)
-    want = sorted(brute_license(r.text) for r in docs.collect())
+    rows = licenses.scan(docs).collect()
+    got = [tuple(r)[1:8] for r in rows]
+    want = [brute_license(r.text) for r in docs.collect()]
     key = lambda t: tuple("" if x is None else str(x) for x in t)
     assert sorted(map(key, got)) == sorted(map(key, want))
+    by_id = {r.doc_id: r for r in rows}
+    for k, label in enumerate(licenses.TEMPLATES):
+        assert by_id[204 + k].found[label] == 1.0, label  # found whatever the line breaks
+    assert by_id[205 + len(licenses.TEMPLATES)].labels == "apache-2.0,mit"
     assert licenses.scan(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="without words"):
+        licenses.scan(docs, {"none": " - "})
+
+
+def test_license_filters_cut():
+    rng = random.Random(5)
+    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
+    texts = [[rng.choice(vocabulary if rng.random() < 0.4 else ["x"]).encode() for _ in range(60)] for _ in range(300)]
+    texts += [licenses.TEMPLATES[label].encode().split() for label in licenses.TEMPLATES]
+    frequency = Counter(w for t in texts for w in set(t))
+    index = licenses.Index(licenses.TEMPLATES, frequency)
+    for t in texts:
+        index.scan(t)
+    n = index.passed
+    assert n["prefix"] > n["length"] > n["position"] > n["match"], n
 
 
 # -- 4
