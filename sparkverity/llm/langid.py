@@ -8,8 +8,10 @@ sums a logistic loss over the bits, weighted by how well each bit separates its
 takes the codeword with the least loss; a text whose two best codewords lie close together is
 flagged as ambiguous.
 
-Training counts n-grams of all allowed rows in one pass; the model is languages x n-gram cells,
-a size that doesn't depend on the number of documents.
+Training counts n-grams of all allowed rows in one pass. A task hands on its counts when it holds
+many languages, and each language is added to its side of every bit one by one, so memory is that of
+bits x n-gram cells, some ten bits per doubling of the languages, however many languages there are.
+The cells of a long text are counted piece by piece.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every
 text if nothing can be learned; ties go to the smaller language name; rows with a null doc_id
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkverity.llm.common import as_bytes, bounded_batches, keep_rows, remainder
+from sparkverity.llm.common import as_bytes, bounded_batches, checkpointed, keep_rows, remainder
 
 PAIRS = 1 << 16
 TRIPLES = 1 << 16
@@ -37,7 +39,12 @@ CELLS = PAIRS + TRIPLES
 AMBIGUOUS = 0.05
 #: Sharpness of the score.
 SHARPNESS = 12.0
-MAX_LANGUAGES = 512
+#: A task counts so many languages at a time (1 MB each).
+HELD_LANGUAGES = 64
+#: Bytes of a text whose cells are looked at together.
+PIECE = 1 << 16
+#: Beyond so many languages the first random code whose words all differ is taken, not the best of some.
+COMPARED_LANGUAGES = 600
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -46,12 +53,14 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def cells(text: bytes) -> np.ndarray:
-    """The n-gram cells of a text, repeats included."""
-    a = np.frombuffer(b" " + b" ".join(text.translate(_LETTERS).split()) + b" ", np.uint8).astype(np.uint32)
-    pairs = (a[:-1] << 8) | a[1:]
-    triples = (((pairs[:-1] << 8) | a[2:]) * np.uint32(2654435761)) >> np.uint32(16)
-    return np.concatenate([pairs, triples + np.uint32(PAIRS)]).astype(np.int64)
+def cells(text: bytes, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """The n-gram cells of a text, repeats included, piece by piece."""
+    whole = b" " + b" ".join(text.translate(_LETTERS).split()) + b" "
+    for at in range(0, max(1, len(whole) - 1), piece):
+        a = np.frombuffer(whole[at : at + piece + 2], np.uint8).astype(np.uint32)
+        pairs = (a[:-1] << 8) | a[1:]
+        triples = (((pairs[:-1] << 8) | a[2:]) * np.uint32(2654435761)) >> np.uint32(16)
+        yield np.concatenate([pairs[:piece], triples[:piece] + np.uint32(PAIRS)]).astype(np.int64)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -64,6 +73,10 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(20):
         code = rng.integers(0, 2, (n, length), dtype=np.int8)
         code[:, code.min(0) == code.max(0)] = np.arange(n)[:, None] % 2
+        if n > COMPARED_LANGUAGES:
+            if len({row.tobytes() for row in code}) == n:
+                return code
+            continue
         distance = min((code[i] != code[i + 1 :]).sum(1).min() for i in range(n - 1))
         if distance > best_distance:
             best, best_distance = code, distance
@@ -83,7 +96,11 @@ class Model:
             return "und", 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        margins = self.weights[cells(text)].mean(axis=0, dtype=np.float64)
+        sums, n = np.zeros(self.code.shape[1]), 0
+        for own in cells(text):
+            part = self.weights[own] if len(own) < 16_384 else np.bincount(own, minlength=CELLS)[None, :] @ self.weights
+            sums, n = sums + part.sum(axis=0, dtype=np.float64), n + len(own)
+        margins = sums / n
         loss = np.logaddexp(0.0, -3.0 * margins * (2.0 * self.code - 1.0)) @ self.trust
         odds = np.exp(-SHARPNESS * (loss - loss.min()))
         order = np.argsort(loss, kind="stable")
@@ -94,14 +111,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for text, lang in zip(as_bytes(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
-            own = counts.setdefault(lang, np.zeros(CELLS, np.int64))
-            if len(counts) > MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages")
-            at = cells(text)
-            if len(at) < 20_000:
-                np.add.at(own, at, 1)
-            else:
-                own += np.bincount(at, minlength=CELLS)
+            if lang not in counts:
+                if len(counts) >= HELD_LANGUAGES:
+                    yield from _counted(counts)
+                    counts = {}
+                counts[lang] = np.zeros(CELLS, np.int64)
+            own = counts[lang]
+            for at in cells(text):
+                if len(at) < 20_000:
+                    np.add.at(own, at, 1)
+                else:
+                    own += np.bincount(at, minlength=CELLS)
+    yield from _counted(counts)
+
+
+def _counted(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for lang, own in counts.items():
         at = np.nonzero(own)[0]
         yield pa.RecordBatch.from_arrays(
@@ -113,30 +137,32 @@ def train(docs: DataFrame) -> Model:
     """Learn from text and lang of all rows that have both and whose crc32 modulo 5 isn't 0."""
     bounded_batches(docs.sparkSession)
     rows = docs.where((remainder(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = (
-        rows.select("text", F.col("lang").cast("string").alias("lang"))
-        .mapInArrow(_count, "lang string, cell int, n long")
-        .groupBy("lang", "cell")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("lang")
-        .agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns"))
-    )  # a list holds at most CELLS entries
-    by_lang = {r.lang: (np.array(r.cells, np.int64), np.array(r.ns, np.float64)) for r in counted.toLocalIterator()}
-    languages = sorted(by_lang)
+    by_cell = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    counted = checkpointed(by_cell.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns")))  # lists hold at most CELLS entries
+    languages = sorted(r.lang for r in counted.select("lang").collect())
     n = len(languages)
     if n < 2:
         return Model(languages, np.zeros((n, 0), np.int8), np.zeros((CELLS, 0), np.float32), np.zeros(0))
-    share = np.zeros((n, CELLS))
-    for k, lang in enumerate(languages):
-        share[k, by_lang[lang][0]] = by_lang[lang][1]
-    for part in (slice(0, PAIRS), slice(PAIRS, CELLS)):
-        pooled = share[:, part].sum(0) + 0.01
-        share[:, part] += 50.0 * pooled / pooled.sum()
-        share[:, part] /= share[:, part].sum(1, keepdims=True)
+    parts = (slice(0, PAIRS), slice(PAIRS, CELLS))
+    pooled = np.full(CELLS, 0.01)
+    for r in counted.select(F.explode(F.arrays_zip("cells", "ns")).alias("x")).groupBy("x.cells").agg(F.sum("x.ns").alias("n")).toLocalIterator():
+        pooled[r.cells] += r.n
+    for part in parts:
+        pooled[part] *= 50.0 / pooled[part].sum()
     code = codewords(n)
+    place = {lang: k for k, lang in enumerate(languages)}
+    sides = np.zeros((2, CELLS, code.shape[1]))
+    for r in counted.toLocalIterator():
+        share = pooled.copy()
+        share[np.array(r.cells, np.int64)] += np.array(r.ns, np.float64)
+        for part in parts:
+            share[part] /= share[part].sum()
+        bits = code[place[r.lang]] == 1
+        sides[1][:, bits] += share[:, None]
+        sides[0][:, ~bits] += share[:, None]
     weights, trust = np.zeros((CELLS, code.shape[1]), np.float32), np.zeros(code.shape[1])
     for bit in range(code.shape[1]):
-        one, zero = share[code[:, bit] == 1].mean(0), share[code[:, bit] == 0].mean(0)
+        one, zero = sides[1][:, bit] / (code[:, bit] == 1).sum(), sides[0][:, bit] / (code[:, bit] == 0).sum()
         ratio = np.log(one) - np.log(zero)
         spread = float(((one - zero) * ratio).sum()) / 4 + 1e-9
         weights[:, bit], trust[bit] = ratio / spread, spread

@@ -1,9 +1,11 @@
 """WARC archives written and read as a table of record chunks.
 
 Writing: payload digests come from SQL; the page with the smallest page_id of a group of equal
-payloads of at least 100 bytes is the response, the others are revisits without a body. Each
-payload is cut into chunks inside Spark's rows (record, chunk number, bytes), so a Python worker
-holds one chunk at a time. A task streams its rows into one archive of gzip members (one member
+payloads of at least 100 bytes is the response, the others are revisits without a body. Only digests
+that repeat are joined with the pages: up to ``broadcast_digests`` of them go to all tasks; of more,
+those of at least ``hot_copies`` pages do (no more than pages divided by that), and the rest meet their
+pages by shuffle, so no task gets all pages of one payload. Each payload is cut into chunks inside
+Spark's rows (record, chunk number, bytes), so a Python worker holds one chunk at a time. A task streams its rows into one archive of gzip members (one member
 a record), under a name of its own, and returns a manifest row; only rows of finished tasks name
 archives, so attempts that died leave nothing that counts.
 
@@ -11,6 +13,9 @@ Reading: a task streams one archive through a bounded decompressor and yields ro
 (page_id, chunk_no, chunk, offset, sha256 of the payload so far, last); the last chunk of a record
 carries the digest of the whole payload. No record is held whole.
 
+Record ids derive from page_id and digest, so a revisit can name its response's record. A header value
+has %, CR and LF escaped as %25, %0D and %0A, which reading undoes.
+
 Defined results: a null html is an empty payload (a single empty last chunk); payloads under 100
 bytes are always responses; of rows with the smallest page_id repeated, each is a response; a
 null page_id is written and read back as null and never chosen as referred-to page, and such a
@@ -33,25 +38,38 @@ from sparkverity.llm.common import bounded_batches, checkpointed, new_dir
 
 LEAST_BYTES = 100
 CHUNK_BYTES = 1 << 16
+BROADCAST_DIGESTS = 500_000
+HOT_COPIES = 100_000
+#: Fixed value: the profile of a revisit whose payload is that of another record.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 16
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(pages: DataFrame, *, broadcast_digests: int = BROADCAST_DIGESTS, hot_copies: int = HOT_COPIES) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of each page."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     light = pages.select("page_id", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    first = (
+    repeated = (
         light.where(F.col("payload_bytes") >= LEAST_BYTES)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .where("copies > 1")
-        .drop("copies")
     )
+    repeated = checkpointed(repeated)
     full = pages.select(
         "page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest")
     )
+    if repeated.count() <= broadcast_digests:
+        joined = full.join(F.broadcast(repeated.drop("copies")), "payload_digest", "left")
+    else:
+        hot = repeated.where(F.col("copies") >= hot_copies).select("payload_digest", F.col("first_id").alias("hot_id"))
+        rest = repeated.where(F.col("copies") < hot_copies).select(F.col("payload_digest").alias("_key"), "first_id")
+        dealt = full.join(F.broadcast(hot), "payload_digest", "left")
+        alone = F.col("hot_id").isNotNull() | (F.col("payload_bytes") < LEAST_BYTES)
+        dealt = dealt.withColumn("_key", F.when(alone, F.hex(F.xxhash64("page_id", "url"))).otherwise(F.col("payload_digest")))
+        joined = dealt.join(rest.hint("merge"), "_key", "left").withColumn("first_id", F.coalesce("hot_id", "first_id"))
     again = F.col("first_id") < F.col("page_id")
-    return full.join(first.hint("merge"), "payload_digest", "left").select(
+    return joined.select(
         "page_id",
         "url",
         F.when(F.coalesce(again, F.lit(False)), F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
@@ -65,27 +83,39 @@ def records(pages: DataFrame) -> DataFrame:
 def chunk_rows(recs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A row per chunk, at least one per record; the chunks of a record follow one another."""
     n = F.greatest(F.lit(1), F.ceil(F.length("payload") / F.lit(chunk_bytes)).cast("int"))
-    cut = recs.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
-    return cut.select(
+    cuts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("payload"), k * chunk_bytes + 1, F.lit(chunk_bytes)))
+    return recs.select(
         F.col("page_id").cast("string").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("string").alias("refers_to"),
-        "chunk_no", (F.col("chunk_no") == n - 1).alias("last"), F.length("payload").alias("body_bytes"),
-        F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"),
-    )
+        F.length("payload").alias("body_bytes"), n.alias("chunks"), F.posexplode(cuts).alias("chunk_no", "chunk"),
+    ).withColumn("last", F.col("chunk_no") == F.col("chunks") - 1)
+
+
+def escaped(value: str) -> str:
+    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def plain(value: str | None) -> str | None:
+    return None if value is None else value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
+def record_id(page_id: str | None, digest: str) -> str:
+    """Of a page; a page without an id has a record id of its own."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
 
 
 def _header(page_id, url, payload_bytes, digest, kind, refers_to, body_bytes) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {payload_bytes}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {payload_bytes}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + escaped(url))
     if page_id is not None:
-        lines.append(f"X-Page-Id: {page_id}")
+        lines.append(f"X-Page-Id: {escaped(page_id)}")
     if refers_to is not None:
-        lines.append(f"X-Refers-To-Page-Id: {refers_to}")
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {escaped(refers_to)}"]
     lines.append(f"Content-Length: {body_bytes}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, to: str | None = None, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def write(pages: DataFrame, to: str | None = None, *, chunk_bytes: int = CHUNK_BYTES, **parameters) -> DataFrame:
     """Write archives to a folder all executors share; a manifest of (path, records)."""
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -109,7 +139,7 @@ def write(pages: DataFrame, to: str | None = None, *, chunk_bytes: int = CHUNK_B
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return checkpointed(chunk_rows(records(pages), chunk_bytes).mapInArrow(run, "path string, records long"))
+    return checkpointed(chunk_rows(records(pages, **parameters), chunk_bytes).mapInArrow(run, "path string, records long"))
 
 
 def _plain(source) -> Iterator[bytes]:
@@ -177,7 +207,7 @@ def read(spark, manifest: DataFrame, root: str, *, chunk_bytes: int = CHUNK_BYTE
                 with store.open_input_stream(path, compression=None) as source:
                     rows, size = [], 0
                     for h, k, chunk, offset, digest, last in stream(source, chunk_bytes):
-                        rows.append((h.get("X-Page-Id"), h.get("WARC-Target-URI"), h["WARC-Type"], h.get("X-Refers-To-Page-Id"), h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"]), k, chunk, offset, digest, last))
+                        rows.append((plain(h.get("X-Page-Id")), plain(h.get("WARC-Target-URI")), h["WARC-Type"], plain(h.get("X-Refers-To-Page-Id")), h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"]), k, chunk, offset, digest, last))
                         size += len(chunk) + 200
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
@@ -189,7 +219,7 @@ def read(spark, manifest: DataFrame, root: str, *, chunk_bytes: int = CHUNK_BYTE
     return manifest.repartition(max(1, n)).mapInArrow(run, schema)
 
 
-def round_trip(pages: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def round_trip(pages: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, **parameters) -> DataFrame:
     """Write the pages, read the archives back: one row per record, from its last chunk.
 
     A revisit has no body of its own, so its digest and length are those of its header; a
@@ -197,7 +227,7 @@ def round_trip(pages: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     """
     spark = pages.sparkSession
     to = new_dir(spark, "warc")
-    chunks = read(spark, write(pages, to, chunk_bytes=chunk_bytes), to, chunk_bytes=chunk_bytes)
+    chunks = read(spark, write(pages, to, chunk_bytes=chunk_bytes, **parameters), to, chunk_bytes=chunk_bytes)
     kind = pages.schema["page_id"].dataType
     response = F.col("record_type") == "response"
     return chunks.where("last").select(

@@ -397,7 +397,23 @@ def test_language_awkward(spark):
     assert langid.accepted(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("n", [2, 4, 6, 9, 40])
+def test_language_cells_of_pieces():
+    for text in (b"", b"a", "Él niño come, 12 x".encode(), bytes(range(65, 91)) * 9):
+        whole, parts = [np.concatenate(list(langid.cells(text, piece))) for piece in (1 << 20, 7)]
+        assert (np.bincount(whole, minlength=langid.CELLS) == np.bincount(parts, minlength=langid.CELLS)).all()
+
+
+def test_many_languages_and_long_texts(spark):
+    rng = random.Random(3)
+    make = lambda k: " ".join("".join(chr(97 + (k * 7 + rng.randint(0, 3) * (1 + k % 5)) % 26) for _ in range(4)) for _ in range(30))
+    docs = documents(spark, [make(k % 130) for k in range(520)] + ["the cat " * 400_000], lang=[f"l{k % 130}" for k in range(520)] + ["l0"])
+    model = langid.train(docs)
+    assert len(model.languages) == 130 and model.weights.shape[1] == model.code.shape[1]
+    rows = langid.identify(docs, model).collect()
+    assert len(rows) == 521 and all(0 <= r.score <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("n", [2, 4, 6, 9, 40, 700])
 def test_codewords_differ(n):
     code = langid.codewords(n)
     assert len({tuple(r) for r in code}) == n and all(len(set(col)) == 2 for col in code.T)
@@ -405,11 +421,12 @@ def test_codewords_differ(n):
 
 # -- 8
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("parameters", [{}, {"broadcast_digests": 0, "hot_copies": 4}])
+def test_warc_round_trip(spark, parameters):
     big = "é<p>" * 60_000
     html = [(1, "u1", big), (2, "u2", big), (9, None, "short"), (10, "a\nb", "short"), (11, "x", None), (12, "x", ""), (13, "x", "y" * 100), (14, "x", "y" * 100), (13, "x", "y" * 100), (None, "x", "y" * 100), (15, "x", "z" * 99), (16, "x", "z" * 99)]
     pages = spark.createDataFrame([(*r, "k") for r in html], "page_id long, url string, html string, payload string")
-    got = Counter(tuple(r) for r in warc.round_trip(pages, chunk_bytes=1000).collect())
+    got = Counter(tuple(r) for r in warc.round_trip(pages, chunk_bytes=1000, **parameters).collect())
     want = Counter()
     first = {}
     for i, _, h in html:
@@ -420,7 +437,23 @@ def test_warc_round_trip(spark):
         again = len(b) >= 100 and i is not None and first[h] < i
         want[i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first[h] if again else None] += 1
     assert got == want
-    assert warc.round_trip(pages.limit(0)).count() == 0
+    assert warc.round_trip(pages.limit(0), **parameters).count() == 0
+
+
+def test_warc_ids_and_urls_of_any_text(spark):
+    ids = ["a\r\nContent-Length: 3", "b%0D\n", "c: d", " e ", "é%25"]
+    pages = spark.createDataFrame([(i, i + "/u", "z" * 150) for i in ids], "page_id string, url string, html string")
+    to = new_dir(spark, "test-warc")
+    rows = warc.read(spark, warc.write(pages, to), to).where("last").collect()
+    assert {(r.page_id, r.url) for r in rows} == {(i, i + "/u") for i in ids}
+    assert {r.refers_to for r in rows} == {None, min(ids)} and sum(r.record_type == "response" for r in rows) == 1
+    store, folder = fs.FileSystem.from_uri(to)
+    heads = []
+    for f in store.get_file_info(fs.FileSelector(folder)):
+        with store.open_input_stream(f.path, compression=None) as source:
+            heads += [h for h, k, *_ in warc.stream(source) if k == 0]
+    of = {h["WARC-Type"]: h for h in heads}
+    assert of["revisit"]["WARC-Refers-To"] == of["response"]["WARC-Record-ID"] and of["revisit"]["WARC-Profile"] == warc.PROFILE
 
 
 def test_warc_chunks_restore_payloads(spark):
