@@ -72,3 +72,15 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of our own from the shared folder."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+#: A key counts as hot from one part in so many of all rows on, so there are no more hot keys than that.
+HOT_PARTS = 256
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key once; the hot keys' rows of right are broadcast, the rest is merged."""
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(1, total // HOT_PARTS)).select(key)
+    few = right.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(few.select(key)), key, "left_anti")
+    return left.join(F.broadcast(few), key).unionByName(rest.join(right.hint("merge"), key, how))

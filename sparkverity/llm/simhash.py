@@ -2,15 +2,24 @@
 
 Fingerprints: XXH64 (seed 42) of every 3-word shingle, repeats included; a bit is 1 if over half
 the hashes have it. Equal fingerprints are folded first, so exact copies cost one row each and
-what follows works on distinct values: a tight group of near copies holds a bounded number of
-those (there are 43,745 values within three bits of any value), whatever its share of the rows.
+what follows works on distinct values.
 
-A vantage tree over a bounded sample cuts the space into shards by Hamming distance. Every value
-has a home shard and also visits the shards whose boundary lies within the search radius (triangle
-bound), so that each pair within the radius meets in the home shard of either value. In a shard a
-vantage-point tree over the home values is searched with all visitors at once; linked values are
-merged on the spot and only a spanning star per shard comes back, never all pairs of a group.
-The stars are joined across shards by alternating large-star and small-star steps.
+A vantage tree over a sample of ``SAMPLE_A_SHARD`` values for each wanted shard (8 bytes each, in the
+driver) cuts the space into shards of about ``shard_rows`` values by Hamming distance. Every value has
+a home shard and also visits the shards whose boundary lies within the search radius (triangle bound),
+so that each pair within the radius meets in the home shard of either value. Homes and visits are
+counted by shard, and shards that have more are dealt into parts: a task gets at most about
+``shard_rows`` home values and ``visitor_rows`` values that look for them, each 17 bytes; every home part
+meets every visitor part. There a vantage-point tree over the home values is searched with
+all visitors at once; linked values are merged on the spot and only a spanning star comes back, never
+all pairs of a group.
+
+The stars are joined by alternating large-star and small-star steps. Values that stand in one star only
+follow its centre and take no part in that. A centre, component or fingerprint that holds one part in
+256 of the rows of a join or more is broadcast to it (256 rows at most), so that none makes a hot task.
+
+Random 64-bit values prune badly in any metric tree: the number of visits of a value grows with the
+depth of the tree (7 at a million distinct values, about 41 at a hundred million).
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other;
 fewer than three words are one shingle; component_id is the smallest doc_id reachable; rows with
@@ -30,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sparkverity.llm.common import as_bytes, bounded_batches, checkpointed
+from sparkverity.llm.common import as_bytes, bounded_batches, checkpointed, remove, spread_join, stored
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-SAMPLE = 4096
+SAMPLE_A_SHARD = 64
+LEAST_SAMPLE = 4096
 SHARD_ROWS = 65_536
+VISITOR_ROWS = 262_144
 LEAF = 48
 _BITS = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
@@ -82,7 +93,7 @@ def shard_tree(sample: np.ndarray, total: int, shard_rows: int = SHARD_ROWS):
     counter = iter(range(1 << 30))
 
     def build(values: np.ndarray):
-        if len(values) < 16 or total * len(values) <= shard_rows * len(sample):
+        if len(values) < 8 or total * len(values) <= shard_rows * len(sample):
             return next(counter)
         vp = _vantage(values)
         d = _distance(values, vp)
@@ -118,9 +129,9 @@ def route(tree, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def link(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def link(fps: np.ndarray, home: np.ndarray, asks: np.ndarray | None = None, radius: int = RADIUS) -> np.ndarray:
     """For each value the index of the smallest one linked to it, directly or through others, by
-    pairs that have a home value on one side. fps: sorted and distinct."""
+    pairs of a home value and one that asks (all do, unless told). fps: sorted and distinct."""
     root = np.arange(len(fps))
 
     def merge(a: np.ndarray, b: np.ndarray) -> None:
@@ -157,68 +168,134 @@ def link(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.ndarray:
                 if keep.any():
                     merge(a[keep], b[keep])
 
-    search(np.nonzero(home)[0], np.arange(len(fps)))
+    search(np.nonzero(home)[0], np.arange(len(fps)) if asks is None else np.nonzero(asks)[0])
     return root
 
 
-def _shard_stars(pdf: pd.DataFrame) -> pd.DataFrame:
+def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("fp", kind="stable")
-    signed = pdf["fp"].to_numpy()
-    root = link(signed.view(np.uint64), pdf["home"].to_numpy(bool))
+    signed, role = pdf["fp"].to_numpy(), pdf["role"].to_numpy()
+    root = link(signed.view(np.uint64), (role & 1) > 0, (role & 2) > 0)
     moved = root != np.arange(len(root))
     return pd.DataFrame({"a": signed[moved], "b": signed[root[moved]]})
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def dealt(fps: np.ndarray, shard: np.ndarray, home: np.ndarray, home_parts: np.ndarray, ask_parts: np.ndarray):
+    """(index, group, role) of the copies that go to the groups of a shard; a group is one of
+    home_parts x ask_parts, role 1 a home value, 2 one that asks, 3 both."""
+    mixed = (fps * _MIX) >> np.uint64(33)
+    i, j = (mixed % home_parts[shard].astype(np.uint64)).astype(np.int64), (mixed // np.uint64(7) % ask_parts[shard].astype(np.uint64)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(home_parts * ask_parts)])[shard]
+    at, group, role = [], [], []
+    for k in range(int(home_parts.max(initial=1))):  # every value asks once in each home part
+        own = np.nonzero(k < home_parts[shard])[0]
+        at.append(own)
+        group.append((first + k * ask_parts[shard] + j)[own])
+        role.append(np.where(home[own] & (i[own] == k), 3, 2))
+    for k in range(int(ask_parts.max(initial=1))):  # a home value is met in each part of those that ask
+        own = np.nonzero(home & (k < ask_parts[shard]) & (j != k))[0]
+        at.append(own)
+        group.append((first + i * ask_parts[shard] + k)[own])
+        role.append(np.ones(len(own), np.int64))
+    return tuple(np.concatenate(x) for x in (at, group, role))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with a > b to stars (a, root), by alternating large-star and small-star steps."""
+    """Edges (a, b) with a > b to stars (a, root)."""
+    spark = edges.sparkSession
+    edges = checkpointed(edges.distinct())
+    total = edges.count()
+    centres = edges.select(F.col("b").alias("a")).distinct().withColumn("centre", F.lit(True))
+    of = edges.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("stars")).join(centres.hint("merge"), "a", "left")
+    of = checkpointed(of)
+    inner = (F.col("stars") > 1) | F.col("centre").isNotNull()
+    joining = edges.join(of.where(inner).select("a").hint("merge"), "a", "left_semi")
+    roots, path = _alternate(joining)
+    leaves = of.where(~inner).select(F.col("a").alias("leaf"), F.col("b").alias("a"))
+    followed = spread_join(leaves, roots, "a", total, "left").select(F.col("leaf").alias("a"), F.coalesce("root", "a").alias("root"))
+    out = checkpointed(roots.unionByName(followed))
+    remove(spark, path)
+    return out
+
+
+def _alternate(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Stars (a, root) by alternating large-star and small-star steps; a table and its path."""
     spark = edges.sparkSession
-    edges, before = checkpointed(edges.distinct()), None
+    (edges, path), before = stored(edges, "edges"), None
     while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state.n == 0 or state == before:
-            return edges.withColumnRenamed("b", "root")
+            return edges.withColumnRenamed("b", "root"), path
         before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both.where("b > a"), least, "a", state.n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        (large, large_path) = stored(large, "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.hint("merge"), "a")
+        small = spread_join(large, least, "a", state.n)
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = checkpointed(small)
+        (edges, after) = stored(small, "edges")
+        remove(spark, path)
+        remove(spark, large_path)
+        path = after
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, visitor_rows: int = VISITOR_ROWS,
+) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     if radius != RADIUS:
         raise ValueError(f"the shards are built for a radius of {RADIUS}")
     spark = docs.sparkSession
     marked = checkpointed(fingerprints(docs, shingle))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    total = distinct.count()
-    sample = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    sums = distinct.agg(F.count("*").alias("total"), F.sum("n").alias("rows")).first()
+    total, rows = sums.total, sums.rows or 0
+    wanted = max(LEAST_SAMPLE, SAMPLE_A_SHARD * (total // shard_rows))
+    sample = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect()]
     tree = spark.sparkContext.broadcast(shard_tree(np.array(sample, np.int64).view(np.uint64), total, shard_rows))
 
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, _, home = route(tree.value, batch.column("fp").to_numpy().view(np.uint64))
+            own, n = np.unique(shard, return_counts=True)
+            homes = np.bincount(np.searchsorted(own, shard[home]), minlength=len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(homes)], names=["shard", "n", "homes"])
+
+    counts = distinct.select("fp").mapInArrow(visits, "shard int, n long, homes long").groupBy("shard").agg(F.sum("n").alias("n"), F.sum("homes").alias("homes")).collect()
+    home_parts, ask_parts = np.ones((2, 1 + max((r.shard for r in counts), default=0)), np.int64)
+    for r in counts:
+        home_parts[r.shard], ask_parts[r.shard] = max(1, -(-r.homes // (2 * shard_rows))), max(1, -(-r.n // visitor_rows))
+    parts = spark.sparkContext.broadcast((home_parts, ask_parts))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy()
             shard, at, home = route(tree.value, fps.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[at]), pa.array(home)], names=["shard", "fp", "home"])
+            own, group, role = dealt(fps[at].view(np.uint64), shard, home, *parts.value)
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(fps[at][own]), pa.array(role.astype(np.int8))], names=["group", "fp", "role"])
 
-    stars = distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(_shard_stars, "a long, b long")
-    roots = components(stars)
+    n_groups = int((home_parts * ask_parts).sum())
+    sent = distinct.select("fp").mapInArrow(deal, "group long, fp long, role byte").repartition(max(n_groups, spark.sparkContext.defaultParallelism), "group")
+    roots = components(sent.groupBy("group").applyInPandas(_stars, "a long, b long"))
     linked = distinct.join(roots.hint("merge"), distinct.fp == roots.a, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    linked = checkpointed(linked)
     named = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = linked.join(named.hint("merge"), "root").select("fp", "component_id")
-    return marked.join(by_fp.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = checkpointed(spread_join(linked, named, "root", total).select("fp", "component_id"))
+    return spread_join(marked, by_fp, "fp", rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents, whole, that name their component; rows without an id also stay. A row is known by
-    its doc_id and a hash of all its columns, so rows of one doc_id but other texts are documents apart."""
+    """The documents, whole, that come first in their component: by doc_id, null ids last, then by a hash
+    of all columns. Rows of one doc_id but other texts are documents apart; rows alike in all columns are one."""
     columns = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(*columns).alias("row")))
-    named = near_duplicates(docs.select(key.alias("doc_id"), "text"), **parameters).where(F.col("doc_id") == F.col("component_id"))
-    kept = named.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.row").alias("_row")).distinct()
-    rows = docs.where("doc_id IS NOT NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64(*columns).alias("_row"))
-    once = rows.join(kept.hint("merge"), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("_doc.*")
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64(*columns).alias("row"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), **parameters).where(F.col("doc_id") == F.col("component_id"))
+    kept = found.select(F.col("doc_id.row").alias("_row"), F.coalesce(F.col("doc_id.doc_id").cast("string"), F.lit("")).alias("_id")).distinct()
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.xxhash64(*columns).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+    )
+    return rows.join(kept.hint("merge"), ["_row", "_id"], "left_semi").dropDuplicates(["_row", "_id"]).select("_doc.*")

@@ -584,8 +584,8 @@ def test_simhash_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(comp) and kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("rows", [1 << 20, 60])
-def test_links_across_shards(rows):
+@pytest.mark.parametrize(("rows", "split"), [(1 << 20, 1 << 20), (60, 1 << 20), (60, 12), (1 << 20, 40)])
+def test_links_across_shards(rows, split):
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     chain = [base[0]]
@@ -596,11 +596,16 @@ def test_links_across_shards(rows):
     tree = simhash.shard_tree(fps, len(fps), rows)
     shard, at, home = simhash.route(tree, fps)
     assert sorted(at[home]) == list(range(len(fps)))
-    root = np.arange(len(fps))
-    for s in set(shard):
-        own = np.sort(at[shard == s])
-        is_home = np.isin(own, at[(shard == s) & home])
-        for i, r in enumerate(own[simhash.link(fps[own], is_home)]):
+    root, n_shards = np.arange(len(fps)), shard.max() + 1
+    homes, asks = np.bincount(shard[home], minlength=n_shards), np.bincount(shard, minlength=n_shards)
+    parts = [np.maximum(1, -(-x // most)) for x, most in ((homes, split), (asks, 3 * split))]
+    index, group, role = simhash.dealt(fps[at], shard, home, *parts)
+    for g in set(group):
+        here = group == g
+        own, order = np.unique(at[index[here]], return_index=True)
+        assert len(own) == here.sum() and len(own) <= 3 * (split + 3 * split)
+        roles = role[here][order]
+        for i, r in enumerate(own[simhash.link(fps[own], (roles & 1) > 0, (roles & 2) > 0)]):
             a, b = own[i], r
             while root[a] != a:
                 a = root[a]
@@ -627,7 +632,33 @@ def test_simhash_awkward(spark):
     by_id = {r.doc_id: r for r in rows}
     assert by_id[0].fingerprint == by_id[1].fingerprint == "0" * 16 and by_id[2].component_id == 0 and by_id[8].component_id == 7
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    assert Counter(r.doc_id for r in simhash.keep_one(docs).collect())[None] == 1
+    kept = Counter(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept[None] == 0 and kept[7] == 1 and kept[8] == 0  # the row without an id is a copy of document 7
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+    alone = docs.where("doc_id IN (3, 4)").withColumn("doc_id", F.lit(None).cast("long"))
+    assert simhash.keep_one(alone.union(alone)).count() == 2
+
+
+def test_shards_grow_with_the_data():
+    rng = np.random.default_rng(1)
+    total, rows = 1_000_000_000, simhash.SHARD_ROWS
+    sample = rng.integers(0, 1 << 63, simhash.SAMPLE_A_SHARD * (total // rows), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, simhash.SAMPLE_A_SHARD * (total // rows)).astype(np.uint64)
+    tree = simhash.shard_tree(sample, total, rows)
+    probe = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    shard, at, home = simhash.route(tree, probe)
+    n_shards = max(len(set(shard)), int(shard.max()) + 1)
+    assert n_shards > total // rows / 2
+    assert np.bincount(shard[home]).max() / len(probe) * total < 12 * rows  # homes; beyond two shards' worth they are dealt into parts
+
+
+def test_one_component_of_most_rows(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    texts = [" ".join(base)] * 150 + [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(0, 400, 4)] + [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(60)]
+    docs = documents(spark, texts)
+    want = brute_components([brute_fingerprint(t) for t in texts])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shard_rows=16, visitor_rows=20).collect()}
+    assert [got[k] for k in range(len(texts))] == want and Counter(want).most_common(1)[0][1] > 200
 
 
 def test_keep_one_tells_rows_of_one_id_apart(spark):
