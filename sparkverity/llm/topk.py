@@ -1,26 +1,35 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
 Components become floor(1024 x), so scores are whole numbers. Pivots, picked farthest-first from a
-bounded sample, are the top level: every vector belongs to its nearest pivot, and a pivot's group
-is split by hash into shards of about ``shard_rows`` rows, so a crowded pivot is no large group.
-Queries get a first bound on their kth score from the same sample, are grouped into blocks around
-the pivots, and a block goes only to those pivots whose ball can hold a better score than the
-block's worst bound:  <q, p> + |q| R + |p| r + r R  with radii r and R around centres q and p.
-
-In a shard a cover tree over the block's queries and one over the data are walked together; a pair
-of nodes is cut by the same bound against the worst kth score of the query node, which tightens
-as leaves are compared. The k best of each shard meet in one window per query.
+bounded sample, are the top level of the data: every vector belongs to its nearest pivot, and a pivot's
+group is split by hash into shards of at most about ``shard_rows`` rows, so a crowded pivot is no large
+group. The first pivots are the top level of the queries too: a query belongs to the block of its
+nearest one, split by hash into blocks of about ``block_queries``. Queries get a first bound on their
+kth score from the sample, and go only to those pivots whose ball can hold a better score than that:
+<q, p> + |q| R with the radius R around p. A task holds one block of queries and one shard, which is
+sent to the blocks that ask for it: blocks times rows and shards times queries are shuffled, in
+proportion to the work where nothing can be cut.
+
+There a cover tree over the block's queries and one over the shard are walked together. A pair of
+nodes with centres q and p and covering radii r and R is cut if <q, p> + |q| R + |p| r + r R is below
+the worst kth score of the queries under q, which tightens as leaves are compared. The k best of each
+group meet in one window per query.
+
+Cover trees: the children of a node are picked farthest-first until they cover it within its radius
+divided by ``BASE`` (or are ``CHILDREN``), so they stand further apart than they cover; every row goes
+to its nearest child, and down to nodes of ``LEAF`` rows or fewer.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part,
 as queries or as candidates; vectors of different lengths are compared over the shorter length;
-ties go to the smaller vec_id; a query never finds a row with its own vec_id; rows with a null
-vec_id take no part; repeated rows of a candidate count as often as they occur; fewer candidates
-than k give them all; an empty table gives no rows; other columns are ignored.
+ties go to the smaller vec_id; a query never finds a row with its own vec_id; different vectors of one
+vec_id are queries of their own, equal ones are one; rows with a null vec_id take no part; repeated rows
+of a candidate count as often as they occur; fewer candidates than k give them all; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -29,11 +38,14 @@ from pyspark.sql import functions as F
 
 K = 10
 SCALE = 1024
-SAMPLE = 2048
-PIVOTS = 64
-SHARD_ROWS = 2048
-BLOCK_QUERIES = 512
+SAMPLE = 4096
+MAX_PIVOTS = 256
+#: Shards are a 512th of the rows, within these limits.
+SHARDS, LEAST_SHARD_ROWS, SHARD_ROWS = 512, 2_048, 65_536
+BLOCK_QUERIES = 8_192
 LEAF = 64
+CHILDREN = 32
+BASE = 1.5
 
 
 @dataclass
@@ -41,48 +53,52 @@ class Node:
     centre: np.ndarray
     radius: float
     at: np.ndarray  # rows below the node
-    children: list
+    children: list = field(default_factory=list)
+    separation: float = 0.0  # least distance of the children's centres
+    norm: float = 0.0
+
+
+def farthest_first(x: np.ndarray, first: int, most: int, radius: float = 0.0) -> tuple[list[int], np.ndarray, np.ndarray, float]:
+    """Rows picked, each the farthest from those before, until all lie within the radius; to which of them
+    every row is nearest, how far from it, and how far the last one picked was."""
+    picked, apart = [first], np.inf
+    distance, nearest = ((x - x[first]) ** 2).sum(1), np.zeros(len(x), np.int64)
+    while len(picked) < most and distance.max(initial=0.0) > radius**2:
+        apart = float(np.sqrt(distance.max()))
+        picked.append(int(np.argmax(distance)))
+        own = ((x - x[picked[-1]]) ** 2).sum(1)
+        nearer = own < distance
+        distance[nearer], nearest[nearer] = own[nearer], len(picked) - 1
+    return picked, nearest, np.sqrt(distance), apart
 
 
-def cover_tree(x: np.ndarray, at: np.ndarray | None = None, leaf: int = LEAF) -> Node:
-    """Each child covers its rows within half the parent's radius; rows that fit no larger child share one."""
+def cover_tree(x: np.ndarray, at: np.ndarray | None = None, centre: int | None = None, leaf: int = LEAF) -> Node:
     at = np.arange(len(x)) if at is None else at
     own = x[at]
-    centre = own[int(np.argmin(((own - own.mean(0)) ** 2).sum(1)))]
-    distance = np.sqrt(((own - centre) ** 2).sum(1))
-    radius = float(distance.max(initial=0.0))
-    node = Node(centre, radius, at, [])
+    centre = int(np.argmin(((own - own.mean(0)) ** 2).sum(1))) if centre is None else centre
+    radius = float(np.sqrt(((own - own[centre]) ** 2).sum(1).max(initial=0.0)))
+    node = Node(own[centre], radius * (1 + 1e-12), at, norm=float(np.linalg.norm(own[centre])))
     if len(at) <= leaf or radius == 0.0:
         return node
-    free, loose = np.ones(len(at), bool), []
-    while free.any():
-        seed = int(np.argmax(np.where(free, distance, -1.0)))
-        near = free & (((own - own[seed]) ** 2).sum(1) <= (radius / 2) ** 2)
-        near[seed] = True
-        free &= ~near
-        if near.sum() * 8 >= leaf and not near.all():
-            node.children.append(cover_tree(x, at[near], leaf))
-        else:
-            loose.append(at[near])
-        if len(loose) + len(node.children) > 4 * leaf:
-            break
-    if rest := [*loose, at[free]]:
-        rest = np.concatenate(rest)
-        for part in np.array_split(rest, max(1, -(-len(rest) // leaf))):
-            if len(part):
-                mid = x[part].mean(0)
-                node.children.append(Node(mid, float(np.sqrt(((x[part] - mid) ** 2).sum(1).max())), part, []))
+    picked, nearest, _, node.separation = farthest_first(own, centre, CHILDREN, radius / BASE)
+    for k, row in enumerate(picked):
+        below = np.nonzero(nearest == k)[0]
+        node.children.append(cover_tree(x, at[below], int(np.searchsorted(below, row)), leaf))
     return node
 
 
-def dual_search(queries: np.ndarray, ids: np.ndarray, bound: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int = K, whole=None):
+def dual_search(queries: np.ndarray, ids: np.ndarray, bound: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int = K, whole=None, seen: dict | None = None):
     """(query row, data row, score) of every query's k best in this data, among scores not under its
-    bound. whole: both as Python integers, for scores that doubles don't hold exactly."""
+    bound. whole: both as Python integers, for scores that doubles don't hold exactly. seen: gets the
+    number of pairs compared."""
     q, d = whole or (queries, data)
     best: list[list[tuple[float, int, int]]] = [[] for _ in range(len(q))]
     worst = bound.astype(float).copy()
+    compared = 0
 
     def compare(qa: np.ndarray, da: np.ndarray) -> None:
+        nonlocal compared
+        compared += len(qa) * len(da)
         scores = q[qa] @ d[da].T
         useful = (scores >= worst[qa][:, None]) & (ids[qa][:, None] != data_ids[da][None, :])
         for i in np.nonzero(useful.any(1))[0]:
@@ -94,23 +110,26 @@ def dual_search(queries: np.ndarray, ids: np.ndarray, bound: np.ndarray, data: n
                 worst[row] = max(worst[row], float(-best[row][-1][0]))
 
     def reach(a: Node, b: Node) -> float:
-        upper = a.centre @ b.centre + np.linalg.norm(a.centre) * b.radius + np.linalg.norm(b.centre) * a.radius + a.radius * b.radius
+        upper = a.centre @ b.centre + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
         return float(upper) * (1 + 1e-9 * np.sign(upper)) + 1e-3
 
-    def walk(a: Node, b: Node) -> None:
-        if reach(a, b) < worst[a.at].min():
+    def walk(a: Node, b: Node, upper: float) -> None:
+        if upper < worst[a.at].min():
             return
         if not a.children and not b.children:
             compare(a.at, b.at)
         elif b.children and (not a.children or b.radius >= a.radius):
-            for child in sorted(b.children, key=lambda c: -reach(a, c)):
-                walk(a, child)
+            for far, _, child in sorted(((reach(a, c), n, c) for n, c in enumerate(b.children)), key=lambda t: (-t[0], t[1])):
+                walk(a, child, far)
         else:
             for child in a.children:
-                walk(child, b)
+                walk(child, b, reach(child, b))
 
     if len(q) and len(d):
-        walk(cover_tree(queries), cover_tree(data))
+        a, b = cover_tree(queries), cover_tree(data)
+        walk(a, b, reach(a, b))
+    if seen is not None:
+        seen["compared"] = seen.get("compared", 0) + compared
     return [(row, at, -score) for row, own in enumerate(best) for score, _, at in own]
 
 
@@ -125,17 +144,10 @@ def _whole(rows: pd.Series, width: int) -> np.ndarray:
     return np.array([[int(x) for x in v[:width]] + [0] * (width - len(v)) for v in rows], object).reshape(len(rows), width)
 
 
-def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-first from the sample."""
-    picked = [0]
-    distance = ((sample - sample[0]) ** 2).sum(1)
-    while len(picked) < min(n, len(sample)) and distance.max() > 0:
-        picked.append(int(np.argmax(distance)))
-        distance = np.minimum(distance, ((sample - sample[picked[-1]]) ** 2).sum(1))
-    return sample[picked]
-
-
-def top_k(vectors: DataFrame, *, every: int = 100, k: int = K, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE, n_pivots: int = PIVOTS) -> DataFrame:
+def top_k(
+    vectors: DataFrame, *, every: int = 100, k: int = K, shard_rows: int | None = None, block_queries: int = BLOCK_QUERIES,
+    sample_rows: int = SAMPLE, n_pivots: int | None = None,
+) -> DataFrame:
     """query_id, rank, vec_id and score of the k best for each row whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
@@ -145,68 +157,83 @@ def top_k(vectors: DataFrame, *, every: int = 100, k: int = K, shard_rows: int =
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     if not len(sample):
         return spark.createDataFrame([], result)
-    total, width = data.count(), int(max(len(v) for v in sample["v"]))
-    width = max(width, data.agg(F.max(F.size("v"))).first()[0])
+    sums = data.agg(F.count("*").alias("total"), F.max(F.size("v")).alias("width")).first()
+    total, width = sums.total, sums.width
+    shard_rows = shard_rows or min(SHARD_ROWS, max(LEAST_SHARD_ROWS, total // SHARDS))
+    n_pivots = n_pivots or min(MAX_PIVOTS, max(8, total // shard_rows))
     known, known_ids = _matrix(sample["v"], width), sample["vec_id"].to_numpy()
-    pivots = _pivots(known, n_pivots)
+    pivots = known[farthest_first(known, 0, min(n_pivots, len(known)))[0]]
     sent = spark.sparkContext.broadcast((known, known_ids, pivots))
 
+    def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return ((centres**2).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
+
     def near(batches):
         centres = sent.value[2]
-        norms = (centres**2).sum(1)
         for pdf in batches:
             x = _matrix(pdf["v"], width)
-            squared = norms[None, :] - 2 * (x @ centres.T) + (x**2).sum(1)[:, None]
-            pivot = squared.argmin(1)
+            pivot = nearest(x, centres)
             radius = np.sqrt(((x - centres[pivot]) ** 2).sum(1)) * (1 + 1e-9) + 1e-6
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "pivot": pivot.astype(np.int32), "radius": radius})
 
     placed = data.mapInPandas(near, "vec_id long, v array<long>, pivot int, radius double")
     balls = {r.pivot: (r.n, r.far) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("radius").alias("far")).collect()}
-    parts = {p: -(-n // shard_rows) for p, (n, _) in balls.items()}
-    first = np.cumsum([0] + [parts.get(p, 0) for p in range(len(pivots))])
-    part = F.element_at(F.array(*(F.lit(max(1, parts.get(p, 1))) for p in range(len(pivots)))), F.col("pivot") + 1)
+    parts = np.array([-(-balls[p][0] // shard_rows) if p in balls else 0 for p in range(len(pivots))])
+    far = np.array([balls[p][1] if p in balls else -np.inf for p in range(len(pivots))])
+    first = np.concatenate([[0], np.cumsum(parts)])
+    part = F.element_at(F.array(*(F.lit(max(1, int(x))) for x in parts)), F.col("pivot") + 1)
     start = F.element_at(F.array(*(F.lit(int(x)) for x in first[:-1])), F.col("pivot") + 1)
     shards = placed.select((start + F.pmod(F.xxhash64("vec_id"), part)).cast("int").alias("shard"), "vec_id", "v")
-    reachable = sorted(balls)
-    blocks = max(1, -(-total // every // BLOCK_QUERIES))
+    queries = data.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
+    n_queries = queries.count()
+    corners = min(len(pivots), max(1, n_queries // block_queries))
+    block_parts = max(1, -(-n_queries // (block_queries * corners)))
 
-    def send(batches):
-        """The shards a query has to see, by pivot balls against the bound from the sample."""
+    def asks(pdf: pd.DataFrame):
+        """A batch of queries: matrix, ids, bounds, block, and for each pivot whether it has to be seen."""
         seen, seen_ids, centres = sent.value
-        far = np.array([balls[p][1] if p in balls else 0.0 for p in range(len(centres))])
+        x, own = _matrix(pdf["v"], width), pdf["vec_id"].to_numpy()
+        scores = np.where(own[:, None] == seen_ids[None, :], -np.inf, x @ seen.T)
+        bound = np.sort(scores, axis=1)[:, -k] if len(seen) > k else np.full(len(x), -np.inf)
+        upper = x @ centres.T + np.linalg.norm(x, axis=1)[:, None] * np.maximum(far, 0.0)[None, :]
+        slack = np.where(np.isfinite(bound), 1e-9 * np.abs(bound) + 1e-3, 0.0)
+        block = nearest(x, centres[:corners]) * block_parts + own % (every * block_parts) // every
+        return own, bound, block, (upper + slack[:, None] >= bound[:, None]) & np.isfinite(far)[None, :]
+
+    def pairs(batches):
         for pdf in batches:
-            x, own = _matrix(pdf["v"], width), pdf["vec_id"].to_numpy()
-            scores = np.where(own[:, None] == seen_ids[None, :], -np.inf, x @ seen.T)
-            bound = np.sort(scores, axis=1)[:, -k] if len(seen) > k else np.full(len(x), -np.inf)
-            upper = x @ centres.T + np.linalg.norm(x, axis=1)[:, None] * far[None, :]
-            out = {"shard": [], "query_id": [], "q": [], "bound": []}
-            for i in range(len(x)):
-                slack = 1e-9 * abs(bound[i]) + 1e-3 if np.isfinite(bound[i]) else 0.0
-                for p in reachable:
-                    if upper[i, p] + slack >= bound[i]:
-                        for shard in range(first[p], first[p + 1]):
-                            out["shard"].append(shard)
-                            out["query_id"].append(own[i])
-                            out["q"].append(pdf["v"].iloc[i])
-                            out["bound"].append(bound[i])
-            yield pd.DataFrame(out)
+            _, _, block, wanted = asks(pdf)
+            asked = {(int(b), p) for b in set(block) for p in np.nonzero(wanted[block == b].any(0))[0]}
+            out = [(shard, b) for b, p in asked for shard in range(first[p], first[p + 1])]
+            yield pd.DataFrame(out, columns=["shard", "block"]).astype("int32")
 
-    queries = data.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    asked = queries.mapInPandas(send, "shard int, query_id long, q array<long>, bound double").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    def send(batches):
+        for pdf in batches:
+            own, bound, block, wanted = asks(pdf)
+            row, pivot = np.nonzero(wanted)
+            n = parts[pivot]
+            row, begin = np.repeat(row, n), np.repeat(first[:-1][pivot], n)
+            shard = begin + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            for lo in range(0, len(row), 10_000):
+                at = row[lo : lo + 10_000]
+                yield pd.DataFrame({
+                    "shard": shard[lo : lo + 10_000].astype(np.int32), "block": block[at].astype(np.int32), "query_id": own[at], "q": pdf["v"].iloc[at].to_numpy(), "bound": bound[at],
+                })
+
+    asked = queries.mapInPandas(send, "shard int, block int, query_id long, q array<long>, bound double")
+    reach = queries.mapInPandas(pairs, "shard int, block int").distinct().groupBy("shard").agg(F.collect_list("block").alias("blocks"))  # at most all blocks
+    dealt = shards.join(reach.hint("merge"), "shard").select("shard", F.explode("blocks").alias("block"), "vec_id", "v")
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         d, d_ids = _matrix(right["v"], width), right["vec_id"].to_numpy()
-        out = []
-        for _, own in left.groupby("block"):
-            q_ids = own["query_id"].to_numpy()
-            q = _matrix(own["q"], width)
-            large = np.abs(q).max(initial=0.0) * np.abs(d).max(initial=0.0) * width >= 2**52
-            whole = (_whole(own["q"], width), _whole(right["v"], width)) if large else None
-            found = dual_search(q, q_ids, own["bound"].to_numpy(), d, d_ids, k, whole)
-            out += [(q_ids[i], d_ids[j], int(score)) for i, j, score in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        q, q_ids = _matrix(left["q"], width), left["query_id"].to_numpy()
+        large = np.abs(q).max(initial=0.0) * np.abs(d).max(initial=0.0) * width >= 2**52
+        whole = (_whole(left["q"], width), _whole(right["v"], width)) if large else None
+        found = dual_search(q, q_ids, left["bound"].to_numpy(), d, d_ids, k, whole)
+        out = [(q_ids[i], left["variant"].iloc[i], d_ids[j], int(score)) for i, j, score in found]
+        return pd.DataFrame(out, columns=["query_id", "variant", "vec_id", "score"]).astype("int64")
+
+    asked = asked.withColumn("variant", F.xxhash64("q"))
+    found = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(search, "query_id long, variant long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -42,12 +42,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh32_intdigest
 
 from sparkverity.llm.common import as_bytes, bounded_batches, remainder, remove, stored, words
 
 ORDER = 32
-CALIBRATION_ROWS = 8_000
+CALIBRATION_ROWS = 4_000
 DISCOUNT = 2.0
 ERRORS = 3.5
 POOL = 0.02
@@ -205,18 +205,18 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs[c].update(zip([b"", *own], own, strict=False))
             texts[c].update(set(own))
         for c in (0, 1):
-            before = pa.array([xxh64_intdigest(v) - (1 << 63) for v, _ in pairs[c]] + [None] * len(texts[c]), pa.int64())
+            before = pa.array([xxh32_intdigest(v) - (1 << 31) for v, _ in pairs[c]] + [None] * len(texts[c]), pa.int32())
             word = pa.array([w for _, w in pairs[c]] + list(texts[c]), pa.binary())
-            n = [pa.array([1] * len(pairs[c]) + list(texts[c].values()), pa.int64()), pa.array(np.zeros(len(word), np.int64))]
-            yield pa.RecordBatch.from_arrays([word, before, *(n if c == 0 else n[::-1])], names=["word", "before", "n0", "n1"])
+            n = pa.array([1] * len(pairs[c]) + list(texts[c].values()), pa.int32())
+            yield pa.RecordBatch.from_arrays([word, before, pa.array(np.full(len(word), c, np.int8)), n], names=["word", "before", "c", "n"])
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """word, n0, n1: in each class the different words before it, but no more than texts that hold it."""
-    pairs = rows.mapInArrow(_pairs, "word binary, before long, n0 long, n1 long").groupBy("word", "before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = rows.mapInArrow(_pairs, "word binary, before int, c byte, n int").groupBy("word", "before", "c").agg(F.sum("n").alias("n"))
     text, pair = F.col("before").isNull(), F.col("before").isNotNull()
-    sums = [F.sum(F.when(text, F.col(n)).otherwise(0)).alias(f"texts_{n}") for n in ("n0", "n1")]
-    sums += [F.count_if(pair & (F.col(n) > 0)).alias(f"pairs_{n}") for n in ("n0", "n1")]
+    sums = [F.sum(F.when(text & (F.col("c") == c), F.col("n")).otherwise(0)).alias(f"texts_n{c}") for c in (0, 1)]
+    sums += [F.count_if(pair & (F.col("c") == c)).alias(f"pairs_n{c}") for c in (0, 1)]
     counted = pairs.groupBy("word").agg(*sums)
     return counted.select("word", *(F.least(f"texts_{n}", f"pairs_{n}").cast("double").alias(n) for n in ("n0", "n1")))
 

@@ -159,12 +159,52 @@ def test_topk_brute_force(spark):
     rows += [(700 + i, rows[5][1]) for i in range(60)]  # ties
     rows += [(800, None), (801, []), (810, [1.0, None, 2.0]), (820, [float("nan")] * 6), (830, [float("inf")] * 6), (840, [1.0, 2.0]), (None, [1.0] * 6), (850, [3e4] * 6)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, every=10, shard_rows=64, sample_rows=100, n_pivots=5).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, every=10, shard_rows=64, block_queries=9, sample_rows=100, n_pivots=5).collect())
     assert got == brute_top(rows, 10, 10)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, every=10).collect()) == got
     assert topk.top_k(df.limit(0)).count() == 0
     assert [tuple(r) for r in topk.top_k(df.where("vec_id IN (0, 3)"), every=10).select("query_id", "vec_id").collect()] == [(0, 3)]
 
 
+def test_cover_trees_cover_and_separate():
+    rng = np.random.default_rng(3)
+    x = np.floor(1024 * (rng.normal(size=(40, 8))[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 8))))
+
+    def check(node, depth):
+        assert (((x[node.at] - node.centre) ** 2).sum(1) <= (node.radius * (1 + 1e-9)) ** 2 + 1e-6).all()
+        if not node.children:
+            assert len(node.at) <= topk.LEAF or node.radius == 0
+            return depth
+        assert sorted(np.concatenate([c.at for c in node.children])) == sorted(node.at)
+        centres = np.array([c.centre for c in node.children])
+        apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[np.triu_indices(len(centres), 1)].min()
+        assert apart >= node.separation - 1e-6 >= max(c.radius for c in node.children) - 1e-3  # further apart than they cover
+        return max(check(c, depth + 1) for c in node.children)
+
+    assert check(topk.cover_tree(x), 0) >= 2
+
+
+def test_dual_search_cuts_pairs():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    make = lambda n: np.floor(1024 * (centres[rng.integers(0, 60, n)] + 0.05 * rng.normal(size=(n, 16))))
+    q, d, seen = make(500), make(6000), {}
+    found = topk.dual_search(q, np.arange(500), np.full(500, -np.inf), d, np.arange(1000, 7000), 10, seen=seen)
+    best = {}
+    for i, j, score in found:
+        best.setdefault(i, []).append((-score, j))
+    scores = q @ d.T
+    for i in range(500):
+        assert sorted(best[i]) == sorted((-scores[i, j], j) for j in np.lexsort((np.arange(6000), -scores[i]))[:10])
+    assert seen["compared"] < 0.5 * 500 * 6000
+
+
+def test_topk_of_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect())
+    assert got == sorted([(1, 1, 2 * 1024**2), (2, 2, 0), (1, 2, 3 * 1024**2), (2, 1, 0)])
+
+
 def test_topk_scores_beyond_doubles(spark):
     df = spark.createDataFrame([(0, [2.0**20] * 2), (1, [2.0**20, 2.0**20 + 0.0078125]), (2, [2.0**20] * 2)], "vec_id long, embedding array<double>")
     got = [(r.vec_id, r.score) for r in topk.top_k(df, every=100).orderBy("rank").collect()]
