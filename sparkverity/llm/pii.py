@@ -4,13 +4,15 @@ Four base kinds are found by pattern and check (parts of an address, Luhn, numbe
 always stay. Further spans come from a pattern for candidates: access tokens, national ids, local
 phone numbers, bank accounts and titled names. Three labelers vote on each candidate (yes, no or
 nothing): a strict regex, a gazetteer of prefixes, countries and names, and the words before it.
-Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is
-and how likely each pattern is personal data; a logistic span classifier over votes and kinds is
-trained on these likelihoods. Candidates it gives at least one half, and that overlap no base span,
-are added.
+Expectation-maximisation over the counts of vote patterns estimates, for each kind of span, how
+reliable each labeler is and how likely each pattern is personal data (a kind with few candidates leans
+on the reliabilities pooled over kinds); a logistic span classifier over votes and kinds is trained on
+these likelihoods. Candidates it gives at least one half, and that overlap no base span, are added.
 
 The pattern counts come from every document; there are at most 27 per kind, so they and the
 classifier have a fixed size. Texts never leave the row they are in: no shuffle but that of counts.
+Matches of a long text are put together in runs of ``RUN`` pieces, and base spans near a candidate are
+found by halving, so time grows with the text and not with its square.
 
 Defined results: a null text is empty; without spans the digest is that of an empty string; the
 private-use character U+E000 serves as a marker, one in a text is read as U+E001; repeated rows
@@ -44,17 +46,31 @@ CANDIDATE = {
     "person": r"(?:Mrs?|Ms|Dr)\.? \p{Lu}\p{L}+",
 }
 STRICT = {
-    "token": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})$",
+    "token": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})$",
     "account": r"^[A-Z]{2}[0-9]{2}(?:[A-Z]{4}[0-9]{7,}|[0-9]{11,})[A-Z0-9]*$",
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "local_phone": r"^(?:\([2-9][0-9]{2}\) |[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[.-][0-9]{4}$",
     "person": r"^(?:Mrs?|Ms|Dr)\. \p{Lu}\p{Ll}+$",
 }
 LOOSE_NO = {"token": r"^[A-Za-z_-]+$|^[0-9_-]+$"}
+#: Common surnames of several countries.
+NAMES = (
+    "Adams Allen Anderson Baker Becker Bell Bernard Bertrand Brown Campbell Carter Castro Clark Cohen Collins Cooper Cox Davies Davis Diaz Dubois Durand Edwards "
+    "Evans Fernandez Fischer Flores Fournier Garcia Girard Gomez Gonzalez Green Hall Harris Hernandez Hill Hoffmann Hughes Jackson Jimenez Johnson Jones Kelly "
+    "Khan King Klein Koch Lambert Laurent Lee Lefebvre Leroy Lewis Lopez Martin Martinez Meyer Miller Mitchell Moore Moreau Moreno Morgan Morris Murphy Navarro "
+    "Nelson Nguyen Parker Patel Perez Peters Petit Phillips Ramirez Reed Richard Richter Rivera Roberts Robinson Rodriguez Rogers Romero Rossi Roux Ruiz Sanchez "
+    "Schmidt Schneider Schulz Scott Silva Simon Smith Stewart Suarez Taylor Thomas Thompson Torres Turner Vargas Vincent Wagner Walker Ward Watson Weber White "
+    "Williams Wilson Wolf Wood Wright Young Zimmermann"
+).split()
 GAZETTEER = {
     "token": r"^(?:AKIA|gh[pousr]_|sk-|xox[abp]-|eyJ)",
     "account": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
-    "person": r"(?:Smith|Jones|Brown|Miller|Davis|Garcia|Martin|Bernard|Dubois|Schmidt|Weber|Fischer|Lopez|Sanchez)$",
+    "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+    "local_phone": r"^\(?(?:20[1-9]|21[02-9]|22[0-9]|23[149]|24[08]|25[1-6]|26[0279]|27[0246]|28[13]|30[1-9]|31[0-9]|32[0135]|33[0146]|34[0167]|35[12]|36[014]|38[056]|40[1-9]|41[02-9]"
+    r"|42[345]|43[0245]|44[0237]|45[68]|46[3479]|47[0589]|48[04]|50[1-9]|51[0-9]|52[0-9]|53[0149]|54[01]|55[19]|56[1247]|57[0-5]|58[056]|60[1-9]|61[0-9]|62[0-9]|63[016]"
+    r"|64[16]|65[0179]|66[0-9]|67[0128]|68[0129]|70[1-9]|71[2-9]|72[0-7]|73[124]|74[037]|75[47]|76[0-9]|77[0-9]|78[0-7]|80[1-8]|81[0-9]|82[058]|83[0-2]|84[3578]|85[0-9]"
+    r"|86[0-9]|87[0238]|90[1-9]|91[0-9]|92[058]|93[0-9]|94[0179]|95[0-6]|97[0-9]|98[0459])",
+    "person": rf"(?:{'|'.join(NAMES)})$",
 }
 GAZETTEER_NO = {"account": r"^[A-Z]{2}"}
 CONTEXT = {
@@ -66,6 +82,10 @@ CONTEXT = {
 }
 CONTEXT_CHARS = 32
 ROUNDS = 100
+#: Pieces of a text (matches and what lies between) that are put together at a time; even.
+RUN = 128
+#: Weight of the pooled reliabilities in those of a kind, in candidates.
+LEAN = 5.0
 
 
 def _text(text: Column) -> Column:
@@ -74,16 +94,33 @@ def _text(text: Column) -> Column:
 
 
 def _found(text: Column, pattern: str, item: Callable[[Column, Column, Column, Column], Column], keep: Callable[[Column], Column], empty: str) -> Column:
-    """One item(match, start, end, text before) per match that passes keep, in order of place."""
+    """One item(match, start, end, text before) per match that passes keep, in order of place. The pieces
+    between marks are gone through in runs, each with places of its own, which are then moved by what lies before."""
     parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.lit("").alias("before"), F.array().cast(empty).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        end = a["at"] + F.length(x)
-        out = F.when(a["hit"] & keep(x), F.concat(a["out"], F.array(item(x, a["at"], end, a["before"])))).otherwise(a["out"])
-        return F.struct(end.alias("at"), (~a["hit"]).alias("hit"), F.right(x, F.lit(CONTEXT_CHARS)).alias("before"), out.alias("out"))
+    def run(all_parts: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.right(F.element_at(all_parts, F.greatest(k * RUN, F.lit(1))), F.lit(CONTEXT_CHARS))).otherwise(F.lit(""))
+        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), before.alias("before"), F.array().cast(empty).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda a: a["out"])
+        def step(a: Column, x: Column) -> Column:
+            end = a["at"] + F.length(x)
+            out = F.when(a["hit"] & keep(x), F.concat(a["out"], F.array(item(x, a["at"], end, a["before"])))).otherwise(a["out"])
+            return F.struct(end.alias("at"), (~a["hit"]).alias("hit"), F.right(x, F.lit(CONTEXT_CHARS)).alias("before"), out.alias("out"))
+
+        return F.aggregate(F.slice(all_parts, k * RUN + 1, F.lit(RUN)), start, step, lambda a: F.struct(a["at"].alias("long"), a["out"].alias("out")))
+
+    def runs(all_parts: Column) -> Column:
+        last = F.floor((F.size(all_parts) - 1) / RUN).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: run(all_parts, k))
+
+    def placed(all_runs: Column) -> Column:
+        longs = F.transform(all_runs, lambda r: r["long"])
+        starts = F.aggregate(longs, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        moved = F.zip_with(all_runs, starts, lambda r, by: F.transform(r["out"], lambda x: x.withField("start", x["start"] + by).withField("end", x["end"] + by)))
+        return F.flatten(F.filter(moved, lambda x: x.isNotNull()))
+
+    # Each step's array is bound once by a transform over an array that holds only it.
+    return F.flatten(F.transform(F.array(parts), lambda p: F.element_at(F.transform(F.array(runs(p)), placed), 1)))
 
 
 def _digits(x: Column) -> Column:
@@ -118,16 +155,16 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 _SPAN = "array<struct<start:int,place:int,end:int,kind:string>>"
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (start, place of the kind, end, kind), by start, then kind as listed."""
+def base_spans(text: Column) -> list[Column]:
+    """Per kind an array of (start, place of the kind, end, kind), in order."""
     found = []
     for place, kind in enumerate(BASE):
         def item(x: Column, at: Column, end: Column, before: Column, place: int = place, kind: str = kind) -> Column:
             return F.struct(at.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(kind).alias("kind"))
 
         own = _found(text, BASE[kind], item, CHECKS[kind], _SPAN)
-        found.append(F.when(text.rlike(NEEDS[kind]), own).otherwise(F.array().cast(_SPAN)))
-    return F.array_sort(F.concat(*found))
+        found.append(F.when(text.rlike(NEEDS[kind]), own).otherwise(F.array().cast(_SPAN)).alias(kind))
+    return found
 
 
 _CANDIDATE = "array<struct<start:int,place:int,end:int,kind:string,regex:int,gazetteer:int,context:int>>"
@@ -161,14 +198,29 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(pattern), _found(text, pattern, item, lambda x: F.lit(True), _CANDIDATE)).otherwise(F.array().cast(_CANDIDATE))
 
 
+def _overlaps(spans: str) -> str:
+    """Whether the candidate c overlaps one of spans (of one kind, so in order and apart): the last that starts before its end."""
+    half = "(s.low + s.high) div 2"
+    step = f"CASE WHEN s.low >= s.high THEN s WHEN {spans}[cast({half} AS int)].start < c.end THEN named_struct('low', {half} + 1L, 'high', s.high) ELSE named_struct('low', s.low, 'high', {half}) END"
+    before = f"aggregate(sequence(1, 32), named_struct('low', 0L, 'high', cast(size({spans}) AS bigint)), (s, k) -> {step}, s -> s.low)"
+    return f"size({spans}) > 0 AND exists(array({before}), n -> n > 0 AND {spans}[cast(greatest(n, 1L) - 1 AS int)].end > c.start)"
+
+
 def _free(docs: DataFrame) -> DataFrame:
     """doc_id, base spans, and candidates that overlap none of them."""
-    spans = docs.select("doc_id", _text(F.col("text")).alias("_t")).select("doc_id", base_spans(F.col("_t")).alias("base"), candidates(F.col("_t")).alias("more"))
-    return spans.withColumn("more", F.expr("filter(more, c -> NOT exists(base, b -> b.start < c.end AND b.end > c.start))"))
+    text = docs.select("doc_id", _text(F.col("text")).alias("_t"))
+    spans = text.select("doc_id", *base_spans(F.col("_t")), candidates(F.col("_t")).alias("more"))
+    free = F.expr(f"CASE WHEN size(more) > 0 THEN filter(more, c -> NOT ({' OR '.join(f'({_overlaps(k)})' for k in BASE)})) ELSE more END")
+    return spans.select("doc_id", F.array_sort(F.concat(*BASE)).alias("base"), free.alias("more"))
+
+
+Votes = tuple[int, ...]
+Table = list[list[list[float]]]
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], float]]) -> tuple[float, list[list[list[float]]], list[float]]:
-    """EM over (votes, count): share of true spans, P(vote | truth) per labeler, P(true | pattern)."""
+def reliabilities(patterns: list[tuple[Votes, float]], lean: Table | None = None) -> tuple[float, Table, list[float]]:
+    """EM over (votes, count): share of true spans, P(vote | truth) per labeler, P(true | pattern).
+    lean: a table that counts like LEAN candidates."""
     n = len(patterns[0][0])
     true = [min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for v, _ in patterns]
     prior, table = 0.5, []
@@ -177,7 +229,7 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], float]]) -> tuple[float,
         prior = (sum(t * c for t, (_, c) in zip(true, patterns, strict=True)) + 1.0) / (total + 2.0)
         table = []
         for j in range(n):
-            own = [[0.5, 0.5, 0.5], [0.5, 0.5, 0.5]]  # by truth, then vote -1, 0, 1
+            own = [[0.5 + (LEAN * lean[j][truth][k] if lean else 0.0) for k in range(3)] for truth in (0, 1)]  # by truth, then vote -1, 0, 1
             for t, (v, c) in zip(true, patterns, strict=True):
                 own[1][v[j] + 1] += t * c
                 own[0][v[j] + 1] += (1.0 - t) * c
@@ -188,13 +240,23 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], float]]) -> tuple[float,
     return prior, table, true
 
 
-def _inputs(kind: str, votes: tuple[int, ...]) -> list[float]:
+def likelihoods(patterns: list[tuple[str, Votes, float]]) -> list[float]:
+    """P(true) of each (kind, votes, count), with reliabilities of each kind."""
+    _, pooled, _ = reliabilities([(v, c) for _, v, c in patterns])
+    out = {}
+    for kind in {k for k, _, _ in patterns}:
+        own = [(v, c) for k, v, c in patterns if k == kind]
+        out |= {(kind, v): t for (v, _), t in zip(own, reliabilities(own, pooled)[2], strict=True)}
+    return [out[k, v] for k, v, _ in patterns]
+
+
+def _inputs(kind: str, votes: Votes) -> list[float]:
     return [1.0, *(float(kind == k) for k in KINDS[4:]), *(float(v == want) for v in votes for want in (1, -1))]
 
 
 def classifier(patterns: list[tuple[str, tuple[int, ...], float]]) -> list[float]:
     """Weights of the span classifier, fitted to what EM says of each (kind, votes)."""
-    _, _, true = reliabilities([(v, c) for _, v, c in patterns])
+    true = likelihoods(patterns)
     x = [_inputs(k, v) for k, v, _ in patterns]
     total = sum(c for _, _, c in patterns)
     w = [0.0] * len(x[0])

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -410,6 +412,82 @@ def test_pii_adds_spans_and_keeps_base(spark):
     assert with_no_candidate.spans == "email:2:8"
 
 
+def planted(rng, kind):
+    """A span of a kind with words before it that such spans have, and one that only looks like it."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    if kind == "token":
+        return rng.choice(["api key: ", "token=", "secret "]), hexes(40), "word ", "an_identifier_of_many_words_" + rng.choice(["x", "yy", "zzz"])
+    if kind == "account":
+        return rng.choice(["IBAN ", "account: "]), rng.choice(["DE", "FR", "NL"]) + digits(20), "part ", "XQ12" + "".join(rng.choice("ABCDEFGH") for _ in range(14))
+    if kind == "national_id":
+        return rng.choice(["SSN ", "national id: "]), f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "lot ", f"000-00-{digits(4)}"
+    if kind == "local_phone":
+        return rng.choice(["call ", "phone: "]), f"({rng.choice(['212', '415', '617'])}) {rng.randint(200, 999)}-{digits(4)}", "sum ", f"{rng.choice(['011', '123', '199'])} 0{digits(2)}.{digits(4)}"
+    return rng.choice(["signed ", "my name is "]), "Dr. " + rng.choice(["Smith", "Garcia", "Weber", "Nguyen"]), "the ", "Dr " + rng.choice(["Drive", "Index", "Value"])
+
+
+def test_pii_recall_by_kind(spark):
+    rng, texts, want, wrong = random.Random(11), [], [], []
+    for k in range(600):
+        kind = pii.KINDS[4 + k % 5]
+        before, span, other, decoy = planted(rng, kind)
+        head = "some words " + before
+        texts.append(head + span + " and " + other + decoy + " end")
+        want.append((kind, f"{kind}:{len(head)}:{len(head) + len(span)}"))
+        wrong.append(str(len(head) + len(span) + 5 + len(other)))
+    rows = {r.doc_id: r.spans.split(",") for r in pii.find(documents(spark, texts)).collect()}
+    for kind in pii.KINDS[4:]:
+        of = [k for k in range(600) if want[k][0] == kind]
+        caught, flagged = sum(want[k][1] in rows[k] for k in of), sum(any(x.split(":")[1:2] == [wrong[k]] for x in rows[k]) for k in of)
+        assert caught / len(of) >= 0.9 and flagged / len(of) <= 0.1, (kind, caught, flagged)
+
+
+def brute_added(text, weights):
+    """Candidates by pattern, their votes, and the classifier; what overlaps a base span is left out."""
+    base, out = brute_spans(text), []
+    first = ("account", "token", "national_id", "local_phone", "person")
+    for m in regex.finditer("|".join(pii.CANDIDATE[k] for k in first), text):
+        kind = next(k for k in ("account", "national_id", "local_phone", "person", "token") if regex.fullmatch(pii.CANDIDATE[k], m[0]))
+        before = text[: m.start()][-pii.CONTEXT_CHARS :]
+        # What stands before is cut at the end of the last candidate.
+        last = max([x.end() for x in regex.finditer("|".join(pii.CANDIDATE[k] for k in first), text) if x.end() <= m.start()], default=0)
+        before = text[last : m.start()][-pii.CONTEXT_CHARS :]
+        yes_no = [
+            (regex.search(pii.STRICT[kind], m[0]), kind in pii.LOOSE_NO and regex.search(pii.LOOSE_NO[kind], m[0])),
+            (kind in pii.GAZETTEER and regex.search(pii.GAZETTEER[kind], m[0]), kind in pii.GAZETTEER_NO and regex.search(pii.GAZETTEER_NO[kind], m[0])),
+            (regex.search(pii.CONTEXT[kind], before), kind == "token"),
+        ]
+        votes = tuple(1 if a else -1 if b else 0 for a, b in yes_no)
+        if sum(w * x for w, x in zip(weights, pii._inputs(kind, votes), strict=True)) >= 0 and not any(a < m.end() and e > m.start() for a, _, e, _ in base):
+            out.append((m.start(), pii.KINDS.index(kind), m.end(), kind))
+    return ",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted(base + out))
+
+
+def test_pii_added_spans_brute_force(spark):
+    rng, texts = random.Random(12), []
+    for k in range(150):
+        pieces = [x for j in range(rng.randint(1, 5)) for x in planted(rng, pii.KINDS[4 + (k + j) % 5])]
+        texts.append(" ".join([*pieces, "a_long_local_part_of_letters@mail.org", "1.2.3.4", "+1 (212) 555-0123"][: rng.randint(1, 25)]))
+    texts += ["x " * 200 + " ".join(f"key {k:040x} mail{k}@a.org" for k in range(300))]  # many runs of pieces
+    docs = documents(spark, texts)
+    weights = pii.train(docs)
+    got = {r.doc_id: r.spans for r in pii.find(docs, weights).collect()}
+    assert got == {k: brute_added(t, weights) for k, t in enumerate(texts)}
+
+
+def test_pii_of_a_long_text_is_linear(spark):
+    texts = [" ".join(f"person{k}@mail{k}.org {k:040x}" for k in range(n)) for n in (2_000, 16_000)]
+    seconds = []
+    for k, t in enumerate(texts):
+        docs = documents(spark, [t])
+        pii.find(docs, [1.0] * 12).collect()
+        began = time.time()
+        assert pii.find(docs, [1.0] * 12).first().n_email == (2_000, 16_000)[k]
+        seconds.append(time.time() - began)
+    assert seconds[1] < 8 * 3 * max(seconds[0], 0.5)
+
+
 def test_reliabilities_find_the_good_labeler():
     patterns = [((1, 0, 1), 90.0), ((1, 0, -1), 10.0), ((-1, 0, -1), 95.0), ((-1, 0, 1), 5.0)]
     prior, table, true = pii.reliabilities(patterns)
