@@ -8,7 +8,9 @@ block in sight the search moves nine words at a time.
 
 The benchmark travels to the tasks in passes of at most ``windows_per_pass`` windows, so what is
 broadcast has a bound whatever the size of the benchmark; the usual benchmark is one pass and
-then the job is a single map over the documents, without a shuffle.
+then the job is a single map over the documents, without a shuffle. With more passes each reads the
+texts and stores the spans and items of documents with a hit only, by a hash of id and text; texts
+aren't written again.
 
 Defined results: a null or wordless text has no words and no hit; a null item text or item_id
 takes no part; repeated documents are judged one by one; repeated items count once by item_id;
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkverity.llm.common import as_bytes, bounded_batches, checkpointed, keep_rows, words
+from sparkverity.llm.common import as_bytes, bounded_batches, keep_rows, stored, words
 
 WINDOW = 10
 BLOCK = 2
@@ -109,14 +111,32 @@ def find(
     if len(groups) == 1:
         sent = spark.sparkContext.broadcast(groups[0]())
         return out.mapInArrow(_judge(lambda: matchers(sent.value, window)), _schema(docs))
-    out = out.select(
-        "*", F.lit(None).cast("array<int>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items")
-    )
+    hits = _hits(docs, groups, window)
+    light = out.select("doc_id", _key(docs).alias("_key"), F.size(F.regexp_extract_all(F.coalesce(_lowered("text"), F.lit("")), F.lit(WORDS_RE), F.lit(0))).cast("long").alias("n_words"))
+    return light.join(hits.hint("merge"), "_key", "left").select("doc_id", "n_words", "_spans", "_items").mapInArrow(_judge_spans, _schema(docs))
+
+
+def _lowered(column: str):
+    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _key(docs: DataFrame):
+    """Rows of one key have the same id and text."""
+    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\u0000"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
+
+
+def _hits(docs: DataFrame, groups: list, window: int) -> DataFrame:
+    """_key, _spans and _items of the documents with a hit in any pass."""
+    spark, out = docs.sparkSession, []
+    keyed = docs.where("text IS NOT NULL").select(_key(docs).alias("_key"), "text")
     for group in groups:
         sent = spark.sparkContext.broadcast(group())
-        out = checkpointed(out.mapInArrow(_gather(sent, window), out.schema))
+        out.append(stored(keyed.mapInArrow(_gather(sent, window), "_key string, _spans array<int>, _items array<string>").dropDuplicates(["_key"]), "hits")[0])
         sent.unpersist()
-    return out.mapInArrow(_judge(lambda: []), _schema(docs))
+    both = out[0]
+    for more in out[1:]:
+        both = both.unionByName(more)
+    return both.groupBy("_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))  # a row a pass
 
 
 def _schema(docs: DataFrame) -> str:
@@ -130,65 +150,71 @@ def _gather(sent, window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = matchers(sent.value, window)
         for batch in batches:
-            spans, items = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
-            for k, text in enumerate(as_bytes(batch.column("text"))):
-                own, found, text_words = [], set(items[k] or ()), words(text)
+            rows = []
+            for key, text in zip(batch.column("_key").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                spans, found, text_words = [], set(), words(text)
                 for m in search:
-                    m.search(text_words, own, found)
-                spans[k], items[k] = (spans[k] or []) + [x for s in own for x in s], sorted(found)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=batch.schema.names,
-            )
+                    m.search(text_words, spans, found)
+                if spans:
+                    rows.append((key, [x for s in spans for x in s], sorted(found)))
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["_key", "_spans", "_items"])
 
     return run
 
 
+def _verdicts(ids: pa.Array, judged: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.RecordBatch:
+    rows = []
+    for n_words, spans, found in judged:
+        names = sorted(found)
+        rows.append((n_words, covered(spans), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(spans), names))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+
+
 def _judge(make: Callable[[], list[Matcher]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = make()
         for batch in batches:
-            earlier = "_spans" in batch.schema.names
-            spans = batch.column("_spans").to_pylist() if earlier else []
-            items = batch.column("_items").to_pylist() if earlier else []
-            rows = []
-            for k, text in enumerate(as_bytes(batch.column("text"))):
-                own = list(zip(spans[k][::2], spans[k][1::2], strict=True)) if earlier else []
-                found, text_words = set(items[k]) if earlier else set(), words(text)
+            judged = []
+            for text in as_bytes(batch.column("text")):
+                spans, found, text_words = [], set(), words(text)
                 for m in search:
-                    m.search(text_words, own, found)
-                names = sorted(found)
-                rows.append((len(text_words), covered(own), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(own), names))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()))
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *columns],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
-            )
+                    m.search(text_words, spans, found)
+                judged.append((len(text_words), spans, found))
+            yield _verdicts(batch.column("doc_id"), judged)
 
     return run
 
 
+def _judge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("n_words", "_spans", "_items")), strict=True)
+        yield _verdicts(batch.column("doc_id"), [(n, list(zip(s[::2], s[1::2], strict=True)) if s else [], set(i or ())) for n, s, i in rows])
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, windows_per_pass: int = WINDOWS_PER_PASS) -> DataFrame:
     """The documents, whole and with all their columns, in which no window occurs."""
-    spark = docs.sparkSession
-    for group in (groups := _passes(benchmark, window, windows_per_pass)):
-        sent = spark.sparkContext.broadcast(group())
+    groups = _passes(benchmark, window, windows_per_pass)
+    if len(groups) > 1:
+        hits = _hits(docs, groups, window).select("_key")
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), _key(docs).alias("_key"))
+        return rows.join(hits.hint("merge"), "_key", "left_anti").select("_doc.*")
+    sent = docs.sparkSession.sparkContext.broadcast(groups[0]())
 
-        def mask(sent=sent) -> Callable[[pa.RecordBatch], list[bool]]:
-            search = matchers(sent.value, window)
+    def mask() -> Callable[[pa.RecordBatch], list[bool]]:
+        search = matchers(sent.value, window)
 
-            def of(batch: pa.RecordBatch) -> list[bool]:
-                keep = []
-                for text in as_bytes(batch.column("text")):
-                    spans, text_words = [], words(text)
-                    for m in search:
-                        m.search(text_words, spans, set())
-                    keep.append(not spans)
-                return keep
+        def of(batch: pa.RecordBatch) -> list[bool]:
+            keep = []
+            for text in as_bytes(batch.column("text")):
+                spans, text_words = [], words(text)
+                for m in search:
+                    m.search(text_words, spans, set())
+                keep.append(not spans)
+            return keep
 
-            return of
+        return of
 
-        docs = keep_rows(docs, mask)
-        docs = docs if len(groups) == 1 else checkpointed(docs)
-    return docs
+    return keep_rows(docs, mask)

@@ -9,16 +9,16 @@ source is served at its weight among those left), so no document is dropped and
 block holds to the end.
 
 Windows come from the exact weights, in whole numbers, so nothing is rounded and no error grows with
-the data. Earliest deadline first is one pass over the blocks: the driver makes it, for a block per
-``block_docs`` rows (8 bytes each; 480,000 blocks for 15 million documents), over any number of
-sources. The documents are numbered within their source by counting per (source, bucket), where a
+the data. Earliest deadline first is one pass over the blocks, over any number of sources: the driver
+makes it. A block has ``block_docs`` rows, or so many that there are ``most_blocks`` blocks (and one
+a source), so the pass and what it sends out have a bound at any size of the data. The documents are numbered within their source by counting per (source, bucket), where a
 source has a bucket per ``bucket_rows`` rows; no source is sorted in one task however large it is.
 All of it but the pass is SQL functions, one window over buckets and joins.
 
 Defined results: a null source is a source of its own; without given weights each source weighs as
 the ``temperature`` power of its rows; a source without a given weight is an error, a zero weight
-too; rows with a null or repeated doc_id are rows like others, in an order fixed by their id only;
-an empty table gives no rows.
+too; rows with a null or repeated doc_id are rows like others, dealt and ordered by a hash of all their
+columns; rows alike in all columns share a bucket; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 32
+MOST_BLOCKS = 1_000_000
 BUCKET_ROWS = 4096
 TEMPERATURE = 0.5
 #: Slots travel to the rows in arrays of so many blocks of a source.
@@ -104,6 +105,11 @@ def one_period(share: list[int]) -> list[list[int]]:
     return [x.tolist() for x in schedule(share, share)]
 
 
+def block_size(rows: int, least: int = BLOCK_DOCS, most_blocks: int = MOST_BLOCKS) -> int:
+    """Rows of a block."""
+    return max(least, -(-rows // most_blocks))
+
+
 def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
@@ -125,11 +131,12 @@ def _sent(df: DataFrame, n: int, most: int) -> DataFrame:
 
 def _placed(
     docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_docs: int = BLOCK_DOCS,
-    bucket_rows: int = BUCKET_ROWS, temperature: float = TEMPERATURE,
+    bucket_rows: int = BUCKET_ROWS, temperature: float = TEMPERATURE, most_blocks: int = MOST_BLOCKS,
 ) -> DataFrame:
     """_row (the document), _slot, _block and _position."""
     spark = docs.sparkSession
     target = targets(docs, weights, temperature)
+    block_docs = block_size(sum(n for n, _ in target.values()), block_docs, most_blocks)
     blocks = [-(-n // block_docs) for n, _ in target.values()]
     plan = schedule(blocks, [w for _, w in target.values()])
     buckets = pa.table({
@@ -142,14 +149,15 @@ def _placed(
     })
     own = [F.col(f"`{c}`") for c in docs.columns]
     row = F.struct(*own).alias("_row")
-    keyed = docs.select(row, source_key(F.col("source")).alias("_k"), F.col("doc_id").alias("_id"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(row, source_key(F.col("source")).alias("_k"), F.col("doc_id").alias("_id"), F.xxhash64(*hashed).alias("_hash"))
     small = _sent(spark.createDataFrame(buckets), len(target), BROADCAST_SOURCES)
-    keyed = keyed.join(small, "_k").withColumn("_bucket", F.pmod(F.xxhash64("_id"), F.col("_buckets")).cast("int")).drop("_buckets")
+    keyed = keyed.join(small, "_k").withColumn("_bucket", F.pmod("_hash", F.col("_buckets")).cast("int")).drop("_buckets")
     sizes = keyed.groupBy("_k", "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select(
         "_k", "_bucket", (F.sum("_n").over(Window.partitionBy("_k").orderBy("_bucket")) - F.col("_n")).alias("_before")
     )
-    order = Window.partitionBy("_k", "_bucket").orderBy(F.xxhash64(F.col("_id"), F.lit("order")), "_id")
+    order = Window.partitionBy("_k", "_bucket").orderBy(F.xxhash64(F.col("_id"), F.lit("order")), "_id", "_hash")
     ranked = keyed.withColumn("_rn", F.row_number().over(order) - 1).join(before.hint("merge"), ["_k", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_rn")).withColumn("_block", F.floor(F.col("_rank") / block_docs))
     ranked = ranked.withColumn("_piece", F.expr(f"_block div {PIECE}"))

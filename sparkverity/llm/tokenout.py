@@ -16,7 +16,8 @@ of one batch and shard compressed together, and a task writes one shard at a tim
     unused ones 0xFFFF; little-endian
 
 so the record of a slot lies at (slot - s * per_shard) * stride of its shard, and reading can go on
-from any slot. A shard is written under a name of its own and moved into place when complete.
+from any slot. A shard is written under a name of its own and moved into place when complete. What is
+returned is read from a table of the shards' contents; the stored sequences are deleted.
 
 Defined results: a null or empty text is one sequence holding only the end-of-text id; repeated
 rows are sequences of their own; a null doc_id stays null; an empty table writes no shard; other
@@ -38,8 +39,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkverity.llm.common import bounded_batches, new_dir, stored
-from sparkverity.llm.mixing import BLOCK_DOCS, schedule, source_key
+from sparkverity.llm.common import bounded_batches, new_dir, remove, stored
+from sparkverity.llm.mixing import BLOCK_DOCS, block_size, schedule, source_key
 
 #: For text in many languages; any other byte-level vocabulary of under 65,535 ids will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -98,9 +99,9 @@ def feistel(index: np.ndarray, total: int, key: int, *, back: bool = False) -> n
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, *, by_source: bool = False, length: int = LENGTH, vocabulary: str = VOCABULARY) -> tuple[DataFrame, dict[str, int]]:
+def sequences(docs: DataFrame, *, by_source: bool = False, length: int = LENGTH, vocabulary: str = VOCABULARY) -> tuple[DataFrame, dict[str, int], str]:
     """The stored sequences (part, doc_id, chunk, n_tokens, payload) with their index within the part, and
-    how many each part has. A part is a source, or else all there is."""
+    how many each part has, and the path they are stored at. A part is a source, or else all there is."""
     spark = docs.sparkSession
     bounded_batches(spark)
 
@@ -130,21 +131,21 @@ def sequences(docs: DataFrame, *, by_source: bool = False, length: int = LENGTH,
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parted = docs.select("doc_id", "text", (source_key(F.col("source")) if by_source else F.lit("")).alias("part"))
-    rows, _ = stored(parted.mapInArrow(run, f"doc_id {kind}, part string, chunk int, n_tokens int, payload binary, task int, place long"), "tokens", level=ZSTD_LEVEL)
+    rows, path = stored(parted.mapInArrow(run, f"doc_id {kind}, part string, chunk int, n_tokens int, payload binary, task int, place long"), "tokens", level=ZSTD_LEVEL)
     counts = rows.groupBy("part", "task").agg(F.count("*").alias("n"))
     before = counts.select("part", "task", (F.sum("n").over(Window.partitionBy("part").orderBy("task")) - F.col("n")).alias("before"))  # a row per part and write task
     sums = {r.part: r for r in counts.groupBy("part").agg(F.sum("n").alias("total"), F.count("*").alias("tasks")).collect()}
     before = F.broadcast(before) if sum(r.tasks for r in sums.values()) <= BROADCAST_TASKS else before.hint("merge")
     return rows.join(before, ["part", "task"]).select(
         "part", "doc_id", "chunk", "n_tokens", "payload", (F.col("before") + F.col("place")).alias("index")
-    ), {k: r.total for k, r in sums.items()}
+    ), {k: r.total for k, r in sums.items()}, path
 
 
 def starts(totals: dict[str, int], weights: dict[str, float] | None, block: int) -> dict[str, np.ndarray]:
     """Per part the first slot of each of its blocks."""
     parts = sorted(totals)
     if len(parts) < 2:
-        return {k: np.arange(0, totals[k], block) for k in parts}
+        return {k: np.arange(0, totals[k], block) for k in parts}  # at most MOST_BLOCKS
     slots = schedule([-(-totals[k] // block) for k in parts], [weights[k] for k in parts])
     sizes = np.full(sum(map(len, slots)), block)
     for k, own in zip(parts, slots, strict=True):
@@ -180,7 +181,8 @@ def materialise(
     weights: of every source_key; without, all slots are one permutation."""
     spark = docs.sparkSession
     to = to or new_dir(spark, "shards")
-    rows, totals = sequences(docs, by_source=weights is not None, length=length, vocabulary=vocabulary)
+    rows, totals, path = sequences(docs, by_source=weights is not None, length=length, vocabulary=vocabulary)
+    block = block_size(sum(totals.values()), block)
     sent = spark.sparkContext.broadcast(starts(totals, weights, block))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -224,4 +226,8 @@ def materialise(
         })
 
     packed = rows.mapInArrow(place, f"shard long, slots array<long>, doc_ids array<{kind}>, chunks array<int>, sizes array<int>, pack binary")
-    return packed.groupBy("shard").applyInPandas(write, f"slot long, doc_id {kind}, chunk int, n_tokens int, shard long, byte_offset long, crc32 long")
+    written = packed.groupBy("shard").applyInPandas(write, f"slot long, doc_id {kind}, chunk int, n_tokens int, shard long, byte_offset long, crc32 long")
+    try:
+        return stored(written, "slots", level=ZSTD_LEVEL)[0]
+    finally:
+        remove(spark, path)

@@ -351,6 +351,40 @@ def test_token_shards_round_trip(spark):
     assert tokenout.materialise(docs.limit(0)).count() == 0
 
 
+def brute_feistel(index, total, key):
+    """One number through the network, with Python's whole numbers."""
+    half = max(1, ((total - 1).bit_length() + 1) // 2)
+    mask, wide = (1 << half) - 1, (1 << 64) - 1
+
+    def mixed(x, k):
+        x = (x + k) & wide
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & wide
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & wide
+        return x ^ (x >> 31)
+
+    while True:
+        left, right = index >> half, index & mask
+        for k in tokenout.round_keys(key):
+            left, right = right, left ^ (mixed(right, k) & mask)
+        index = (left << half) | right
+        if index < total:
+            return index
+
+
+def test_token_slots_brute_force(spark):
+    texts = sample_texts(spark, 40)
+    rows = tokenout.materialise(documents(spark, texts).coalesce(1), length=64, per_shard=50, key=77).collect()
+    encode, end = tokenout.encoder()
+    want, cut = {}, []
+    for k, t in enumerate(texts):
+        ids = [*encode.encode_ordinary(t or ""), end]
+        cut += [(k, c, ids[at : at + 64]) for c, at in enumerate(range(0, len(ids), 64))]
+    for index, (doc, chunk, ids) in enumerate(cut):
+        slot = brute_feistel(index, len(cut), 77 ^ crc32(b""))
+        want[slot] = (doc, chunk, len(ids), slot // 50, slot % 50 * tokenout.stride(64), crc32(np.array(ids, "<u2").tobytes()))
+    assert {r.slot: (r.doc_id, r.chunk, r.n_tokens, r.shard, r.byte_offset, r.crc32) for r in rows} == want
+
+
 def test_token_slots_follow_the_mix(spark):
     sources = ["big"] * 1200 + ["mid"] * 300 + [None] * 80
     docs = documents(spark, ["some text"] * len(sources), source=sources)
@@ -626,6 +660,15 @@ def test_schedule_is_within_one_block_at_any_length(n):
         assert abs(got - fluid).max() < 1 + 1e-6
 
 
+def test_blocks_of_any_table_have_a_bound(spark):
+    assert mixing.block_size(10**11) * mixing.MOST_BLOCKS >= 10**11 and mixing.block_size(1000) == mixing.BLOCK_DOCS
+    docs = documents(spark, ["t"] * 300, source=["a"] * 200 + ["b"] * 100)
+    rows = mixing.mix(docs, {"a": 2.0, "b": 1.0}, block_docs=2, most_blocks=12).collect()
+    assert {r.mix_slot for r in rows} == set(range(12)) and max(r.mix_position for r in rows) == 24
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted((r.mix_slot, r.mix_position) for r in mixing.mix(nameless, block_docs=4, bucket_rows=10).collect()) == sorted((s, p) for s in range(75) for p in range(4))
+
+
 def test_mixing_of_many_sources(spark):
     docs = documents(spark, ["t"] * 1500, source=["big"] * 900 + [f"s{k % 300}" for k in range(600)])
     rows = mixing.mix(docs, block_docs=2).collect()
@@ -648,7 +691,7 @@ def test_mixing_against_the_definition(spark):
         got[blocks[t][0].source] += 1
         if any(got[s] >= left[s] for s in weights):
             break
-        assert all(abs(got[s] - weights[s] * (t + 1)) < 1 + 0.01 * (t + 1) for s in weights)  # weights are rounded to 1/1024
+        assert all(abs(got[s] - weights[s] * (t + 1)) < 1 + 1e-9 for s in weights)
     assert sum(len(b) for b in blocks.values()) == len(sources)
 
 

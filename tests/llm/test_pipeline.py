@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from sparkverity.llm import decontam, langid, mixing, simhash
 from sparkverity.llm.common import table
 from tests.compare import connect, differences
+from tests.llm.test_operators import awkward
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -47,6 +48,21 @@ def test_stages_keep_columns(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_stages_on_awkward_rows(spark):
+    docs = awkward(spark).withColumn("_key", F.lit("k")).withColumn("_row", F.lit(1))
+    kept = {"language_id": None, "simhash_near_dedup": None, "benchmark_decontamination": docs.count(), "source_mixing": docs.count()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        assert kept[name] is None or out.count() == kept[name], name
+        none = stage(spark, docs.limit(0), FOLDER)
+        assert none.columns == docs.columns and none.count() == 0, name
+    one = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert Counter(r.text for r in one.collect())["same text here"] == 1
+    tokens = corpus_pipeline.tokens(spark, docs, FOLDER)
+    assert sorted(r.slot for r in tokens.collect()) == list(range(tokens.count())) and corpus_pipeline.tokens(spark, docs.limit(0), FOLDER).count() == 0
+
+
 def test_against_sql(spark):
     con = connect(FOLDER)
     for name in ("op2_exact_topk", "op4_decontamination", "op8_warc_chunks"):
