@@ -63,7 +63,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         paths.append(path)
         if len(paths) > 1:
             remove(spark, paths.pop(0))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # token output is written when this returns
+    remove(spark, paths.pop())
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
