@@ -3,9 +3,10 @@
 Two models, of toxic and of ordinary training texts, give every word a likelihood byte by byte, from
 its whole history within the word (up to ``ORDER`` bytes, the end of the word counts as one). That
 learns whole words and stems alike: of a family of words that share a stem, most are rare, but the
-stem isn't. Counts are those of Kneser-Ney's lower orders: a word counts in a class once for each
-different word before it, and not more often than there are texts that hold it, so neither
-repetition within a text nor copies of a text add up.
+stem isn't. Counts are of the kind of Kneser-Ney's lower orders: a word counts in a class once for each
+different passage that holds it, and not more often than there are texts that hold it, so neither
+repetition within a text nor copies of a text add up. Passages are of 2 to ``LONGEST`` words, about five;
+where one ends depends on the words there, so near copies are cut alike.
 
     P_c(b | h) = max(n_c(hb) - D_c(hb), 0) / n_c(h) + l_c(h) n(hb) / n(h)
 
@@ -28,7 +29,7 @@ of several common words isn't learned.
 
 Defined results: a null or wordless text has ratio zero and gets the score of that; labels with a
 null toxic or doc_id are ignored; repeated documents and labels count as often as they occur (a word
-not oftener than words before it); without training rows of both classes every score is 0 (or 1, if
+not oftener than different passages); without training rows of both classes every score is 0 (or 1, if
 all are toxic); other columns are ignored.
 """
 
@@ -42,11 +43,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
 
 from sparkverity.llm.common import as_bytes, bounded_batches, remainder, remove, stored, words
 
 ORDER = 32
+LONGEST = 16
 CALIBRATION_ROWS = 4_000
 DISCOUNT = 2.0
 ERRORS = 3.5
@@ -195,30 +196,55 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return a.join(b.hint("merge"), "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("hash"))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: a word and a hash of the word before it, once; and a word with no hash, with the number of texts."""
+def passages(own: list[bytes]) -> Iterator[bytes]:
+    """The words of a text in pieces that end after a word of certain bytes."""
+    start = 0
+    for at, w in enumerate(own, 1):
+        if at - start >= 2 and ((w[0] + w[-1] + len(w)) & 3 == 0 or at - start == LONGEST):
+            yield b" ".join(own[start:at])
+            start = at
+    if start < len(own):
+        yield b" ".join(own[start:])
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch the different passages of each class (n null), and the words with the number of texts."""
     for batch in batches:
-        pairs: tuple[set, set] = (set(), set())
+        pieces: tuple[set, set] = (set(), set())
         texts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, c in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
             own = words(text)
-            pairs[c].update(zip([b"", *own], own, strict=False))
+            pieces[c].update(passages(own))
             texts[c].update(set(own))
         for c in (0, 1):
-            before = pa.array([xxh32_intdigest(v) - (1 << 31) for v, _ in pairs[c]] + [None] * len(texts[c]), pa.int32())
-            word = pa.array([w for _, w in pairs[c]] + list(texts[c]), pa.binary())
-            n = pa.array([1] * len(pairs[c]) + list(texts[c].values()), pa.int32())
-            yield pa.RecordBatch.from_arrays([word, before, pa.array(np.full(len(word), c, np.int8)), n], names=["word", "before", "c", "n"])
+            item = pa.array([*pieces[c], *texts[c]], pa.binary())
+            n = pa.array([None] * len(pieces[c]) + list(texts[c].values()), pa.int32())
+            yield pa.RecordBatch.from_arrays([item, pa.array(np.full(len(item), c, np.int8)), pa.array([k < len(pieces[c]) for k in range(len(item))]), n], names=["item", "c", "passage", "n"])
+
+
+def _passage_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch the words of each class with the number of passages and of texts."""
+    for batch in batches:
+        held, texts = Counter(), Counter()
+        for item, c, passage, n in zip(*(batch.column(k).to_pylist() for k in ("item", "c", "passage", "n")), strict=True):
+            if passage:
+                held.update((w, c) for w in set(item.split()))
+            else:
+                texts[item, c] += n
+        keys = list(held.keys() | texts.keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([w for w, _ in keys], pa.binary()), pa.array([c for _, c in keys], pa.int8()), pa.array([held[k] for k in keys], pa.int64()), pa.array([texts[k] for k in keys], pa.int64())],
+            names=["word", "c", "held", "texts"],
+        )
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """word, n0, n1: in each class the different words before it, but no more than texts that hold it."""
-    pairs = rows.mapInArrow(_pairs, "word binary, before int, c byte, n int").groupBy("word", "before", "c").agg(F.sum("n").alias("n"))
-    text, pair = F.col("before").isNull(), F.col("before").isNotNull()
-    sums = [F.sum(F.when(text & (F.col("c") == c), F.col("n")).otherwise(0)).alias(f"texts_n{c}") for c in (0, 1)]
-    sums += [F.count_if(pair & (F.col("c") == c)).alias(f"pairs_n{c}") for c in (0, 1)]
-    counted = pairs.groupBy("word").agg(*sums)
-    return counted.select("word", *(F.least(f"texts_{n}", f"pairs_{n}").cast("double").alias(n) for n in ("n0", "n1")))
+    """word, n0, n1: in each class the different passages that hold it, but no more than texts that do."""
+    items = rows.mapInArrow(_passages, "item binary, c byte, passage boolean, n int").groupBy("item", "c", "passage").agg(F.sum("n").alias("n"))
+    counted = items.mapInArrow(_passage_words, "word binary, c byte, held long, texts long").groupBy("word")
+    of = lambda column, c: F.sum(F.when(F.col("c") == c, F.col(column)).otherwise(0))
+    sums = counted.agg(*(of(k, c).alias(f"{k}{c}") for k in ("held", "texts") for c in (0, 1)))
+    return sums.select("word", *(F.least(f"held{c}", f"texts{c}").cast("double").alias(f"n{c}") for c in (0, 1)))
 
 
 def _histories(word: Column) -> Column:

@@ -72,9 +72,14 @@ def brute_excess(train, texts):
     """Kneser-Ney by the formula of the docstring, with plain dictionaries."""
     before, holding = [{}, {}], [Counter(), Counter()]
     for t, y in train:
-        w = words(t)
-        for v, x in zip([""] + w, w, strict=False):
-            before[y].setdefault(x, set()).add(v)
+        w, piece = words(t), []
+        for k, x in enumerate(w):
+            piece.append(x)
+            b = x.encode()
+            if (len(piece) > 1 and (b[0] + b[-1] + len(b)) % 4 == 0) or len(piece) == 16 or k == len(w) - 1:
+                for y_word in piece:
+                    before[y].setdefault(y_word, set()).add(tuple(piece))
+                piece = []
         holding[y].update(set(w))
     marks = lambda w: (w + " ")[: toxicity.ORDER]
     n = [Counter(), Counter()]
