@@ -21,18 +21,6 @@ def fuse_renormalised(cnn: Column, ela: Column, phash: Column) -> Column:
     )
 
 
-def content_hash(md5_hex: Column) -> Column:
-    return F.conv(F.substring(md5_hex, 1, 8), 16, 10).cast("bigint")
-
-
-def content_scores(h: Column) -> tuple[Column, Column, Column]:
-    """Deterministic cnn, ela and hash scores from a content hash."""
-    cnn = F.lit(0.20) + (h % 30) / F.lit(100.0)
-    ela = F.lit(0.15) + (F.shiftright(h, 8) % 25) / F.lit(100.0)
-    phash = F.when(h % 10 > 3, F.lit(0.85) + (F.shiftright(h, 16) % 10) / F.lit(100.0))
-    return cnn, ela, phash
-
-
 def window_level(px: Column, centre: float, width: float) -> Column:
     low, high = centre - width / 2, centre + width / 2
     return F.transform(px, lambda x: ((F.greatest(F.lit(low), F.least(F.lit(high), x.cast("double"))) - low) / (high - low) * 255.0).cast("int"))

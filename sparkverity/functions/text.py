@@ -67,8 +67,15 @@ def document_patient_id(text: Column) -> Column:
     return F.coalesce(_first(text, COHORT_ID, 0), *(_first(text, p, 1) for p in DOCUMENT_IDS))
 
 
+def listed(*parts: tuple[Column, Column], kind: str = "string") -> Column:
+    """Array of the values whose condition holds, in order. Plain conditions over arrays, unlike a filter
+    with a lambda, are compiled."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(*(F.when(condition, F.array(value)).otherwise(none) for condition, value in parts))
+
+
 def diagnosis_groups(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike("(?i)" + p), F.lit(k)) for k, p in DIAGNOSIS_GROUPS.items())))
+    return F.when(text.isNotNull(), listed(*((text.rlike("(?i)" + p), F.lit(k)) for k, p in DIAGNOSIS_GROUPS.items()))).otherwise(F.array().cast("array<string>"))
 
 
 def in_scope(codes: Column) -> Column:

@@ -113,13 +113,13 @@ def identity_hundredths(doc_id: Column, img_id: Column, groups: Column, modality
 def identity_evidence(doc_id: Column, img_id: Column, groups: Column, modality: Column) -> Column:
     a, b, m = (F.nullif(x, F.lit("")) for x in (doc_id, img_id, modality))
     listed = F.concat(F.lit("['"), F.array_join(groups, "', '"), F.lit("']"))
-    return F.array_compact(F.array(
-        F.when(F.lower(a) != F.lower(b), F.concat(F.lit("Patient ID mismatch: Document="), a, F.lit(", Image="), b))
-        .when(a.isNull() & b.isNull(), "No patient IDs found in document or image")
-        .when(a.isNull() | b.isNull(), "One side has Patient ID, other doesn't"),
-        F.when((F.size(groups) > 0) & ~F.array_contains(groups, "colon_cancer"), F.concat(F.lit("Diagnosis mismatch with TCGA-COAD: Document mentions "), listed, F.lit(" (expected colon cancer)"))),
-        F.when(~modality_allowed(m), F.concat(F.lit("Unexpected modality: "), m, F.lit(" (TCGA-COAD usually has CT/MR)"))),
-    ))
+    return T.listed(
+        (F.lower(a) != F.lower(b), F.concat(F.lit("Patient ID mismatch: Document="), a, F.lit(", Image="), b)),
+        (a.isNull() & b.isNull(), F.lit("No patient IDs found in document or image")),
+        (a.isNull() != b.isNull(), F.lit("One side has Patient ID, other doesn't")),
+        ((F.size(groups) > 0) & ~F.array_contains(groups, "colon_cancer"), F.concat(F.lit("Diagnosis mismatch with TCGA-COAD: Document mentions "), listed, F.lit(" (expected colon cancer)"))),
+        (~modality_allowed(m), F.concat(F.lit("Unexpected modality: "), m, F.lit(" (TCGA-COAD usually has CT/MR)"))),
+    )
 
 
 def identity_status(hundredths: Column) -> Column:
@@ -150,14 +150,14 @@ def _two(x: Column) -> Column:
 
 
 def risk_factors(icd_score: Column, image_score: Column, cnn: Column, ela: Column, amount_log: Column, previous: Column) -> Column:
-    found = F.array_compact(F.array(
-        F.when(icd_score < 0.6, F.concat(F.lit("ICD code mismatch: Low confidence diagnosis validation (score: "), _two(icd_score), F.lit(")"))),
-        F.when(image_score > 0.6, F.concat(F.lit("Image manipulation detected: High forgery likelihood (score: "), _two(image_score), F.lit(")"))),
-        F.when(cnn > 0.7, F.concat(F.lit("CNN detects image tampering: CNN forgery score "), _two(cnn))),
-        F.when(ela > 0.6, F.concat(F.lit("Error Level Analysis alert: Significant compression inconsistencies (ELA: "), _two(ela), F.lit(")"))),
-        F.when(amount_log > 7.0, F.concat(F.lit("High claim amount: Large financial exposure (log amount: "), _two(amount_log), F.lit(")"))),
-        F.when(previous > 5, F.concat(F.lit("Frequent claimant: Multiple previous claims on record ("), previous.cast("int").cast("string"), F.lit(")"))),
-    ))
+    found = T.listed(
+        (icd_score < 0.6, F.concat(F.lit("ICD code mismatch: Low confidence diagnosis validation (score: "), _two(icd_score), F.lit(")"))),
+        (image_score > 0.6, F.concat(F.lit("Image manipulation detected: High forgery likelihood (score: "), _two(image_score), F.lit(")"))),
+        (cnn > 0.7, F.concat(F.lit("CNN detects image tampering: CNN forgery score "), _two(cnn))),
+        (ela > 0.6, F.concat(F.lit("Error Level Analysis alert: Significant compression inconsistencies (ELA: "), _two(ela), F.lit(")"))),
+        (amount_log > 7.0, F.concat(F.lit("High claim amount: Large financial exposure (log amount: "), _two(amount_log), F.lit(")"))),
+        (previous > 5, F.concat(F.lit("Frequent claimant: Multiple previous claims on record ("), previous.cast("int").cast("string"), F.lit(")"))),
+    )
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_FACTORS)))
 
 
@@ -199,9 +199,11 @@ RECOMMENDATION = {"reject": 0.92, "approve": 0.9}
 def verify(claims: DataFrame) -> DataFrame:
     """Every claim with its module results and verdict, in one pass without a shuffle."""
     c = F.col
-    out = claims.withColumn("icd", icd.code_check(c("clinical_text")))
+    # What is used more than once is a column of its own, so that it is worked out once.
+    out = claims.withColumn("_low", F.lower("clinical_text")).withColumn("_top", F.slice(icd.predictions_of(c("_low")), 1, 5))
+    out = out.withColumn("icd", icd.checked(c("_top"), c("clinical_text"))).withColumn("_image_verdict", image_verdict(c("cnn_score"), c("ela_score"), c("phash_score")))
     cnn, ela, phash = c("cnn_score"), c("ela_score"), c("phash_score")
-    verdict = image_verdict(cnn, ela, phash)
+    verdict = c("_image_verdict")
     ok = verdict != "error"
     out = out.withColumn("image", F.struct(
         ok.alias("success"), F.when(ok, F.round(I.fuse(cnn, ela, phash), 4)).otherwise(0.0).alias("fused"),
@@ -224,7 +226,7 @@ def verify(claims: DataFrame) -> DataFrame:
     out = out.withColumn("fraud", F.struct(
         c("claim_amount").isNotNull().alias("success"), c("_pct").alias("pct"), level.alias("level"), fraud_recommendation(level).alias("recommendation"), factors.alias("factors"),
     ))
-    return out.drop("_doc_id", "_groups", "_hundredths", "_evidence", "_pct").withColumn("verdict", verdict_struct())
+    return out.drop("_low", "_top", "_image_verdict", "_doc_id", "_groups", "_hundredths", "_evidence", "_pct").withColumn("verdict", verdict_struct())
 
 
 def feature_row() -> Column:
@@ -266,19 +268,80 @@ def verdict_struct() -> Column:
     )
 
 
-def explanation() -> Column:
+#: What is said of each identity status.
+IDENTITY_TEXT = {
+    "matched": "✅ MATCHED: Document and image appear to belong to same patient",
+    "uncertain": "⚠️  UNCERTAIN: Insufficient evidence to confirm or deny match",
+    "unmatched": "❌ UNMATCHED: Document and image likely belong to different patients",
+}
+RULE = "=" * 50
+
+
+def _bullets(title: str, items: Column) -> Column:
+    return F.concat(F.lit(f"\n{title}\n  • "), F.array_join(items, "\n  • "))
+
+
+def identity_explanation(findings: Column | None = None) -> Column:
+    """Text about the identity check of a verified claim; findings: what the reference population says."""
+    c = F.col
+    status = F.lit("Unknown status")
+    for name, text in IDENTITY_TEXT.items():
+        status = F.when(c("identity.status") == name, text).otherwise(status)
+    evidence = c("identity.evidence")
+    lines = [
+        F.lit("🔗 PATIENT IDENTITY CONSISTENCY CHECK"), F.lit(RULE), status,
+        F.concat(F.lit("\nDocument Patient ID: "), F.coalesce(F.nullif("identity.id_doc", F.lit("")), F.lit("Not found"))),
+        F.concat(F.lit("Image Patient ID: "), F.coalesce(F.nullif("identity.id_image", F.lit("")), F.lit("Not found"))),
+        F.when(F.size(evidence) > 0, _bullets("Identified Inconsistencies:", evidence)).otherwise("\n✓ No explicit inconsistencies detected"),
+    ]
+    if findings is not None:
+        lines.append(F.when(F.size(findings) > 0, _bullets("TCGA-COAD Reference Alignment:", findings)).otherwise("\nTCGA-COAD Reference Alignment:"))
+    return F.concat_ws("\n", *lines, F.lit("\n" + RULE))
+
+
+def explanation(findings: Column | None = None) -> Column:
     """Five blocks of text about a verified claim."""
     c = F.col
+    block = lambda *head_and_text: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in head_and_text))
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("ICD CODE VALIDATION: "), F.upper("icd.status"), F.lit(", score "), _two(c("icd.match_score"))),
-        F.concat(F.lit("IMAGE ANALYSIS: "), F.upper("image.verdict"), F.lit(", "), image_explanation(c("cnn_score"), c("ela_score"), c("phash_score"))),
-        F.concat(F.lit("PATIENT IDENTITY CHECK: "), F.upper("identity.status"), F.lit(" (Score: "), _two(c("identity.score")), F.lit(")")),
-        F.concat(F.lit("FRAUD RISK ASSESSMENT: "), F.upper("fraud.level"), F.lit(", "), fraud_explanation(c("fraud.level"), c("fraud.pct"), c("fraud.factors"))),
-        F.concat(F.lit("FINAL VERDICT: "), F.upper("verdict.recommendation"), F.lit(", "), c("verdict.summary")),
+        block("🏥 ICD CODE VALIDATION: ", F.upper("icd.status"), "\n   ", icd.status_text(c("icd.status"), c("icd.match_score"))),
+        block("\n🖼️  IMAGE ANALYSIS: ", F.upper("image.verdict"), "\n   ", image_explanation(c("cnn_score"), c("ela_score"), c("phash_score"))),
+        block("\n🔗 PATIENT IDENTITY CHECK: ", F.upper("identity.status"), " (Score: ", _two(c("identity.score")), ")\n   ", identity_explanation(findings)),
+        block("\n⚠️  FRAUD RISK ASSESSMENT: ", F.upper("fraud.level"), "\n   ", fraud_explanation(c("fraud.level"), c("fraud.pct"), c("fraud.factors"))),
+        block("\n✅ FINAL VERDICT: ", F.upper("verdict.recommendation"), "\n   ", c("verdict.summary")),
     )
 
 
+def patient_findings(ids: DataFrame, population: DataFrame) -> DataFrame:
+    """claim_id, side and finding for each id (claim_id, side, pid), by whether the population (patientid) has it."""
+    known = population.select(F.col("patientid").alias("pid")).where("pid IS NOT NULL").distinct().withColumn("_in", F.lit(True))
+    said = F.when(F.col("_in"), " found in TCGA-COAD database").otherwise(" NOT in TCGA-COAD (could indicate missing data or external patient)")
+    return ids.where("pid <> ''").join(known.hint("merge"), "pid", "left").select("claim_id", "side", F.concat(F.lit("Patient "), F.col("pid"), said).alias("finding"))
+
+
+def claim_ids(claims: DataFrame) -> DataFrame:
+    """claim_id, side (document, image) and pid of the patients a claim names."""
+    sides = F.array(
+        F.struct(F.lit("document").alias("side"), T.document_patient_id(F.col("clinical_text")).alias("pid")), F.struct(F.lit("image").alias("side"), F.col("img_patient_id").alias("pid")),
+    )
+    return claims.select("claim_id", F.inline(sides)).where("pid IS NOT NULL")
+
+
+def reference_findings(claims: DataFrame, population: DataFrame) -> DataFrame:
+    """claim_id and findings: patients in the reference population or not, and declared codes in its scope or not."""
+    patients = patient_findings(claim_ids(claims), population).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("side", "finding"))).alias("_p"))
+    listed = lambda codes: F.concat(F.lit("['"), F.array_join(codes, "', '"), F.lit("']"))
+    codes = T.declared_codes(F.col("clinical_text"))
+    own = claims.select("claim_id", codes.alias("_codes")).withColumn("_scope", T.in_scope(F.col("_codes")))
+    scope = (
+        F.when(F.size("_scope") > 0, F.concat(F.lit("ICD codes consistent with TCGA-COAD scope: "), listed(F.col("_scope"))))
+        .when(F.size("_codes") > 0, F.concat(F.lit("Warning: ICD codes "), listed(F.col("_codes")), F.lit(" may be outside TCGA-COAD typical scope")))
+    )
+    joined = own.join(patients.hint("merge"), "claim_id", "left")
+    return joined.select("claim_id", F.array_compact(F.concat(F.coalesce(F.col("_p.finding"), F.array().cast("array<string>")), F.array(scope))).alias("findings"))
+
+
 def rationale() -> Column:
     c = F.col
     return F.concat_ws(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkverity.functions import text as T
 from sparkverity.operators.ranking import hash_rank
 
+BROADCAST_CLASSES = 100_000
 HEADER_TAGS = ["patientid", "studydate", "modality", "studydescription", "seriesdescription", "bodypartexamined", "manufacturer", "imagetype", "pixelspacing", "seriesinstanceuid"]
 
 
@@ -146,10 +147,11 @@ def class_of(path: Column) -> Column:
 
 
 def class_index(df: DataFrame, path: str = "file_path") -> DataFrame:
-    """Class by folder, numbered by sorted name; class names are few."""
+    """Class by folder, numbered by sorted name; up to BROADCAST_CLASSES names (counted) go to all tasks."""
     names = df.select(class_of(F.col(path)).alias("class")).distinct()
     names = names.withColumn("class_index", F.row_number().over(Window.orderBy("class")) - 1)
-    return df.withColumn("class", class_of(F.col(path))).join(F.broadcast(names), "class")
+    few = names.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    return df.withColumn("class", class_of(F.col(path))).join(F.broadcast(names) if few else names.hint("merge"), "class")
 
 
 def first_rows(df: DataFrame, n: int, *order: str, by: list[str] | None = None) -> DataFrame:

@@ -34,16 +34,10 @@ def auc(df: DataFrame, score: str, label: str = "label", by: list[str] | None =
 
 def rank_auc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
     """The same area by mid-ranks."""
-    rows = _by_score(df, score, label, []).withColumn("below", F.sum("tp").over(_all()) + F.sum("fp").over(_all()) - F.col("cum_tp") - F.col("cum_fp"))
-    mid = F.col("below") + (F.col("tp") + F.col("fp") + 1) / 2
+    rows = _by_score(df, score, label, [])
+    after = F.col("cum_tp") + F.col("cum_fp") - (F.col("tp") + F.col("fp") + 1) / 2
     p, n = F.sum("tp"), F.sum("fp")
-    return rows.agg(_ratio(F.sum(mid * F.col("tp")) - p * (p + 1) / 2, p * n).alias("auc"))
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
+    return rows.agg(_ratio(p * (p + n) - F.sum(after * F.col("tp")) - p * (p + 1) / 2, p * n).alias("auc"))
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -78,7 +72,7 @@ def multilabel_f1(truth: DataFrame, predicted: DataFrame, *, keys: list[str] | N
     keys = keys or []
     on = [*keys, "doc_id", "label"]
     t, p = truth.select(*on).distinct().withColumn("_t", F.lit(1)), predicted.select(*on).distinct().withColumn("_p", F.lit(1))
-    both = t.join(p, on, "full").groupBy(*keys, "label").agg(
+    both = t.join(p.hint("merge"), on, "full").groupBy(*keys, "label").agg(
         F.count_if(F.col("_t").isNotNull() & F.col("_p").isNotNull()).alias("tp"), F.count_if(F.col("_t").isNull()).alias("fp"), F.count_if(F.col("_p").isNull()).alias("fn")
     )
     f1 = lambda tp, fp, fn: _safe(2 * tp, 2 * tp + fp + fn)

@@ -1,10 +1,10 @@
 """Similarity joins over image hashes.
 
 References and queries carry ``hex`` (16 digits); rows with invalid hex are left out, as unreadable.
-``nearest`` has no distance bound, so it compares every pair: references are sent to all tasks only
-while they are few (``small``), else both sides are cut into blocks that meet pairwise. ``within``
-finds the pairs up to a distance by equal bands (pigeonhole: d differing bits leave one of d + 1
-bands equal) and scales with the matches.
+``within`` finds the pairs up to a distance by equal bands (pigeonhole: d differing bits leave one of
+d + 1 bands equal) and grows with its matches. ``nearest`` has no distance bound: it takes what
+``within`` finds at ``BANDED`` bits, and compares only the queries left over with every reference:
+references are sent to all tasks while they are few (counted), else blocks of them meet the queries.
 """
 
 from __future__ import annotations
@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from sparkverity.functions import hashing as H
 
+BANDED = 3
 SMALL = 2_000_000
+BLOCK_ROWS = 65_536
+#: Ids from -2^55 to 2^55 fit one whole number with a distance; beyond, a decimal holds both.
+ID_BITS = 56
 
 
 def _halves(df: DataFrame, hex_col: str, prefix: str) -> DataFrame:
@@ -22,25 +26,48 @@ def _halves(df: DataFrame, hex_col: str, prefix: str) -> DataFrame:
     return out.where(F.col(f"{prefix}hi").isNotNull())
 
 
-def _packed(ref_id: str) -> Column:
-    """Distance and reference as one whole number, so that min() stays a hash aggregate."""
-    d = H.distance(F.col("_qhi"), F.col("_qlo"), F.col("_rhi"), F.col("_rlo")).cast("bigint")
-    return F.shiftleft(d, 40) + F.col(ref_id)
+def _packed(distance: Column, ref_id: str, wide: bool) -> Column:
+    """Distance and reference as one number, so that min() stays a hash aggregate."""
+    if wide:
+        return (distance.cast("decimal(38,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col(ref_id).cast("decimal(20,0)")
+    return F.shiftleft(distance.cast("bigint"), ID_BITS) + (F.col(ref_id) + F.lit(1 << (ID_BITS - 1)))
 
 
-def nearest(queries: DataFrame, refs: DataFrame, *, query_id: str = "query_id", ref_id: str = "ref_id", small: int = SMALL) -> DataFrame:
-    """Per query the nearest reference (ties: smallest id, ids below 2^40) and its distance; nulls without references."""
-    q = _halves(queries.select(query_id, "hex"), "hex", "_q").drop("hex")
+def _unpacked(best: DataFrame, query_id: str, ref_id: str, wide: bool) -> DataFrame:
+    if wide:
+        d = F.floor((F.col("_p") + F.lit(str(1 << 63)).cast("decimal(20,0)")) / F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("int")
+        own = (F.col("_p") - d.cast("decimal(38,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("bigint")
+        return best.select(query_id, d.alias("distance"), own.alias(ref_id))
+    own = F.col("_p").bitwiseAND(F.lit((1 << ID_BITS) - 1)) - F.lit(1 << (ID_BITS - 1))
+    return best.select(query_id, F.shiftright("_p", ID_BITS).cast("int").alias("distance"), own.alias(ref_id))
+
+
+def _wide(refs: DataFrame, ref_id: str) -> tuple[int, bool]:
+    """How many references there are, and whether their ids are beyond ID_BITS."""
+    r = refs.agg(F.count("*").alias("n"), F.min(ref_id).alias("lo"), F.max(ref_id).alias("hi")).first()
+    limit = 1 << (ID_BITS - 1)
+    return r.n, bool(r.n and r.lo is not None and (r.lo < -limit or r.hi >= limit))
+
+
+def nearest(
+    queries: DataFrame, refs: DataFrame, *, query_id: str = "query_id", ref_id: str = "ref_id", small: int = SMALL, banded: int = BANDED, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Per query the nearest reference (ties: smallest id) and its distance; nulls without references."""
+    n, wide = _wide(refs, ref_id)
+    close = within(queries, refs, banded, query_id=query_id, ref_id=ref_id)
+    close = _unpacked(close.groupBy(query_id).agg(F.min(_packed(F.col("distance"), ref_id, wide)).alias("_p")), query_id, ref_id, wide)
+    left = queries.join(close.hint("merge"), query_id, "left_anti")
+    q = _halves(left.select(query_id, "hex"), "hex", "_q").drop("hex")
     r = _halves(refs.select(F.col(ref_id), F.col("hex")), "hex", "_r").drop("hex")
-    if refs.limit(small + 1).count() <= small:
+    if n <= small:
         pairs = q.crossJoin(F.broadcast(r))
     else:
-        parts = 64
+        parts = -(-n // block_rows)
         q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         pairs = q.join(r.withColumn("_b", F.pmod(F.xxhash64(ref_id), F.lit(parts)).cast("int")).hint("shuffle_hash"), "_b")
-    best = pairs.groupBy(query_id).agg(F.min(_packed(ref_id)).alias("_p"))
-    found = best.select(query_id, F.shiftright("_p", 40).cast("int").alias("distance"), F.col("_p").bitwiseAND(F.lit((1 << 40) - 1)).alias(ref_id))
-    return queries.select(query_id).join(found, query_id, "left")
+    d = H.distance(F.col("_qhi"), F.col("_qlo"), F.col("_rhi"), F.col("_rlo"))
+    far = _unpacked(pairs.groupBy(query_id).agg(F.min(_packed(d, ref_id, wide)).alias("_p")), query_id, ref_id, wide)
+    return queries.select(query_id).join(close.unionByName(far).hint("merge"), query_id, "left")
 
 
 def _bands(high: Column, low: Column, d: int) -> Column:
@@ -63,10 +90,9 @@ def similar(queries: DataFrame, refs: DataFrame, *, exact: int = 5, near: int =
     if report_unmatched:
         found = nearest(queries, refs, query_id=query_id, ref_id=ref_id)
     else:
-        best = within(queries, refs, near, query_id=query_id, ref_id=ref_id).groupBy(query_id)
-        best = best.agg(F.min(F.shiftleft(F.col("distance").cast("bigint"), 40) + F.col(ref_id)).alias("_p"))
-        best = best.select(query_id, F.shiftright("_p", 40).cast("int").alias("distance"), F.col("_p").bitwiseAND(F.lit((1 << 40) - 1)).alias(ref_id))
-        found = queries.select(query_id).join(best, query_id, "left")
+        _, wide = _wide(refs, ref_id)
+        best = within(queries, refs, near, query_id=query_id, ref_id=ref_id).groupBy(query_id).agg(F.min(_packed(F.col("distance"), ref_id, wide)).alias("_p"))
+        found = queries.select(query_id).join(_unpacked(best, query_id, ref_id, wide).hint("merge"), query_id, "left")
     return found.withColumn("match_type", H.match_type(F.col("distance"), exact, near))
 
 

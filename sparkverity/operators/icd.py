@@ -27,19 +27,47 @@ KEYWORDS = [
 FALLBACK = [("Z00.0", 0.42), ("R50.9", 0.35), ("R10.9", 0.28)]
 
 
+_PAIRS = "array<struct<code:string,prob:double>>"
+
+
 def keyword_predictions(text: Column) -> Column:
     """Array of (code, prob) in table order; the fallback list if no keyword occurs."""
-    low = F.lower(text)
-    pair = lambda code, prob: F.struct(F.lit(code).alias("code"), F.lit(prob).alias("prob"))
-    hits = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k)), pair(c, p)) for k, c, p in KEYWORDS)))
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(*(pair(c, p) for c, p in FALLBACK)))
+    return predictions_of(F.lower(text))
+
+
+def predictions_of(low: Column) -> Column:
+    """The same for a text in lower case. A keyword's codes follow one another in the table, so each is sought once."""
+    listed = lambda pairs: F.array(*(F.struct(F.lit(c).alias("code"), F.lit(p).alias("prob")) for c, p in pairs)).cast(_PAIRS)
+    by_word = {word: [(c, p) for w, c, p in KEYWORDS if w == word] for word, _, _ in KEYWORDS}
+    hits = F.concat(*(F.when(F.contains(low, F.lit(w)), listed(pairs)).otherwise(F.array().cast(_PAIRS)) for w, pairs in by_word.items()))
+    known = F.coalesce(low.rlike("|".join(by_word)), F.lit(False))  # a cheap first look
+    return F.when(known, hits).otherwise(listed(FALLBACK))
 
 
 def code_check(text: Column, top_k: int = 5) -> Column:
-    """Struct of success, match_score, status, num_icds, predicted and explanation."""
-    top = F.slice(keyword_predictions(text), 1, top_k)
-    found = let(top, lambda p: F.struct(p.alias("p"), F.round(F.array_max(F.transform(p, lambda x: x["prob"])), 4).alias("s"), (F.coalesce(F.trim(text), F.lit("")) == "").alias("blank")))
-    return let(found, lambda f: _checked(f["p"], f["s"], f["blank"]))
+    """Struct of success, match_score, status, num_icds and predicted; status_text explains it."""
+    return checked(F.slice(keyword_predictions(text), 1, top_k), text)
+
+
+def checked(top: Column, text: Column) -> Column:
+    """The same, of a text's first predictions."""
+    return _checked(top, F.round(F.array_max(top["prob"]), 4), F.coalesce(F.trim(text), F.lit("")) == "")
+
+
+#: What is said of each status, before and after the score.
+STATUS_TEXT = {
+    "valid": ("High confidence ICD code match (score: ", "). Primary diagnosis appears legitimate."),
+    "uncertain": ("Moderate confidence ICD code match (score: ", "). Recommend manual review."),
+    "flagged": ("Low confidence ICD code match (score: ", "). Diagnosis codes may be mismatched."),
+}
+BLANK_TEXT = "Invalid input: clinical_text must be non-empty string"
+
+
+def status_text(status: Column, score: Column) -> Column:
+    out = F.lit(BLANK_TEXT)
+    for name, (before, after) in STATUS_TEXT.items():
+        out = F.when(status == name, F.concat(F.lit(before), F.format_string("%.2f", score), F.lit(after))).otherwise(out)
+    return out
 
 
 def _checked(predicted: Column, score: Column, blank: Column) -> Column:
@@ -59,40 +87,63 @@ def top_k(predictions: DataFrame, k: int = 10) -> DataFrame:
     return ranked(predictions).where(F.col("rank") <= k)
 
 
-def related_codes(embeddings: DataFrame, dictionary: DataFrame, least: float = 0.65) -> DataFrame:
-    """Per declared code the dictionary code of largest cosine (first in code order on a tie) above ``least``.
+#: A dictionary of up to so many codes is sent to all tasks; of a larger one blocks meet blocks of declared codes.
+BROADCAST_CODES = 100_000
+BLOCK_CODES = 16_384
+
 
-    The dictionary is the list of codes of a classification, so it is sent to all tasks.
-    """
+def related_codes(embeddings: DataFrame, dictionary: DataFrame, least: float = 0.65, *, broadcast_codes: int = BROADCAST_CODES, block_codes: int = BLOCK_CODES) -> DataFrame:
+    """Per declared code the dictionary code of largest cosine (first in code order on a tie) above ``least``."""
     a = embeddings.select("declared", F.col("emb").alias("_a"), I.norm(F.col("emb")).alias("_na"))
     b = dictionary.select(F.col("code").alias("best_match"), F.col("emb").alias("_b"), I.norm(F.col("emb")).alias("_nb"))
     dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.crossJoin(F.broadcast(b)).select("declared", "best_match", (dot / (F.col("_na") * F.col("_nb") + 1e-8)).alias("sim"))
+    n = dictionary.count()
+    if n <= broadcast_codes:
+        pairs = a.crossJoin(F.broadcast(b))
+    else:
+        parts = -(-n // block_codes)
+        pairs = a.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(b.withColumn("_p", F.pmod(F.xxhash64("best_match"), F.lit(parts)).cast("int")).hint("shuffle_hash"), "_p")
+    scored = pairs.select("declared", "best_match", (dot / (F.col("_na") * F.col("_nb") + 1e-8)).alias("sim")).where(F.col("sim") > least)
     order = Window.partitionBy("declared").orderBy(F.desc("sim"), "best_match")
-    return pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r").where(F.col("sim") > least)
+    return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def by_document(predictions: DataFrame) -> DataFrame:
+    """doc_id and its predictions, an array of (prob, code) by falling probability, then code."""
+    order = F.struct((-F.col("prob")).alias("_neg"), F.col("code").alias("code"), F.col("prob").alias("prob"))
+    listed = predictions.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("preds"))
+    return listed.select("doc_id", F.transform("preds", lambda p: F.struct(p["code"].alias("code"), p["prob"].alias("prob"))).alias("preds"))
+
+
+def _scored(declared: Column, preds: Column, best_match: Column, sim: Column) -> Column:
+    """Struct of score, match_type and what it rests on, for one declared code and its document's predictions."""
+    exact = F.array_max(F.transform(F.filter(preds, lambda p: p["code"] == declared), lambda p: p["prob"]))
+    same = F.filter(F.slice(preds, 1, 10), lambda p: (p["code"] != "") & (T.category(p["code"]) == T.category(declared)))
+
+    def ladder(x: Column) -> Column:
+        is_exact = F.coalesce(x["exact"] >= 0.5, F.lit(False))
+        is_category = ~is_exact & x["best"].isNotNull()
+        is_related = ~is_exact & ~is_category & best_match.isNotNull()
+        return F.struct(
+            F.when(is_exact, 1.0).when(is_category, 0.6).when(is_related, 0.3).otherwise(0.0).alias("score"),
+            F.when(is_exact, "exact_match").when(is_category, "same_category").when(is_related, "related").otherwise("mismatch").alias("match_type"),
+            F.when(is_exact, x["exact"]).when(is_category, x["best"]["prob"]).alias("pred_prob"),
+            F.when(is_category, x["best"]["code"]).alias("pred_top"),
+            F.when(is_related, best_match).alias("best_match"), F.when(is_related, sim).alias("sim"),
+        )
+
+    return let(F.struct(exact.alias("exact"), F.get(same, F.lit(0)).alias("best")), ladder)
 
 
 def score_declared(declared: DataFrame, predictions: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """Per (doc_id, declared): score, match_type and what it rests on. First rule wins: the code
     itself at 0.5 or more, the best of ten predictions in its category, a related code, nothing."""
-    exact = predictions.select("doc_id", F.col("code").alias("declared"), F.col("prob").alias("exact_prob"))
-    exact = exact.groupBy("doc_id", "declared").agg(F.max("exact_prob").alias("exact_prob"))
-    best = top_k(predictions, 10).where("code <> ''").groupBy("doc_id", T.category(F.col("code")).alias("_cat"))
-    best = best.agg(F.min_by(F.struct("code", "prob"), "rank").alias("_best"))
-    out = declared.withColumn("declared", F.upper("declared")).withColumn("_cat", T.category(F.col("declared")))
-    out = out.join(exact, ["doc_id", "declared"], "left").join(best, ["doc_id", "_cat"], "left")
-    out = out.join(related, "declared", "left") if related is not None else out.withColumn("best_match", F.lit(None).cast("string")).withColumn("sim", F.lit(None).cast("double"))
-    is_exact = F.coalesce(F.col("exact_prob") >= 0.5, F.lit(False))
-    is_category = ~is_exact & F.col("_best").isNotNull()
-    is_related = ~is_exact & ~is_category & F.col("best_match").isNotNull()
-    return out.select(
-        "doc_id", "declared",
-        F.when(is_exact, 1.0).when(is_category, 0.6).when(is_related, 0.3).otherwise(0.0).alias("score"),
-        F.when(is_exact, "exact_match").when(is_category, "same_category").when(is_related, "related").otherwise("mismatch").alias("match_type"),
-        F.when(is_exact, F.col("exact_prob")).when(is_category, F.col("_best.prob")).alias("pred_prob"),
-        F.when(is_category, F.col("_best.code")).alias("pred_top"),
-        F.when(is_related, F.col("best_match")).alias("best_match"), F.when(is_related, F.col("sim")).alias("sim"),
-    )
+    out = declared.withColumn("declared", F.upper("declared")).join(by_document(predictions).hint("merge"), "doc_id", "left")
+    if related is None:
+        out = out.withColumn("best_match", F.lit(None).cast("string")).withColumn("sim", F.lit(None).cast("double"))
+    else:
+        out = out.join(related.hint("merge"), "declared", "left")
+    return out.select("doc_id", "declared", _scored(F.col("declared"), F.col("preds"), F.col("best_match"), F.col("sim")).alias("_s")).select("doc_id", "declared", "_s.*")
 
 
 def no_scorer(declared: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -100,13 +151,20 @@ def no_scorer(declared: DataFrame, predictions: DataFrame) -> DataFrame:
     return declared.select("doc_id", "declared", F.lit(0.0).alias("score"), F.lit("no_scorer").alias("match_type"))
 
 
-def explain(docs: DataFrame, predictions: DataFrame, scorer: Callable[[DataFrame, DataFrame], DataFrame] = score_declared) -> DataFrame:
+def explain(docs: DataFrame, predictions: DataFrame, scorer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """A row per declared code: the document's top prediction, match type and score; a document
-    without codes gives one no_declared row. docs: doc_id, text."""
-    declared = docs.select("doc_id", F.explode(T.declared_codes(F.col("text"))).alias("declared"))
-    top = ranked(predictions).where("rank = 1").select("doc_id", F.col("code").alias("predicted_top"), F.col("prob").alias("predicted_prob"))
-    scored = scorer(declared, predictions).select("doc_id", "declared", "score", "match_type")
-    rows = docs.select("doc_id").join(scored, "doc_id", "left").join(top, "doc_id", "left")
+    without codes gives one no_declared row. docs: doc_id, text. The usual scorer (none given) works on
+    each document's predictions as they are joined to it, once; another gets (doc_id, declared) rows."""
+    with_preds = docs.select("doc_id", T.declared_codes(F.col("text")).alias("_codes")).join(by_document(predictions).hint("merge"), "doc_id", "left")
+    top = F.get("preds", F.lit(0))
+    rows = with_preds.select("doc_id", "preds", top["code"].alias("predicted_top"), top["prob"].alias("predicted_prob"), F.explode_outer("_codes").alias("declared"))
+    if scorer is None:
+        none = F.lit(None)
+        s = _scored(F.upper("declared"), F.col("preds"), none.cast("string"), none.cast("double"))
+        rows = rows.withColumn("_s", F.when(F.col("declared").isNotNull(), s)).withColumn("match_type", F.col("_s.match_type")).withColumn("score", F.col("_s.score"))
+    else:
+        scored = scorer(rows.where("declared IS NOT NULL").select("doc_id", "declared"), predictions).select("doc_id", "declared", "score", "match_type")
+        rows = rows.join(scored.hint("merge"), ["doc_id", "declared"], "left")
     return rows.select(
         "doc_id", "declared", "predicted_top", F.coalesce("predicted_prob", F.lit(0.0)).alias("predicted_prob"),
         F.when(F.col("declared").isNull(), "no_declared").otherwise(F.col("match_type")).alias("match_type"), "score",

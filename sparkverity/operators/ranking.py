@@ -1,7 +1,7 @@
 """Exact ranks and running sums without sorting a whole group in one task.
 
-Rows are put into many buckets that follow the order (by the leading digits of a hash, or by equal
-steps of a value); counts per bucket give what lies before a bucket, a window inside each bucket
+Rows are put into many buckets that follow the order (by the leading digits of a hash, or by ranges
+of a value); counts per bucket give what lies before a bucket, a window inside each bucket
 gives the rest. Equal results to one window over the group, spread over the buckets.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 4096
+from sparkverity.session import shared_dir
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -33,13 +33,13 @@ def hash_rank(df: DataFrame, key: str, seed: int = 42, by: list[str] | None = No
     return joined.withColumn("_rank", F.col("_before") + inside).drop("_h", "_b", "_before")
 
 
-def running_sums(df: DataFrame, value: str, sums: list[str], by: list[str] | None = None, steps: int = STEPS) -> DataFrame:
-    """df (one row per group and value) with sums over all rows of larger or equal value, as cum_<name>."""
+def running_sums(df: DataFrame, value: str, sums: list[str], by: list[str] | None = None) -> DataFrame:
+    """df (one row per group and value) with sums over all rows of larger or equal value, as cum_<name>.
+    Rows are dealt by ranges of the value that hold about equally many, so values may lie as unevenly as they like."""
     by = by or []
-    spread = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    lo, width = (spread.lo or 0.0), ((spread.hi or 0.0) - (spread.lo or 0.0)) or 1.0
-    marked = df.withColumn("_b", F.floor((F.col(value) - lo) / width * (steps - 1)).cast("int"))
-    per = marked.groupBy(*by, "_b").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
+    shared_dir(df.sparkSession)
+    marked = df.repartitionByRange(F.col(value)).withColumn("_b", F.spark_partition_id()).checkpoint()
+    per = marked.groupBy(*by, "_b").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))  # a row per group and range
     after = Window.partitionBy(*by).orderBy(F.desc("_b")) if by else Window.orderBy(F.desc("_b"))
     before = per.select(*by, "_b", *((F.sum(f"_t_{s}").over(after) - F.col(f"_t_{s}")).alias(f"_o_{s}") for s in sums))
     inside = Window.partitionBy(*by, "_b").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)

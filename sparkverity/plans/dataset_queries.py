@@ -152,9 +152,9 @@ def j6(x: Inputs) -> DataFrame:
     return x.diagnoses.join(x.notes.select("hadm_id", "subject_id"), "hadm_id", "left").groupBy("hadm_id", "subject_id").agg(F.count("*").alias("n"))
 
 
-@query("j5_code_descriptions", "diagnoses", "dx", sql=f"WITH {CODES} SELECT cc.code, coalesce(dx.phrase, '') AS description, n FROM cc LEFT JOIN dx ON substr(dx.code, 1, 3) = substr(cc.code, 1, 3) AND dx.i % 2 = 0")
+@query("j5_code_descriptions", "diagnoses", "dx", sql=f"WITH {CODES} SELECT cc.code, coalesce(dx.phrase, '') AS description, n FROM cc LEFT JOIN (SELECT substr(code, 1, 3) AS cat, min(phrase) AS phrase FROM dx GROUP BY 1) dx ON dx.cat = substr(cc.code, 1, 3)")
 def j5(x: Inputs) -> DataFrame:
-    d = x.dx.where("i % 2 = 0").select(T.category(c("code")).alias("cat"), "phrase")
+    d = x.dx.groupBy(T.category(c("code")).alias("cat")).agg(F.min("phrase").alias("phrase"))
     counts = D.code_counts(x.diagnoses).withColumn("cat", T.category(c("code")))
     return counts.join(d, "cat", "left").select("code", F.coalesce("phrase", F.lit("")).alias("description"), "n")
 

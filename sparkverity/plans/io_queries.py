@@ -105,8 +105,10 @@ def a35(x: Inputs) -> DataFrame:
 
 @query("v25_text_baseline")
 def v25(x: Inputs) -> DataFrame:
+    """A head for every code of the code list."""
     rows = x.claims.select("claim_id", "clinical_text", T.declared_codes(c("clinical_text")).alias("labels")).withColumn("text", T.mask_codes(c("clinical_text")))
-    prepare, heads = M.fit_text_labels(rows, ["I10", "J15.9", "C50.9"])
+    labels = [r.code for r in x.dx.select("code").distinct().orderBy("code").collect()]
+    prepare, heads = M.fit_text_labels(rows, labels)
     return M.text_label_scores(prepare, heads, rows, "claim_id")
 
 
@@ -124,14 +126,15 @@ def v32(x: Inputs) -> DataFrame:
     return io.hash_table(grey)
 
 
-@query("f29_code_items", "predictions", sql="SELECT doc_id, code, prob FROM predictions WHERE ord < 3")
+@query("f29_code_items", "predictions", sql="SELECT doc_id, code, CASE WHEN ord % 4 = 3 THEN 0::double ELSE prob END AS prob FROM predictions")
 def f29(x: Inputs) -> DataFrame:
-    """Predictions that arrive as JSON maps, lists or plain text, as (code, confidence)."""
-    p = x.predictions.where("ord < 3")
-    raw = F.when(c("ord") == 0, F.to_json(F.struct("code", c("prob").alias("confidence")))).when(c("ord") == 1, F.to_json(F.array(c("code"), c("prob").cast("string")))).otherwise(F.to_json(F.struct(c("code").alias("icd"), c("prob").alias("confidence"))))
+    """Predictions that arrive as JSON maps of two kinds, lists or plain text, as (code, confidence)."""
+    kind = c("ord") % 4
+    raw = (
+        F.when(kind == 0, F.to_json(F.struct("code", c("prob").alias("confidence")))).when(kind == 1, F.to_json(F.array(c("code"), c("prob").cast("string"))))
+        .when(kind == 2, F.to_json(F.struct(c("code").alias("icd"), c("prob").alias("confidence")))).otherwise(F.concat(F.lit('"'), c("code"), F.lit('"')))
+    )
     v = F.parse_json(raw)
     get = lambda path, kind: F.try_variant_get(v, path, kind)
-    code = F.coalesce(get("$.code", "string"), get("$.icd", "string"), get("$[0]", "string"))
-    return p.select("doc_id", code.alias("code"), F.coalesce(get("$.confidence", "double"), get("$[1]", "string").try_cast("double"), F.lit(0.0)).alias("prob"))
-
-
+    code = F.coalesce(get("$.code", "string"), get("$.icd", "string"), get("$[0]", "string"), get("$", "string"))
+    return x.predictions.select("doc_id", code.alias("code"), F.coalesce(get("$.confidence", "double"), get("$[1]", "string").try_cast("double"), F.lit(0.0)).alias("prob"))

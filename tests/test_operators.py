@@ -16,7 +16,9 @@ from sparkverity.operators import datasets as D
 from sparkverity.operators import evaluate as E
 from sparkverity.operators import hashing as HJ
 from sparkverity.operators import icd
+from sparkverity.operators import models as M
 from sparkverity.operators.ranking import hash_rank, running_sums
+from sparkverity.sources import io
 
 c = F.col
 
@@ -170,3 +172,81 @@ def test_insert_and_exists(spark):
     got = HJ.insert_hashes(table, new, F.lit("2024-01-01").cast("timestamp")).collect()
     assert [(r.phash_hex, r.image_id) for r in got] == [("01", "a")]
     assert {r.phash_hex: r.known for r in HJ.hash_exists(new.select("phash_hex").distinct(), table).collect()} == {"00": True, "01": False}
+
+
+def test_related_codes_by_blocks(spark):
+    rng = random.Random(1)
+    codes = [(f"C{k:03d}", [rng.random() - 0.5 for _ in range(4)]) for k in range(90)]
+    known, asked = spark.createDataFrame(codes, "code string, emb array<double>"), spark.createDataFrame(codes[:20], "declared string, emb array<double>")
+    few = sorted(map(tuple, icd.related_codes(asked, known, 0.5).collect()))
+    assert few == sorted(map(tuple, icd.related_codes(asked, known, 0.5, broadcast_codes=10, block_codes=16).collect())) and len(few) == 20
+
+
+def test_scorer_plug_in(spark):
+    docs = spark.createDataFrame([(1, "code I10 and J45.9"), (2, "none")], "doc_id long, text string")
+    p = spark.createDataFrame([(1, "I10", 0.9)], "doc_id long, code string, prob double")
+    fixed = lambda declared, predictions: declared.withColumn("score", F.lit(0.5)).withColumn("match_type", F.lit("mine"))
+    rows = icd.explain(docs, p, fixed).collect()
+    assert {(r.doc_id, r.declared, r.match_type) for r in rows} == {(1, "I10", "mine"), (1, "J45.9", "mine"), (2, None, "no_declared")}
+    usual = {(r.doc_id, r.declared): (r.match_type, r.score) for r in icd.explain(docs, p).collect()}
+    assert usual == {(1, "I10"): ("exact_match", 1.0), (1, "J45.9"): ("mismatch", 0.0), (2, None): ("no_declared", None)}
+    none = icd.explain(docs, p, icd.no_scorer).where("declared = 'I10'").first()
+    assert (none.match_type, none.score) == ("no_scorer", 0.0)
+
+
+@pytest.mark.parametrize("offset", [0, -5, 1 << 45, 1 << 60, -(1 << 60)])
+@pytest.mark.parametrize("small", [1000, 1])
+def test_nearest_hash_of_any_ids(spark, offset, small):
+    rng = random.Random(3)
+    refs = [(offset + k, f"{rng.getrandbits(64):016x}") for k in range(40)]
+    refs += [(offset + 40, refs[3][1]), (offset + 41, "ffffffffffffffff")]
+    queries = [(k, f"{int(refs[k][1], 16) ^ (1 << k) ^ (3 << 50 if k % 2 else 0):016x}") for k in range(20)] + [(99, "not hex")]
+    got = {r.query_id: (r.ref_id, r.distance) for r in HJ.nearest(spark.createDataFrame(queries, "query_id long, hex string"), spark.createDataFrame(refs, "ref_id long, hex string"), small=small, block_rows=16).collect()}
+    for q, h in queries[:-1]:
+        assert got[q] == min(((bin(int(h, 16) ^ int(x, 16)).count("1"), i) for i, x in refs))[::-1]
+    assert got[99] == (None, None)
+
+
+def test_running_sums_of_uneven_values(spark):
+    rows = [(10.0**-k, k + 1) for k in range(60)] + [(1e9, 5)]
+    df = spark.createDataFrame(rows, "v double, n long")
+    got = {r.v: r.cum_n for r in running_sums(df, "v", ["n"]).collect()}
+    assert got == {v: sum(n for w, n in rows if w >= v) for v, _ in rows}
+
+
+def test_full_explanation(spark):
+    row = [(1, "Patient ID: P7. Diagnosis: hypertension. ICD-10: I10", 0.1, 0.1, 0.1, "p7", "CT", 100.0, 0)]
+    v = C.verify(spark.createDataFrame(row, "claim_id long, clinical_text string, cnn_score double, ela_score double, phash_score double, img_patient_id string, img_modality string, claim_amount double, previous_claim_count int"))
+    text = v.select(C.explanation()).first()[0]
+    assert text.startswith("🏥 ICD CODE VALIDATION: VALID\n   High confidence ICD code match (score: 0.89). Primary diagnosis appears legitimate.\n\n🖼️  IMAGE ANALYSIS: AUTHENTIC\n   LOW RISK")
+    assert "\nDocument Patient ID: P7\nImage Patient ID: p7\n" in text
+    found = C.reference_findings(v, spark.createDataFrame([("P7",)], "patientid string")).first().findings
+    assert found == ["Patient P7 found in TCGA-COAD database", "Patient p7 NOT in TCGA-COAD (could indicate missing data or external patient)", "Warning: ICD codes ['I10'] may be outside TCGA-COAD typical scope"]
+    assert "TCGA-COAD Reference Alignment:\n  • Patient P7 found" in v.select(C.explanation(F.array(*map(F.lit, found)))).first()[0]
+
+
+def test_fraud_model_learns_a_rule_and_survives_saving(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, *(rng.random() for _ in M.FRAUD_FEATURES)) for k in range(300)]
+    df = spark.createDataFrame(rows, "claim_id long, " + ", ".join(f"{f} double" for f in M.FRAUD_FEATURES)).withColumn("fraud", (c("final_image_forgery_score") > 0.5).cast("int"))
+    model = M.fit_fraud(df, rounds=3)
+    before = {r.claim_id: r.probability for r in M.fraud_scores(model, df).collect()}
+    assert all((before[r.claim_id] > 0.5) == (r.fraud == 1) for r in df.collect())
+    name, weight, said = M.drivers(model)[0]
+    assert name == "final_image_forgery_score" and weight > 0.9 and said == M.DRIVERS["image"]
+    io.save_model(model, f"file://{tmp_path}/model")
+    again = {r.claim_id: r.probability for r in M.fraud_scores(io.load_model(f"file://{tmp_path}/model"), df).collect()}
+    assert again == before
+
+
+def test_text_and_embedding_heads_learn(spark):
+    rows = spark.createDataFrame([(k, "alpha beta" if k % 2 else "gamma delta", ["I10"] if k % 2 else ["J45.9"]) for k in range(60)], "claim_id long, text string, labels array<string>")
+    prepare, heads = M.fit_text_labels(rows, ["I10", "J45.9"])
+    scores = {(r.claim_id, r.code): r.prob for r in M.text_label_scores(prepare, heads, rows, "claim_id").collect()}
+    assert all((scores[k, "I10"] > 0.5) == (k % 2 == 1) and (scores[k, "J45.9"] > 0.5) == (k % 2 == 0) for k in range(60))
+    vectors = spark.createDataFrame([(k, [1.0 if k % 2 else -1.0, 0.3]) for k in range(60)], "vec_id long, embedding array<double>")
+    labelled = vectors.withColumn("labels", F.when(c("vec_id") % 2 == 1, F.array(F.lit("up"))).otherwise(F.array(F.lit("down"))))
+    head = M.fit_head(labelled, ["up", "down"])
+    assert [r.label for r in head.collect()] == ["up", "down"]
+    probs = {(r.vec_id, r.label): r.prob for r in M.head_scores(vectors, head).collect()}
+    assert all((probs[k, "up"] > 0.5) == (k % 2 == 1) for k in range(60))
