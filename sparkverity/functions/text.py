@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The shape of a diagnosis code, and the code in running text.
+#: The shape of a diagnosis code, the code in running text, fields and patterns that name a patient,
+#: words of diagnosis groups, and the code categories in scope.
 CODE = r"\b([A-TV-Z][0-9]{2}(?:\.[0-9A-Za-z]{1,4})?)\b"
 CODE_UPPER = r"\b([A-TV-Z][0-9]{2}(?:\.[0-9A-Z]{1,4})?)\b"
 PATIENT_FIELDS = ["patient\\s*id", "patient\\s*identifier", "pid", "mrn", "uhid", "hospital\\s*id", "patient\\s*name", "name"]

@@ -1,4 +1,7 @@
-"""The claim's modules: input checks, image verdicts, identity, fraud risk and the verdict."""
+"""The claim's modules: input checks, image verdicts, identity, fraud risk and the verdict.
+
+The sentences in this module (errors, evidence, risk factors, verdict summaries, titles) are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -60,7 +60,7 @@ def labelled_notes(notes: DataFrame, diagnoses: DataFrame, *, top_k: int = 200,
     top = most_frequent(code_counts(diagnoses), top_k, min_count).select("code")
     labels = _codes(diagnoses).join(F.broadcast(top), "code").groupBy("hadm_id").agg(F.array_sort(F.collect_set("code")).alias("labels"))
     kept = kept_notes(notes, ["DS"] if note_types is None else note_types).where("hadm_id IS NOT NULL")
-    return kept.join(labels, "hadm_id").withColumn("text", T.mask_codes(F.col("text")))
+    return kept.join(labels.hint("merge"), "hadm_id").withColumn("text", T.mask_codes(F.col("text")))
 
 
 def indexed(notes: DataFrame, label_list: list[str]) -> DataFrame:
@@ -100,7 +100,7 @@ def balanced(df: DataFrame, key: str, is_reference: Column, ratio: float = 1.0,
 
 def described_examples(diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Distinct (text, code) from the description of each code."""
-    rows = _codes(diagnoses).join(dictionary, "code", "left")
+    rows = _codes(diagnoses).join(dictionary.hint("merge"), "code", "left")
     return rows.select(T.description_text(F.col("description"), F.col("code")).alias("text"), "code").dropDuplicates(["text", "code"])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
@@ -14,6 +17,22 @@ FRAUD_FEATURES = ["icd_match_score", "cnn_forgery_score", "ela_score", "phash_sc
 DRIVERS = {"icd": "Low ICD match score", "image": "High image forgery confidence", "claim": "Large claim amount", "previous": "High previous claim count"}
 
 
+ImageScorer = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+def image_scores(pictures: DataFrame, load: Callable[[], ImageScorer], scores: tuple[str, ...] = ("cnn_score",)) -> DataFrame:
+    """path and scores of pictures (path, content) by a model of the caller's: load() is called once a task and
+    returns a function that turns a batch of pictures into a frame of scores, a row per picture (null: no score)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = load()
+        for batch in batches:
+            found = score(batch[["path", "content"]]).reset_index(drop=True)
+            yield pd.concat([batch["path"].reset_index(drop=True), found[list(scores)].astype(float)], axis=1)
+
+    return pictures.select("path", "content").mapInPandas(run, "path string, " + ", ".join(f"{s} double" for s in scores))
+
+
 def fit_fraud(rows: DataFrame, label: str = "fraud", *, rounds: int = 20, seed: int = 42) -> PipelineModel:
     stages = [VectorAssembler(inputCols=FRAUD_FEATURES, outputCol="vec"), GBTClassifier(featuresCol="vec", labelCol=label, maxIter=rounds, maxDepth=4, seed=seed)]
     return Pipeline(stages=stages).fit(rows)

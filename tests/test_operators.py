@@ -250,3 +250,17 @@ def test_text_and_embedding_heads_learn(spark):
     assert [r.label for r in head.collect()] == ["up", "down"]
     probs = {(r.vec_id, r.label): r.prob for r in M.head_scores(vectors, head).collect()}
     assert all((probs[k, "up"] > 0.5) == (k % 2 == 1) for k in range(60))
+
+
+def test_image_score_plug_in(spark):
+    pictures = spark.createDataFrame([(f"p{k}.png", bytes([k] * k)) for k in range(25)] + [("none.png", None)], "path string, content binary")
+
+    def load():
+        import pandas as pd
+
+        size = lambda b: None if b is None else len(b) / 100.0
+        return lambda batch: pd.DataFrame({"cnn_score": [size(b) for b in batch["content"]], "ela_score": 0.5})
+
+    got = {r.path: (r.cnn_score, r.ela_score) for r in M.image_scores(pictures, load, ("cnn_score", "ela_score")).collect()}
+    assert got["p7.png"] == (0.07, 0.5) and len(got) == 26 and (got["none.png"][0] is None or math.isnan(got["none.png"][0]))
+    assert M.image_scores(pictures.limit(0), load, ("cnn_score",)).count() == 0
