@@ -554,6 +554,57 @@ def test_language_awkward(spark):
     assert langid.accepted(docs).columns == docs.columns
 
 
+def brute_language(train, texts):
+    """Codeword decoding from n-gram counts held in plain dictionaries."""
+    def grams(text):
+        letters = re.sub(rb"[^a-z\x80-\xff]+", b" ", lowered(text).encode()).split()
+        t = b" " + b" ".join(letters) + b" "
+        pairs = [("p", t[i] << 8 | t[i + 1]) for i in range(len(t) - 1)]
+        return pairs + [("t", (((t[i] << 16 | t[i + 1] << 8 | t[i + 2]) * 2654435761) % 2**32) >> 16) for i in range(len(t) - 2)]
+
+    langs = sorted({lang for _, lang in train})
+    count = {lang: Counter() for lang in langs}
+    for t, lang in train:
+        count[lang].update(grams(t))
+    share = {}
+    for part in "pt":
+        cells = [(part, k) for k in range(1 << 16)]
+        pooled = {c: sum(count[x][c] for x in langs) + 0.01 for c in cells}
+        all_pooled = sum(pooled.values())
+        for x in langs:
+            own = {c: count[x][c] + 50 * pooled[c] / all_pooled for c in cells}
+            total = sum(own.values())
+            share.setdefault(x, {}).update({c: v / total for c, v in own.items()})
+    code = langid.codewords(len(langs))
+    bits = []
+    for b in range(code.shape[1]):
+        sides = [[x for k, x in enumerate(langs) if code[k, b] == side] for side in (0, 1)]
+        mean = [{c: sum(share[x][c] for x in side) / len(side) for c in share[langs[0]]} for side in sides]
+        ratio = {c: np.log(mean[1][c]) - np.log(mean[0][c]) for c in mean[0]}
+        spread = sum((mean[1][c] - mean[0][c]) * ratio[c] for c in ratio) / 4 + 1e-9
+        bits.append((ratio, spread))
+    out = []
+    for t in texts:
+        own = grams(t)
+        loss = [
+            sum(s / sum(x for _, x in bits) * np.logaddexp(0, -3 * np.mean([r[g] for g in own]) / s * (1 if code[k, b] else -1)) for b, (r, s) in enumerate(bits)) for k in range(len(langs))
+        ]
+        odds = [np.exp(-langid.SHARPNESS * (x - min(loss))) for x in loss]
+        out.append((langs[int(np.argmin(loss))], max(odds) / sum(odds)))
+    return out
+
+
+def test_language_brute_force(spark):
+    texts, langs = ["the cat sat on the mat", "der hund und die katze", "le chat est sur la table", "and the dog ran", "ein kleines haus", "une petite maison"] * 2, ["en", "de", "fr"] * 4
+    langs[3:6] = ["en", "de", "fr"]
+    docs = documents(spark, [*texts, "the house", "das haus und", "é ñ"], lang=[*langs, None, None, None])
+    train = [(t, x) for k, (t, x) in enumerate(zip(texts, langs, strict=True)) if crc32(str(k).encode()) % 5]
+    want = brute_language(train, [r.text for r in docs.orderBy("doc_id").collect()])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    for k, (lang, score) in enumerate(want):
+        assert got[k][0] == lang and abs(got[k][1] - score) < 1e-4, k
+
+
 def test_language_cells_of_pieces():
     for text in (b"", b"a", "Él niño come, 12 x".encode(), bytes(range(65, 91)) * 9):
         whole, parts = [np.concatenate(list(langid.cells(text, piece))) for piece in (1 << 20, 7)]
