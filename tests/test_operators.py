@@ -81,8 +81,8 @@ def test_hash_joins_equal_brute_force(spark):
         got = {(x.query_id, x.ref_id): x.distance for x in HJ.within(q, r, d).collect()}
         assert got == {k: v for k, v in pairs.items() if v <= d}
     want = {a: min((pairs[a, b], b) for b, _ in refs) for a, _ in queries}
-    for small in (1000, 10):
-        assert {x.query_id: (x.distance, x.ref_id) for x in HJ.nearest(q, r, small=small).collect()} == want
+    for sizes in ({}, {"query_block": 7, "block_rows": 9}):
+        assert {x.query_id: (x.distance, x.ref_id) for x in HJ.nearest(q, r, **sizes).collect()} == want
     none = HJ.dissimilarity(HJ.nearest(q, r.where("false"))).first()
     assert (none.distance, none.ref_id, none.score) == (None, None, 1.0)
     assert HJ.similar(q, r, report_unmatched=False).where("match_type = 'none'").count() == sum(v[0] > 10 for v in want.values())
@@ -195,13 +195,12 @@ def test_scorer_plug_in(spark):
 
 
 @pytest.mark.parametrize("offset", [0, -5, 1 << 45, 1 << 60, -(1 << 60)])
-@pytest.mark.parametrize("small", [1000, 1])
-def test_nearest_hash_of_any_ids(spark, offset, small):
+def test_nearest_hash_of_any_ids(spark, offset):
     rng = random.Random(3)
     refs = [(offset + k, f"{rng.getrandbits(64):016x}") for k in range(40)]
     refs += [(offset + 40, refs[3][1]), (offset + 41, "ffffffffffffffff")]
     queries = [(k, f"{int(refs[k][1], 16) ^ (1 << k) ^ (3 << 50 if k % 2 else 0):016x}") for k in range(20)] + [(99, "not hex")]
-    got = {r.query_id: (r.ref_id, r.distance) for r in HJ.nearest(spark.createDataFrame(queries, "query_id long, hex string"), spark.createDataFrame(refs, "ref_id long, hex string"), small=small, block_rows=16).collect()}
+    got = {r.query_id: (r.ref_id, r.distance) for r in HJ.nearest(spark.createDataFrame(queries, "query_id long, hex string"), spark.createDataFrame(refs, "ref_id long, hex string"), block_rows=16).collect()}
     for q, h in queries[:-1]:
         assert got[q] == min(((bin(int(h, 16) ^ int(x, 16)).count("1"), i) for i, x in refs))[::-1]
     assert got[99] == (None, None)
