@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkverity.functions import image as I
 from sparkverity.functions import text as T
 from sparkverity.functions.hashing import let
+from sparkverity.operators.balls import most_similar
 
 #: Fixed values of the keyword predictor: keyword, code, probability, in table order.
 KEYWORDS = [
@@ -87,25 +87,10 @@ def top_k(predictions: DataFrame, k: int = 10) -> DataFrame:
     return ranked(predictions).where(F.col("rank") <= k)
 
 
-#: A dictionary of up to so many codes is sent to all tasks; of a larger one blocks meet blocks of declared codes.
-BROADCAST_CODES = 100_000
-BLOCK_CODES = 16_384
-
-
-def related_codes(embeddings: DataFrame, dictionary: DataFrame, least: float = 0.65, *, broadcast_codes: int = BROADCAST_CODES, block_codes: int = BLOCK_CODES) -> DataFrame:
-    """Per declared code the dictionary code of largest cosine (first in code order on a tie) above ``least``."""
-    a = embeddings.select("declared", F.col("emb").alias("_a"), I.norm(F.col("emb")).alias("_na"))
-    b = dictionary.select(F.col("code").alias("best_match"), F.col("emb").alias("_b"), I.norm(F.col("emb")).alias("_nb"))
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    n = dictionary.count()
-    if n <= broadcast_codes:
-        pairs = a.crossJoin(F.broadcast(b))
-    else:
-        parts = -(-n // block_codes)
-        pairs = a.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(b.withColumn("_p", F.pmod(F.xxhash64("best_match"), F.lit(parts)).cast("int")).hint("shuffle_hash"), "_p")
-    scored = pairs.select("declared", "best_match", (dot / (F.col("_na") * F.col("_nb") + 1e-8)).alias("sim")).where(F.col("sim") > least)
-    order = Window.partitionBy("declared").orderBy(F.desc("sim"), "best_match")
-    return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+def related_codes(embeddings: DataFrame, dictionary: DataFrame, least: float = 0.65, **sizes) -> DataFrame:
+    """Per declared code the dictionary code of largest cosine (first in code order on a tie) above ``least``.
+    Any number of codes on either side: see ``balls``."""
+    return most_similar(embeddings, dictionary, least, **sizes)
 
 
 def by_document(predictions: DataFrame) -> DataFrame:

@@ -174,12 +174,29 @@ def test_insert_and_exists(spark):
     assert {r.phash_hex: r.known for r in HJ.hash_exists(new.select("phash_hex").distinct(), table).collect()} == {"00": True, "01": False}
 
 
-def test_related_codes_by_blocks(spark):
+def test_related_codes_of_any_dictionary(spark):
+    """Equal to comparing all; on clustered vectors less than half of all pairs are compared."""
     rng = random.Random(1)
-    codes = [(f"C{k:03d}", [rng.random() - 0.5 for _ in range(4)]) for k in range(90)]
-    known, asked = spark.createDataFrame(codes, "code string, emb array<double>"), spark.createDataFrame(codes[:20], "declared string, emb array<double>")
-    few = sorted(map(tuple, icd.related_codes(asked, known, 0.5).collect()))
-    assert few == sorted(map(tuple, icd.related_codes(asked, known, 0.5, broadcast_codes=10, block_codes=16).collect())) and len(few) == 20
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    vector = lambda k: [x * (0.1 + k % 7) + rng.gauss(0, 0.2) for x in centres[k % 12]]
+    codes = [(f"C{k:03d}", vector(k)) for k in range(400)] + [("AAA", [0.0] * 6), ("BBB", None), ("CCC", [1.0] * 5 + [float("nan")]), ("DDD", [1e-6] * 6)]
+    codes += [("Z" + name, v) for name, v in codes[:5]]
+    asked = [(f"Q{k:03d}", vector(k)) for k in range(60)] + [codes[3], ("zero", [0.0] * 6), ("none", None), ("small", [1e-5] * 6), ("away", [-x for x in centres[0]])]
+    known, declared = spark.createDataFrame(codes, "code string, emb array<double>"), spark.createDataFrame(asked, "declared string, emb array<double>")
+
+    def sim(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b)) + 1e-8)
+
+    fit = [(name, v) for name, v in codes if v and all(map(math.isfinite, v))]
+    for least in (0.65, 0.1, -2.0):
+        want = {q: best for q, v in asked if v and (best := min(((-sim(v, b), code) for code, b in fit)))[0] < -least}
+        for sizes in ({}, {"codes_a_ball": 20, "part_rows": 16}):
+            seen = {}
+            got = {r.declared: (r.sim, r.best_match) for r in icd.related_codes(declared, known, least, seen=seen, **sizes).collect()}
+            assert got.keys() == want.keys() and all(abs(got[q][0] + want[q][0]) < 1e-9 and got[q][1] == want[q][1] for q in want)
+            if least == 0.65 and sizes:
+                assert 0 < seen["compared"] < len(asked) * len(codes) / 2
+    assert icd.related_codes(declared, known.where("false"), 0.5).count() == 0 == icd.related_codes(declared.where("false"), known, 0.5).count()
 
 
 def test_scorer_plug_in(spark):
