@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Features of the fraud model, in order; by name, never by place.
+from sparkverity.functions.hashing import let
+from sparkverity.operators import heads
+
+#: Features of the fraud model, in order (by name, never by place), and what they stand for.
 FRAUD_FEATURES = ["icd_match_score", "cnn_forgery_score", "ela_score", "phash_score", "final_image_forgery_score", "claim_amount_log", "previous_claim_count"]
 DRIVERS = {"icd": "Low ICD match score", "image": "High image forgery confidence", "claim": "Large claim amount", "previous": "High previous claim count"}
 
@@ -58,39 +61,47 @@ def drivers(model: PipelineModel, k: int = 3) -> list[tuple[str, float, str]]:
     return [(n, w, meaning(n)) for n, w in top]
 
 
-def fit_text_labels(rows: DataFrame, labels: list[str], *, features: int = 5000) -> tuple[PipelineModel, dict]:
-    """Uni- and bigrams weighted by inverse document frequency, one logistic regression per label. rows: text, labels."""
+def _sparse(ready: DataFrame, *keep: str) -> DataFrame:
+    """A vector column as at and x, the places and values of what isn't zero."""
+    def taken(values: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda k: F.get(values, k) != 0)
+        return F.struct(at.alias("at"), F.filter(values, lambda v: v != 0).alias("x"))
+
+    return ready.select(*keep, let(vector_to_array("vec"), taken).alias("_v")).select(*keep, "_v.at", "_v.x")
+
+
+def fit_text_labels(rows: DataFrame, labels: list[str], *, features: int = 5000, penalty: float = heads.PENALTY, steps: int = 100, tolerance: float = 2e-4) -> tuple[PipelineModel, DataFrame]:
+    """Uni- and bigrams weighted by inverse document frequency, texts of length one, a logistic head per label, all fitted in the same passes. rows: text, labels."""
     prepare = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"\W+"), NGram(n=2, inputCol="_w", outputCol="_b"),
-        SQLTransformer(statement="SELECT *, concat(_w, _b) AS _t FROM __THIS__"), CountVectorizer(inputCol="_t", outputCol="_n", vocabSize=features), IDF(inputCol="_n", outputCol="vec"),
+        SQLTransformer(statement="SELECT *, concat(_w, _b) AS _t FROM __THIS__"), CountVectorizer(inputCol="_t", outputCol="_n", vocabSize=features),
+        IDF(inputCol="_n", outputCol="_i"), Normalizer(inputCol="_i", outputCol="vec"),
     ]).fit(rows)
-    ready = prepare.transform(rows).select("labels", "vec").persist()
-    heads = {x: LogisticRegression(featuresCol="vec", labelCol="y", maxIter=20, regParam=0.01).fit(ready.select("vec", F.array_contains("labels", x).cast("double").alias("y"))) for x in labels}
-    ready.unpersist()
-    return prepare, heads
+    width = len(prepare.stages[3].vocabulary)
+    weights = heads.fit(_sparse(prepare.transform(rows), "labels"), labels, width, penalty=penalty, steps=steps, tolerance=tolerance)
+    return prepare, heads.as_rows(rows.sparkSession, weights, labels)
 
 
-def text_label_scores(prepare: PipelineModel, heads: dict, rows: DataFrame, key: str) -> DataFrame:
-    ready = prepare.transform(rows).select(key, "vec")
-    for x, head in heads.items():
-        ready = head.setProbabilityCol(f"_p_{x}").setRawPredictionCol("_r").setPredictionCol("_c").transform(ready).drop("_r", "_c")
-    pairs = F.array(*(F.struct(F.lit(x).alias("code"), vector_to_array(F.col(f"`_p_{x}`"))[1].alias("prob")) for x in heads))
-    return ready.select(key, F.inline(pairs))
+def text_label_scores(prepare: PipelineModel, head: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """key, code and prob: a row per text and label."""
+    return heads.probabilities(_sparse(prepare.transform(rows), key), head.collect(), key)
 
 
-def fit_head(rows: DataFrame, labels: list[str], *, steps: int = 20) -> DataFrame:
+def fit_head(rows: DataFrame, labels: list[str], *, steps: int = 500, penalty: float = heads.PENALTY) -> DataFrame:
     """A logistic head per label on an embedding column: label, weights, bias. rows: embedding, labels."""
-    ready = rows.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("vec"), "labels").persist()
-    out = []
-    for x in labels:
-        m = LogisticRegression(featuresCol="vec", labelCol="y", maxIter=steps, regParam=0.01).fit(ready.select("vec", F.array_contains("labels", x).cast("double").alias("y")))
-        out.append((x, [float(v) for v in m.coefficients.toArray()], float(m.intercept)))
-    ready.unpersist()
-    return rows.sparkSession.createDataFrame(out, "label string, weights array<double>, bias double")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    ready = rows.select(F.lit(None).cast("array<int>").alias("at"), F.col("embedding").alias("x"), "labels")
+    return heads.as_rows(rows.sparkSession, heads.fit(ready, labels, max(0, width), penalty=penalty, steps=steps), labels)
+
+
+#: Heads that are broadcast; blocks of more.
+HEADS, HEAD_PARTS = 10_000, 64
 
 
 def head_scores(vectors: DataFrame, head: DataFrame) -> DataFrame:
-    """Probability of each label of the head (a short list, sent to all tasks) for each vector."""
+    """Probability of each label of the head for each vector. Up to HEADS labels are sent to all tasks (counted)."""
     dot = F.aggregate(F.zip_with("embedding", "weights", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = vectors.crossJoin(F.broadcast(head))
+    pairs = vectors.crossJoin(F.broadcast(head)) if head.count() <= HEADS else vectors.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(HEAD_PARTS - 1)))).join(
+        head.withColumn("_k", F.pmod(F.xxhash64("label"), F.lit(HEAD_PARTS)).cast("int")).hint("shuffle_hash"), "_k"
+    ).drop("_k")
     return pairs.select(*(c for c in vectors.columns if c != "embedding"), "label", (1 / (1 + F.exp(-(dot + F.col("bias"))))).alias("prob"))

@@ -15,6 +15,7 @@ from sparkverity.operators import claims as C
 from sparkverity.operators import datasets as D
 from sparkverity.operators import evaluate as E
 from sparkverity.operators import hashing as HJ
+from sparkverity.operators import heads
 from sparkverity.operators import icd
 from sparkverity.operators import models as M
 from sparkverity.operators.ranking import hash_rank, running_sums
@@ -268,6 +269,42 @@ def test_text_and_embedding_heads_learn(spark):
     assert all((probs[k, "up"] > 0.5) == (k % 2 == 1) for k in range(60))
 
 
+def test_heads_equal_separate_fits(spark):
+    """The same probabilities as one fit after another, dense and sparse; as many jobs for many labels as for few."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = random.Random(8)
+    points = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(200)]
+    points = [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in points]
+    labels = [[name for name, k in (("a", 0), ("b", 1), ("c", 2)) if v[k] + rng.gauss(0, 0.3) > 0.2] + ["always", "unknown"] for v in points]
+    rows = spark.createDataFrame(list(zip(range(200), points, labels, strict=True)), "id long, embedding array<double>, labels array<string>")
+    head = M.fit_head(rows, ["a", "b", "c", "always", "never"])
+    got = {(r.id, r.label): r.prob for r in M.head_scores(rows.select("id", "embedding"), head).collect()}
+    sparse = rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: k).alias("at"), F.slice("embedding", 1, 4).alias("x"), "labels")
+    for outer in (heads.OUTER, 1):
+        old, heads.OUTER = heads.OUTER, outer
+        few = heads.fit(sparse, ["a", "b"], 4)
+        heads.OUTER = old
+        by_row = {(r.id, r.code): r.prob for r in heads.probabilities(sparse, heads.as_rows(spark, few, ["a", "b"]).collect(), "id").collect()}
+        for name, features, mine in (("a", 5, got), ("b", 5, got), ("c", 5, got), ("a", 4, by_row), ("b", 4, by_row)):
+            ready = rows.select("id", array_to_vector(F.slice("embedding", 1, features)).alias("v"), F.array_contains("labels", name).cast("double").alias("y"))
+            model = LogisticRegression(featuresCol="v", labelCol="y", regParam=heads.PENALTY, standardization=False, maxIter=300, tol=1e-12).fit(ready)
+            assert all(abs(r.p - mine[r.id, name]) < 1e-5 for r in model.transform(ready).select("id", vector_to_array("probability")[1].alias("p")).collect())
+    assert all(p > 0.99 for (_, name), p in got.items() if name == "always") and all(p < 0.01 for (_, name), p in got.items() if name == "never")
+
+    def jobs(names):
+        spark.sparkContext.setJobGroup("count", "")
+        spark.sparkContext._jsc.setLocalProperty("spark.jobGroup.id", f"heads-{len(names)}")
+        heads.fit(rows.select(F.lit(None).cast("array<int>").alias("at"), F.col("embedding").alias("x"), "labels"), names, 5, steps=3, tolerance=0.0)
+        found = spark.sparkContext.statusTracker().getJobIdsForGroup(f"heads-{len(names)}")
+        spark.sparkContext._jsc.setLocalProperty("spark.jobGroup.id", None)
+        return len(found)
+
+    assert jobs(["a", "b"]) == jobs([f"L{k}" for k in range(400)]) > 0
+    assert heads.fit(rows.select(F.lit(None).cast("array<int>").alias("at"), F.col("embedding").alias("x"), "labels").where("false"), ["a"], 5).tolist() == [[0.0]] * 6
+
+
 def test_image_score_plug_in(spark):
     pictures = spark.createDataFrame([(f"p{k}.png", bytes([k] * k)) for k in range(25)] + [("none.png", None)], "path string, content binary")
 
