@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,11 +10,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkverity.functions.hashing import let
 from sparkverity.operators import heads
+from sparkverity.session import new_dir
 
 #: Features of the fraud model, in order (by name, never by place), and what they stand for.
 FRAUD_FEATURES = ["icd_match_score", "cnn_forgery_score", "ela_score", "phash_score", "final_image_forgery_score", "claim_amount_log", "previous_claim_count"]
@@ -36,8 +38,8 @@ def image_scores(pictures: DataFrame, load: Callable[[], ImageScorer], scores: t
     return pictures.select("path", "content").mapInPandas(run, "path string, " + ", ".join(f"{s} double" for s in scores))
 
 
-def fit_fraud(rows: DataFrame, label: str = "fraud", *, rounds: int = 20, seed: int = 42) -> PipelineModel:
-    stages = [VectorAssembler(inputCols=FRAUD_FEATURES, outputCol="vec"), GBTClassifier(featuresCol="vec", labelCol=label, maxIter=rounds, maxDepth=4, seed=seed)]
+def fit_fraud(rows: DataFrame, label: str = "fraud", *, rounds: int = 20, bins: int = 128, seed: int = 42) -> PipelineModel:
+    stages = [VectorAssembler(inputCols=FRAUD_FEATURES, outputCol="vec"), GBTClassifier(featuresCol="vec", labelCol=label, maxIter=rounds, maxDepth=4, maxBins=bins, seed=seed)]
     return Pipeline(stages=stages).fit(rows)
 
 
@@ -46,19 +48,68 @@ def fraud_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("probability", vector_to_array("probability")[1]).drop("vec", "rawPrediction", "prediction")
 
 
-def drivers(model: PipelineModel, k: int = 3) -> list[tuple[str, float, str]]:
-    """The k most important features, with what they stand for."""
-    weights = model.stages[-1].featureImportances.toArray()
-    top = sorted(zip(FRAUD_FEATURES, map(float, weights), strict=True), key=lambda t: (-t[1], t[0]))[:k]
-
-    def meaning(name: str) -> str:
-        if "icd" in name:
-            return DRIVERS["icd"]
-        if any(s in name for s in ("final_image", "cnn", "ela", "phash")):
-            return DRIVERS["image"]
-        return DRIVERS["claim"] if "claim" in name else DRIVERS["previous"]
-
-    return [(n, w, meaning(n)) for n, w in top]
+TREES = "tree int, weight double, node int, feature string, threshold double, left int, right int, value double, gain double, n bigint"
+
+
+def tree_rows(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """A fitted fraud model as rows, one per node: inner nodes have a feature by name, a threshold (up to it goes left)
+    and two children; leaves have a value. Read from the model's own saved form."""
+    path = new_dir(spark, "trees")
+    model.stages[-1].write().save(path)
+    name = F.element_at(F.array(*(F.lit(f) for f in FRAUD_FEATURES)), F.col("nodeData.split.featureIndex") + 1)
+    inner = F.col("nodeData.leftChild") >= 0
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), F.when(inner, name).alias("feature"), F.when(inner, F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+        F.when(inner, F.col("nodeData.leftChild")).alias("left"), F.when(inner, F.col("nodeData.rightChild")).alias("right"), F.col("nodeData.prediction").alias("value"), F.col("nodeData.gain").alias("gain"), F.col("nodeData.rawCount").alias("n"),
+    )
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in model.stages[-1].treeWeights)), F.col("tree") + 1)
+    return nodes.withColumn("weight", weight).select(*(f.split()[0] for f in TREES.split(", ")))
+
+
+def tree_scores(trees: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with the probability of a model given as rows, by a fold down each tree. The nodes (rounds times 2^depth
+    at most, part of the plan) are a constant; a missing feature goes right."""
+    listed = sorted(trees.collect(), key=lambda r: (r.tree, r.node))
+    features, by_tree = sorted({r.feature for r in listed if r.feature}), {}
+    for r in listed:
+        by_tree.setdefault(r.tree, {"weight": r.weight, "nodes": []})["nodes"].append(
+            {"f": features.index(r.feature) if r.feature else -1, "t": r.threshold, "l": r.left, "r": r.right, "v": r.value}
+        )  # nodes are numbered from 0 without gaps
+    forest = F.from_json(F.lit(json.dumps(list(by_tree.values()))), "array<struct<weight:double,nodes:array<struct<f:int,t:double,l:int,r:int,v:double>>>>")
+    values = F.array(*(F.col(f).cast("double") for f in features)) if features else F.array().cast("array<double>")
+    depth = F.sequence(F.lit(1), F.lit(max((len(t["nodes"]) for t in by_tree.values()), default=1).bit_length() + 3))
+
+    def step(nodes: Column, at: Column, own: Column) -> Column:
+        node = F.get(nodes, at)
+        return F.when(node["f"] < 0, at).when(F.get(own, node["f"]) <= node["t"], node["l"]).otherwise(node["r"])
+
+    def margin(both: Column) -> Column:
+        leaf = lambda t: F.aggregate(depth, F.lit(0), lambda at, _: step(t["nodes"], at, both["values"]))
+        return F.aggregate(both["forest"], F.lit(0.0), lambda total, t: total + t["weight"] * F.get(t["nodes"], leaf(t))["v"])
+
+    return rows.withColumn("probability", 1 / (1 + F.exp(-2 * let(F.struct(values.alias("values"), forest.alias("forest")), margin))))
+
+
+def importances(trees: DataFrame) -> DataFrame:
+    """feature and importance: its share of the gain, each tree counting alike."""
+    gained = trees.where("feature IS NOT NULL").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("n")).alias("g"))
+    per_tree = gained.groupBy("tree").agg(F.sum("g").alias("all"))
+    shares = gained.join(per_tree.hint("merge"), "tree").where("`all` > 0").groupBy("feature").agg(F.sum(F.col("g") / F.col("all")).alias("share"))
+    whole = shares.agg(F.sum("share").alias("whole"))
+    return shares.join(F.broadcast(whole)).select("feature", (F.col("share") / F.col("whole")).alias("importance"))
+
+
+def meaning(feature: Column) -> Column:
+    """What a feature stands for."""
+    image = F.lit(False)
+    for part in ("final_image", "cnn", "ela", "phash"):
+        image = image | F.contains(feature, F.lit(part))
+    return F.when(F.contains(feature, F.lit("icd")), DRIVERS["icd"]).when(image, DRIVERS["image"]).when(F.contains(feature, F.lit("claim_amount")), DRIVERS["claim"]).otherwise(DRIVERS["previous"])
+
+
+def drivers(trees: DataFrame, k: int = 3) -> DataFrame:
+    """The k most important features of a model, with what they stand for: feature, importance, driver."""
+    return importances(trees).orderBy(F.desc("importance"), "feature").limit(k).withColumn("driver", meaning(F.col("feature")))
 
 
 def _sparse(ready: DataFrame, *keep: str) -> DataFrame:

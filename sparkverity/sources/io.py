@@ -125,6 +125,17 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def save_trees(trees: DataFrame, path: str) -> None:
+    """A model of trees as rows; one small file."""
+    trees.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_trees(spark: SparkSession, path: str) -> DataFrame:
+    from sparkverity.operators.models import TREES
+
+    return spark.read.schema(TREES).json(path)
+
+
 def coefficients(pictures: DataFrame, size: int = 32, keep: int = 8) -> DataFrame:
     """path and the lowest keep x keep cosine coefficients of grey pictures (path, width, height, grey: binary).
 

@@ -249,11 +249,19 @@ def test_fraud_model_learns_a_rule_and_survives_saving(spark, tmp_path):
     model = M.fit_fraud(df, rounds=3)
     before = {r.claim_id: r.probability for r in M.fraud_scores(model, df).collect()}
     assert all((before[r.claim_id] > 0.5) == (r.fraud == 1) for r in df.collect())
-    name, weight, said = M.drivers(model)[0]
+    trees = M.tree_rows(model, spark)
+    name, weight, said = M.drivers(trees).first()
+    importance = {r.feature: r.importance for r in M.importances(trees).collect()}
+    assert all(abs(importance.get(f, 0.0) - w) < 1e-9 for f, w in zip(M.FRAUD_FEATURES, model.stages[-1].featureImportances.toArray(), strict=True))
     assert name == "final_image_forgery_score" and weight > 0.9 and said == M.DRIVERS["image"]
     io.save_model(model, f"file://{tmp_path}/model")
     again = {r.claim_id: r.probability for r in M.fraud_scores(io.load_model(f"file://{tmp_path}/model"), df).collect()}
     assert again == before
+    io.save_trees(trees, f"file://{tmp_path}/trees")
+    folded = {r.claim_id: r.probability for r in M.tree_scores(io.load_trees(spark, f"file://{tmp_path}/trees"), df).collect()}
+    assert folded.keys() == before.keys() and all(abs(folded[k] - before[k]) < 1e-12 for k in before)
+    assert M.tree_scores(trees, df.withColumn("final_image_forgery_score", F.lit(None).cast("double"))).where("probability IS NULL").count() == 0
+    assert M.tree_scores(trees.where("false"), df).first().probability == 0.5
 
 
 def test_text_and_embedding_heads_learn(spark):
