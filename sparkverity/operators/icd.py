@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,35 @@ FALLBACK = [("Z00.0", 0.42), ("R50.9", 0.35), ("R10.9", 0.28)]
 
 _PAIRS = "array<struct<code:string,prob:double>>"
 
+#: What a model of the caller's does with a batch of texts: for each the codes with their probabilities, in order.
+TextPredictor = Callable[[list[str]], list[list[tuple[str, float]] | dict[str, float]]]
+
+
+def predicted_by(docs: DataFrame, load: Callable[[], TextPredictor], key: str = "doc_id") -> DataFrame:
+    """key, rank (from 1), code and prob of texts (key, text) by a model of the caller's: load() is called once a
+    task and returns a function from a batch of texts to their predictions. A null text is the empty one; a
+    probability that is missing is 0; a text without predictions gives no row."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = load()
+        for batch in batches:
+            found = predict([t or "" for t in batch.column("text").to_pylist()])
+            rows = [(at, rank, code, float(p or 0.0)) for at, own in enumerate(found) for rank, (code, p) in enumerate(own.items() if isinstance(own, dict) else own, 1)]
+            at, rank, codes, probs = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(codes, pa.string()), pa.array(probs, pa.float64())], names=[key, "rank", "code", "prob"])
+
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, rank int, code string, prob double")
+
+
+def keyword_predictor() -> TextPredictor:
+    """The keyword predictor as such a model."""
+
+    def predict(texts: list[str]) -> list[list[tuple[str, float]]]:
+        return [[(code, p) for word, code, p in KEYWORDS if word in low] or FALLBACK for low in map(str.lower, texts)]
+
+    return predict
+
 
 def keyword_predictions(text: Column) -> Column:
     """Array of (code, prob) in table order; the fallback list if no keyword occurs."""

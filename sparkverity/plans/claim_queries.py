@@ -84,6 +84,12 @@ def v5(x: Inputs) -> DataFrame:
     return pairs.select("claim_id", (c("pos") + 1).alias("rank"), c("p.code").alias("code"), c("p.prob").alias("prob"))
 
 
+@query("x1_text_predictor", "claims", sql=flow("SELECT claim_id, rn::int AS rank, code, prob FROM p5"))
+def x1(x: Inputs) -> DataFrame:
+    """The keyword predictor behind the hook for models of the caller's."""
+    return icd.predicted_by(x.claims.select("claim_id", c("clinical_text").alias("text")), icd.keyword_predictor, "claim_id")
+
+
 @query("v6_icd_status", "claims", sql=flow("SELECT icd_status, num_icds, count(*) AS n, round(sum(match_score), 6) AS total FROM g GROUP BY ALL"))
 def v6(x: Inputs) -> DataFrame:
     return verified(x).groupBy(c("icd.status").alias("icd_status"), c("icd.num_icds").alias("num_icds")).agg(F.count("*").alias("n"), F.round(F.sum("icd.match_score"), 6).alias("total"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkverity.functions import text as T
@@ -152,12 +152,37 @@ def v26(x: Inputs) -> DataFrame:
     return M.head_scores(rows.select("vec_id", "embedding"), M.fit_head(rows, ["up", "down"])).withColumn("prob", F.round("prob", 4))
 
 
-@query("v32_hash_table_job")
-def v32(x: Inputs) -> DataFrame:
+def _matrix(n: int = 8, size: int = 32, keep: int = 8) -> str:
+    """The same matrix for pictures of n pixels a side, as a list for the SQL."""
+    at = [max(0.0, min(n - 1.0, (k + 0.5) * n / size - 0.5)) for k in range(size)]
+    cosine = lambda u, k: math.sqrt((1 if u == 0 else 2) / size) * math.cos(math.pi * (2 * k + 1) * u / (2 * size))
+    rows = [[sum(cosine(u, k) * max(0.0, 1 - abs(at[k] - i)) for k in range(size)) for i in range(n)] for u in range(keep)]
+    return "[" + ",".join("[" + ",".join(f"{x!r}::double" for x in row) + "]" for row in rows) + "]"
+
+
+def _pixels() -> Column:
     """Each vector stands for a grey picture of 8 x 8 pixels."""
     px = F.transform("embedding", lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 0.5) * 255))).cast("int")), 2, "0"))
-    grey = x.embeddings.select(c("vec_id").cast("string").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(px, "")).alias("grey"))
-    return io.hash_table(grey)
+    return F.unhex(F.array_join(px, ""))
+
+
+@query("v32_hash_table_job", sql=f"""WITH a AS (SELECT {_matrix()} AS a), p AS (SELECT vec_id, list_transform(embedding, lambda v: greatest(0, least(255, floor((v::double + 0.5::double) * 255)))::double) AS px FROM embeddings),
+t AS (SELECT vec_id, a, list_transform(a, lambda r: list_transform(range(0, 8), lambda x: list_sum(list_transform(range(0, 8), lambda y: r[y + 1] * px[y * 8 + x + 1])))) AS t FROM p, a),
+k AS (SELECT vec_id, flatten(list_transform(t, lambda r: list_transform(a, lambda b: list_sum(list_transform(range(1, 9), lambda x: r[x] * b[x]))))) AS k FROM t),
+m AS (SELECT vec_id, k, (list_sort(k)[32] + list_sort(k)[33]) / 2 AS m FROM k)
+SELECT vec_id::varchar AS filename, lower(printf('%016x', array_to_string(list_transform(k, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), '')::bit::bigint)) AS phash_hex FROM m""")
+def v32(x: Inputs) -> DataFrame:
+    return io.hash_table(x.embeddings.select(c("vec_id").cast("string").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), _pixels().alias("grey")))
+
+
+@query("s8_image_directory", sql="SELECT label || '/IMG' || vec_id || CASE WHEN vec_id % 2 = 0 THEN '.png' ELSE '.JPG' END AS path, 64::bigint AS bytes FROM embeddings")
+def s8(x: Inputs) -> DataFrame:
+    """A picture file for each vector, in folders by label, beside a text file for each; the pictures are found again."""
+    name = F.concat(c("label"), F.lit("/IMG"), c("vec_id"))
+    kinds = F.array(F.struct(F.when(c("vec_id") % 2 == 0, ".png").otherwise(".JPG").alias("end"), _pixels().alias("content")), F.struct(F.lit(".txt").alias("end"), F.lit("no picture").cast("binary").alias("content")))
+    files = x.embeddings.select(name.alias("name"), F.inline(kinds)).select(F.concat("name", "end").alias("path"), "content")
+    io.write_files(files, folder := new_dir(x.spark, "pictures"))
+    return io.image_listing(x.spark, folder).select("path", "bytes")
 
 
 @query("f29_code_items", "predictions", sql="SELECT doc_id, code, CASE WHEN ord % 4 = 3 THEN 0::double ELSE prob END AS prob FROM predictions")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLAIMS = (
@@ -15,6 +17,9 @@ CLAIMS = (
 FRAUD_TRAINING = (
     "icd_match_score double, cnn_forgery_score double, ela_score double, phash_score double, final_image_forgery_score double, claim_amount double, previous_claim_count double, fraud int"
 )
+#: Different lengths of picture sides, added up, whose matrices are broadcast (8 numbers each).
+SENT_SIDES = 200_000
+PICTURES = "*.{png,jpg,jpeg,PNG,JPG,JPEG}"
 NOTES = "note_id bigint, subject_id string, hadm_id bigint, note_type string, text string, labels array<string>"
 
 
@@ -85,11 +90,39 @@ def read_hashes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("filename", F.col(name).alias("phash_hex"))
 
 
+def _pictures(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PICTURES).load(folder)
+    base = folder.rstrip("/").removeprefix("file://")
+    return rows.withColumn("path", F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), rf"^.*?{base}/", ""))
+
+
+def image_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths (below the folder), sizes and times of its pictures, at any depth: a scan of the directory that opens no file.
+    Empty files are not listed."""
+    return _pictures(spark, folder).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths (below the folder) and sizes of its pictures, at any depth; contents are read only where asked for."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(folder)
-    base = folder.rstrip("/").removeprefix("file://")
-    return rows.select(F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), rf"^.*?{base}/", "").alias("path"), F.col("length").alias("bytes"), "content")
+    return _pictures(spark, folder).select("path", F.col("length").alias("bytes"), "content")
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write each row (path below the folder, content: binary) as a file of the store the folder is in; how many.
+    A task that runs again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                store.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -136,40 +169,39 @@ def load_trees(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TREES).json(path)
 
 
-def coefficients(pictures: DataFrame, size: int = 32, keep: int = 8) -> DataFrame:
-    """path and the lowest keep x keep cosine coefficients of grey pictures (path, width, height, grey: binary).
+def resize_cosines(n: Column, size: int = 32, keep: int = 8) -> Column:
+    """keep rows of n numbers: the lowest cosines over size places, seen through bilinear reduction from n pixels."""
 
-    Bilinear reduction to size x size, then C X C^T; unreadable pictures are left out.
-    """
-    import numpy as np
-    import pyarrow as pa
+    def weight(k: Column, i: Column) -> Column:
+        at = F.greatest(F.lit(0.0), F.least((n - 1).cast("double"), (k + 0.5) * n / size - 0.5))
+        return F.greatest(F.lit(0.0), 1 - F.abs(at - i))
 
-    k = np.arange(size)
-    cosine = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * size)) * np.sqrt(np.where(k == 0, 1.0, 2.0) / size)[:, None]
+    def number(u: Column, i: Column) -> Column:
+        scale = F.when(u == 0, math.sqrt(1 / size)).otherwise(math.sqrt(2 / size))
+        return scale * F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda s, k: s + F.cos(math.pi * (2 * k + 1) * u / (2 * size)) * weight(k, i))
 
-    def shrink(x):
-        rows, cols = ((np.arange(size) + 0.5) * n / size - 0.5 for n in x.shape)
+    return F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda u: F.transform(F.sequence(F.lit(0), n - 1), lambda i: number(u, i)))
 
-        def along(m, at):
-            low = np.clip(np.floor(at).astype(int), 0, len(m) - 1)
-            high = np.minimum(low + 1, len(m) - 1)
-            part = np.clip(at - low, 0, 1)[:, None]
-            return m[low] * (1 - part) + m[high] * part
 
-        return along(along(x, rows).T, cols).T
+def coefficients(pictures: DataFrame, size: int = 32, keep: int = 8) -> DataFrame:
+    """path and the lowest keep x keep cosine coefficients of grey pictures (path, width, height, grey: binary).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, out = [], []
-            for r in batch.to_pylist():
-                if r["grey"] is None or not r["width"] or len(r["grey"]) != r["width"] * r["height"]:
-                    continue
-                x = np.frombuffer(r["grey"], np.uint8).reshape(r["height"], r["width"]).astype(float)
-                paths.append(r["path"])
-                out.append((cosine @ shrink(x) @ cosine.T)[:keep, :keep].ravel().tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(out, pa.list_(pa.float64()))], names=["path", "coefficients"])
-
-    return pictures.select("path", "width", "height", "grey").mapInArrow(run, "path string, coefficients array<double>")
+    Bilinear reduction to size x size and the cosine transform are both linear, so the coefficients are
+    A P B' with one matrix for the height and one for the width: a table with a row per different length of
+    a side, joined to the pictures. Unreadable pictures (no pixels, or another number of them) are left out.
+    """
+    fit = pictures.where((F.col("width") > 0) & (F.col("height") > 0) & (F.length("grey") == F.col("width").cast("long") * F.col("height")))
+    sides = fit.select(F.explode(F.array("width", "height")).alias("n")).distinct()
+    sides = sides.select("n", resize_cosines(F.col("n"), size, keep).alias("m"))
+    found = sides.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # numbers a matrix row; few sizes are sent to all tasks
+    sides = F.broadcast(sides) if found <= SENT_SIDES else sides.hint("merge")
+    byte = lambda i: F.conv(F.hex(F.substring("grey", i, F.lit(1))), 16, 10).cast("double")
+    rows = fit.withColumn("_px", F.transform(F.sequence(F.lit(1), F.length("grey")), byte))
+    rows = rows.join(sides.select(F.col("n").alias("height"), F.col("m").alias("_a")), "height").join(sides.select(F.col("n").alias("width"), F.col("m").alias("_b")), "width")
+    dot = lambda n, term: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + term(i))
+    across = F.transform("_a", lambda a: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: dot(F.col("height"), lambda y: F.get(a, y) * F.get("_px", y * F.col("width") + x))))
+    rows = rows.select("path", "width", "_b", across.alias("_t"))
+    return rows.select("path", F.flatten(F.transform("_t", lambda t: F.transform("_b", lambda b: dot(F.col("width"), lambda x: F.get(t, x) * F.get(b, x))))).alias("coefficients"))
 
 
 def hash_table(pictures: DataFrame) -> DataFrame:

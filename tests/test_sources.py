@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkverity.sources import io
@@ -52,6 +53,87 @@ def test_hash_table_properties(spark):
     assert bin(int(got["noise"], 16) ^ int(got["bright"], 16)).count("1") <= 2
 
 
+@pytest.mark.parametrize("sides", [(8, 8), (1, 1), (40, 33), (32, 32), (3, 70)])
+def test_coefficients_equal_the_transform(spark, sides):
+    """The matrix product in SQL against reduction and cosine transform done one after the other."""
+    import numpy as np
+
+    w, h = sides
+    grey = random.Random(w * h).randbytes(w * h)
+
+    def along(m):
+        at = np.clip((np.arange(32) + 0.5) * len(m) / 32 - 0.5, 0, len(m) - 1)
+        low = np.floor(at).astype(int)
+        return m[low] * (1 - (at - low))[:, None] + m[np.minimum(low + 1, len(m) - 1)] * (at - low)[:, None]
+
+    k = np.arange(32)
+    cosine = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 64) * np.sqrt(np.where(k == 0, 1.0, 2.0) / 32)[:, None]
+    small = along(along(np.frombuffer(grey, np.uint8).reshape(h, w).astype(float)).T).T
+    want = (cosine @ small @ cosine.T)[:8, :8].ravel()
+    rows = [("p", w, h, grey), ("q", 8, 8, bytes(64)), ("bad", w, h + 1, grey), ("null", None, h, grey), ("zero", 0, 0, b"")]
+    frame = spark.createDataFrame(rows, "path string, width int, height int, grey binary")
+    got = {r.path: r.coefficients for r in io.coefficients(frame).collect()}
+    assert set(got) == {"p", "q"} and np.allclose(got["p"], want, atol=1e-9)
+    assert io.coefficients(frame.where("false")).count() == 0
+
+
+def test_directory_scan_opens_no_file(spark, tmp_path):
+    from sparkverity.session import new_dir
+
+    folder = new_dir(spark, "pictures")
+    files = [(f"a/{k}/p{k}.{end}", bytes(k + 1)) for k, end in enumerate(["png", "JPG", "txt", "jpeg"])] + [("none.png", None)]
+    frame = spark.createDataFrame(files, "path string, content binary")
+    assert io.write_files(frame, folder) == 5 == io.write_files(frame, folder)
+    listed = io.image_listing(spark, folder)
+    assert {r.path: r.bytes for r in listed.collect()} == {"a/0/p0.png": 1, "a/1/p1.JPG": 2, "a/3/p3.jpeg": 4}
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert all(r.modified is not None for r in listed.collect()) and io.write_files(frame.where("false"), folder) == 0
+
+
+def test_stream_reads_one_index(spark, monkeypatch):
+    """Several batches, one index: it is written once and every batch's nearest pictures are right."""
+    from sparkverity.operators import hashing as HJ
+    from sparkverity.session import new_dir
+    from sparkverity.streaming import verify as V
+
+    rng = random.Random(2)
+    known = [(k, rng.getrandbits(64)) for k in range(50)]
+    index = HJ.build_index(spark.createDataFrame([(k, f"{h:016x}") for k, h in known], "ref_id long, hex string"))
+    monkeypatch.setattr(HJ, "build_index", None)  # a batch that built one would fail
+    hashes = {k: known[k][1] ^ ((1 << (k % 13)) - 1) for k in range(30)}
+    claims = spark.createDataFrame([(k, f"{hashes[k]:016x}" if k < 30 else None) for k in range(36)], "claim_id long, img_hash string")
+    for column in io.CLAIMS.split(", ")[1:]:
+        name, kind = column.split()
+        if name != "claim_id":
+            claims = claims.withColumn(name, F.lit("2024-01-01" if kind == "timestamp" else 0.4 if kind == "double" else None).cast(kind))
+    source, out = new_dir(spark, "in"), []
+    claims.select(*io.columns(io.CLAIMS), "img_hash").repartition(4).write.parquet(source)
+    sink = lambda batch, k: out.append([(r.claim_id, r.phash_score) for r in batch.collect()])
+    V.start_with_hashes(V.read_claim_stream(spark, source, files=1, more=", img_hash string"), index, sink, new_dir(spark, "state"), late="10000 days").awaitTermination()
+    assert len([batch for batch in out if batch]) >= 3
+    score = lambda d: 1.0 if d <= 5 else 0.7 if d <= 10 else 0.0
+    want = {k: score(min(bin(h ^ x).count("1") for _, x in known)) for k, h in hashes.items()} | {k: None for k in range(30, 36)}
+    assert dict(r for batch in out for r in batch) == want
+
+
+def test_text_predictor_hook(spark):
+    from sparkverity.operators import icd
+
+    def load():
+        calls = []
+
+        def predict(texts):
+            calls.append(len(texts))
+            return [{"I10": 0.5, "E11": None} if "a" in t else [("J45", 0.25)] if t else [] for t in texts]
+
+        return predict
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, ""), (4, None), (None, "a"), (1, "a")], "doc_id long, text string")
+    got = sorted(map(tuple, icd.predicted_by(docs, load).collect()), key=str)
+    assert got == sorted([(d, *r) for d in (1, 1, None) for r in ((1, "I10", 0.5), (2, "E11", 0.0))] + [(2, 1, "J45", 0.25)], key=str)
+    assert icd.predicted_by(docs.limit(0), load).count() == 0
+
+
 def test_reports(spark, tmp_path):
     from sparkverity.operators import claims as C
 
