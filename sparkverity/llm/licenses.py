@@ -12,9 +12,17 @@ templates and blocks are read in it. A block that meets the threshold
 - and after the k-th shared word, at place i of the template and place j of the block, what follows
   both places must suffice: k + min(size - i - 1, block - j - 1) >= need (positional filter).
 
-What is left is verified by counting. The templates are a fixed list, so they go to every task. Every
-template that a block matches is reported, but one whose matched words are all among those of a better
-match (larger share, or as large a share of more words) in the same block.
+What is left is verified by counting: ``found`` holds every template that some block matches. The templates
+are a fixed list, so they go to every task.
+
+Which matches become labels is judged by words and places, over blocks of all widths. Templates that differ
+by few words would match each other's texts (the GPL's notice holds seven of the eight words of the LGPL's):
+where the text of one template alone would match another, a match of the other must hold all the words that
+tell them apart. And a match gives no label if another one accounts for it: one of a better template (larger
+share, or as large a share of more words) that has all its matched words, or one whose telling words (``lesser``
+in the GPL's own sentence) are there. It accounts for a match if, without the words between the first and the
+last of the other's, too few are left to match. So two licenses are both reported where they stand apart;
+two of one family within a few words of each other may be reported as the one with the telling word.
 
 Besides, three base phrases are searched as consecutive words of the whole text.
 
@@ -27,6 +35,7 @@ without words is an error; other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -94,6 +103,13 @@ class Index:
         self.width = {label: width(len(w)) for label, w in own.items()}
         self.ranks = {label: sorted({self.rank[x] for x in w}) for label, w in own.items()}
         self.need = {label: math.ceil(threshold * len(r) - 1e-9) for label, r in self.ranks.items()}
+        self.words = {label: frozenset(r) for label, r in self.ranks.items()}
+        #: For each template the words it has beyond each one whose own text would match it.
+        self.apart = {a: [self.words[a] - self.words[b] for b in self.words if b != a and self.need[a] <= len(self.words[a] & self.words[b]) < len(self.words[a])] for a in self.words}
+        #: For each template those whose match its own text would be, but for these words: if they are there, it is the other's text.
+        self.tells = {
+            a: {b: self.words[b] - self.words[a] for b in self.words if b != a and self.need[b] <= len(self.words[a] & self.words[b]) < min(len(self.words[b]), self.need[a])} for a in self.words
+        }
         self.by_rank: dict[int, list[str]] = {}
         for label, r in self.ranks.items():
             for word in r[: len(r) - self.need[label] + 1]:
@@ -126,6 +142,32 @@ class Index:
         self.passed["match"] += 1
         return k
 
+    def labelled(self, text: list[bytes], matches: dict[str, list[tuple]]) -> set[str]:
+        """The templates to report, of all matches (first word, word after the last, share, matched words) by template."""
+        rank, labels, starts = self.rank, set(), {label: [m[0] for m in own] for label, own in matches.items()}
+
+        def explained(label: str, match: tuple) -> bool:
+            first, after, share, mine = match
+            for other, theirs in matches.items():
+                within, told = mine <= self.words[other], self.tells[label].get(other)
+                if other == label or not within and told is None:
+                    continue
+                lo = bisect_left(starts[other], first - self.width[other])
+                for at, end, their_share, held in theirs[lo : bisect_left(starts[other], after)]:
+                    better = within and (their_share, len(self.ranks[other])) > (share, len(self.ranks[label]))
+                    if end <= first or not better and (told is None or not told <= held):
+                        continue
+                    stand = [k for k in range(at, end) if rank.get(text[k]) in self.words[other]]
+                    apart = {rank[text[k]] for k in range(first, after) if not stand[0] <= k <= stand[-1] and text[k] in rank}
+                    if len(apart & self.words[label]) < self.need[label]:
+                        return True
+            return False
+
+        for label, own in matches.items():
+            if any(all(told <= m[3] for told in self.apart[label]) and not explained(label, m) for m in own):
+                labels.add(label)
+        return labels
+
     def scan(self, text: list[bytes]) -> tuple[dict[str, float], set[str]]:
         """The largest containment of every template that some block matches, and the labels to report."""
         rank, asked = self.rank, {}
@@ -136,21 +178,15 @@ class Index:
                     for b in {at // step, max(0, at // step - 1)}:
                         if b == 0 or (b + 1) * step < len(text):
                             asked.setdefault((w, b), set()).add(label)
-        found: dict[str, float] = {}
-        labels: set[str] = set()
-        for (w, b), some in asked.items():
-            held = {rank[x] for x in text[b * w // 2 : b * w // 2 + w] if x in rank}
-            block, here = sorted(held), {}
+        matches: dict[str, list[tuple]] = {}
+        for (w, b), some in sorted(asked.items()):
+            first, after = b * w // 2, min(len(text), b * w // 2 + w)
+            held = {rank[x] for x in text[first:after] if x in rank}
+            block = sorted(held)
             for label in some:
                 if n := self.shared(label, block):
-                    here[label] = n / len(self.ranks[label])
-            for label, share in here.items():
-                found[label] = max(share, found.get(label, 0.0))
-                mine = held.intersection(self.ranks[label])
-                better = lambda x: (here[x], len(self.ranks[x])) > (share, len(self.ranks[label]))  # noqa: B023, E731
-                if not any(better(x) and mine <= set(self.ranks[x]) for x in here):
-                    labels.add(label)
-        return found, labels
+                    matches.setdefault(label, []).append((first, after, n / len(self.ranks[label]), held & self.words[label]))
+        return {label: max(m[2] for m in own) for label, own in matches.items()}, self.labelled(text, matches)
 
 
 def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:

@@ -227,27 +227,33 @@ def brute_license(text, templates=licenses.TEMPLATES):
         at = [i for i in range(len(own)) if own[i : i + len(p)] == p]
         labels |= {label} if at else set()
         places += at
-    base, best = set(labels), 0.0
-    size = {label: len(set(t.split())) for label, t in templates.items()}
-    by_width = {}
-    for label, t in templates.items():
-        w = 16
-        while w < 2 * len(t.split()):
+    base, best, found = set(labels), 0.0, []
+    bags = {label: set(t.split()) for label, t in templates.items()}
+    for label, bag in bags.items():  # every block of every template, whatever its width
+        w = 2
+        while w < 2 * len(templates[label].split()):
             w *= 2
-        while w // 2 >= 2 * len(t.split()):
-            w //= 2
-        by_width.setdefault(w, []).append(label)
-    for w, some in by_width.items():
         for start in range(0, max(1, len(own) - w // 2), w // 2):
-            block, found = set(own[start : start + w]), {}
-            for label in some:
-                mine = set(templates[label].split()) & block
-                if len(mine) / size[label] >= 0.8 - 1e-12:
-                    found[label] = (len(mine) / size[label], size[label], mine)
-            for label, (share, n, mine) in found.items():
-                best = max(best, share)
-                if not any(found[x][:2] > (share, n) and mine <= set(templates[x].split()) for x in found):
-                    labels.add(label)
+            mine = bag & set(own[start : start + w])
+            if len(mine) >= 0.8 * len(bag) - 1e-9:
+                best = max(best, len(mine) / len(bag))
+                found.append((label, start, min(len(own), start + w), mine))
+    weight = lambda label, mine: (len(mine) / len(bags[label]), len(bags[label]))
+    for label, first, after, mine in found:
+        rivals = [bag for other, bag in bags.items() if other != label and not bags[label] <= bag and len(bags[label] & bag) >= 0.8 * len(bags[label]) - 1e-9]
+        if any(not bags[label] - bag <= mine for bag in rivals):
+            continue
+        taken = False
+        for other, start, end, theirs in found:
+            common = len(bags[label] & bags[other])
+            is_family = 0.8 * len(bags[other]) - 1e-9 <= common < min(len(bags[other]), 0.8 * len(bags[label]) - 1e-9) and bags[other] - bags[label] <= theirs
+            if other != label and start < after and first < end and (is_family or weight(other, theirs) > weight(label, mine) and mine <= bags[other]):
+                places_of = [k for k in range(start, end) if own[k] in bags[other]]
+                rest = own[first : max(first, places_of[0])] + own[max(first, places_of[-1] + 1) : after]
+                rest = rest if places_of[0] < after else own[first:after]
+                taken = taken or len(set(rest) & bags[label]) < 0.8 * len(bags[label]) - 1e-9
+        if not taken:
+            labels.add(label)
     return len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else best
 
 
@@ -260,7 +266,7 @@ def wrapped(label, every):
 def test_license_brute_force(spark):
     extra = ["Licensed under CC BY-SA 4.0. all rights reserved ALL RIGHTS RESERVED", "mit released under license the", "word " * 100 + "Released under the MIT License " + "word " * 100, "cc by cc by cc"]
     extra += ["x " * (7 * k) + wrapped(label, 5 + k) + " y" * 40 for k, label in enumerate(licenses.TEMPLATES)]
-    extra += ["the license software of this " * 50, "Licensed under the Apache License, Version 2.0 or released under the MIT License"]
+    extra += ["the license software of this " * 50, "Licensed under the Apache License, Version 2.0 or released under the MIT License", *GNU.values()]
     docs = documents(spark, sample_texts(spark) + extra).union(awkward(spark))
     rows = licenses.scan(docs).collect()
     got = [tuple(r)[1:8] for r in rows]
@@ -268,6 +274,8 @@ def test_license_brute_force(spark):
     key = lambda t: tuple("" if x is None else str(x) for x in t)
     assert sorted(map(key, got)) == sorted(map(key, want))
     by_id = {r.doc_id: r for r in rows}
+    by_label = {label: by_id[205 + len(licenses.TEMPLATES) + 1 + k].labels for k, label in enumerate(GNU)}
+    assert not any("lgpl" in by_label[x] for x in ("gpl-3.0", "agpl-3.0", "gpl", "gpl-text")) and by_label["lgpl"] == "gpl,lgpl" and "agpl" not in by_label["gpl-3.0"]
     for k, label in enumerate(licenses.TEMPLATES):
         assert by_id[204 + k].found[label] == 1.0, label  # found whatever the line breaks
     assert by_id[205 + len(licenses.TEMPLATES)].labels == "apache-2.0,mit"
@@ -276,6 +284,30 @@ def test_license_brute_force(spark):
         licenses.scan(docs, {"none": " - "})
 
 
+GNU = {
+    "gpl-3.0": "This work is licensed under the GNU General Public License version 3.",
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License version 3.",
+    "lgpl": "This work is licensed under the GNU Lesser General Public License version 3.",
+    "gpl": "Licensed under the GNU General Public License.",
+    "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl-text": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+}
+
+
+@pytest.mark.parametrize("before", [0, 7, 30, 100, 333])
+def test_license_near_names(before):
+    """The licenses of one family are told apart, wherever they stand; two of them at a distance are both found."""
+    index = licenses.Index(licenses.TEMPLATES, {})
+    filler = ["x"] * before
+    report = lambda text: index.scan([w.encode() for w in text])[1]
+    own = {label: report(filler + words(text) + filler) for label, text in GNU.items()}
+    assert own == {"gpl-3.0": {"gpl-3.0"}, "agpl-3.0": {"agpl-3.0"}, "lgpl": {"lgpl"}, "gpl": set(), "gpl-text": {"gpl-text"}, "lgpl-text": {"lgpl-text"}}
+    both = report(words(GNU["gpl-3.0"]) + ["x"] * 300 + words(GNU["lgpl"]) + filler)
+    assert both == {"gpl-3.0", "lgpl"}
+    for label, text in licenses.TEMPLATES.items():
+        assert label in report(filler + text.split() + filler), label
+
+
 def test_license_filters_cut():
     rng = random.Random(5)
     vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
