@@ -35,6 +35,7 @@ all are toxic); other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,9 +45,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkverity.llm.common import as_bytes, bounded_batches, remainder, remove, stored, words
+from sparkverity.llm.common import as_bytes, bounded_batches, remainder, remove, stored
+from sparkverity.llm.common import words as runs
 
 ORDER = 32
+#: Code points of the words made of unspaced runs.
+GRAM = 4
 LONGEST = 16
 CALIBRATION_ROWS = 4_000
 DISCOUNT = 2.0
@@ -60,6 +64,34 @@ BROADCAST_NODES = 1_000_000
 CACHE = 200_000
 
 
+_WIDE = re.compile(rb"[\xe0-\xff]")
+
+
+def words(text: bytes | None) -> list[bytes]:
+    """The words of a text, so that no byte goes unread: a run with characters of three bytes or more (scripts
+    that may write no spaces) gives a word of ``GRAM`` characters from each of its characters on, another run
+    of over ``ORDER`` bytes one of ORDER bytes from every half of that on, cut between characters."""
+    own = runs(text)
+    wide = bool(text) and _WIDE.search(text)
+    if not wide and (not own or max(map(len, own)) <= ORDER):
+        return own
+    out = []
+    for w in own:
+        if wide and _WIDE.search(w):
+            letters = w.decode()
+            out += [letters[k : k + GRAM].encode() for k in range(max(1, len(letters) - GRAM + 1))]
+            out += [letters[k:].encode() for k in range(max(1, len(letters) - GRAM + 1), len(letters))]
+        elif len(w) > ORDER:
+            for k in range(0, len(w) - ORDER // 2, ORDER // 2):
+                piece = w[k : k + ORDER + 3]
+                first = next(i for i, b in enumerate(piece) if b & 0xC0 != 0x80)
+                last = next(i for i in range(min(ORDER, len(piece)), 0, -1) if i == len(piece) or piece[i] & 0xC0 != 0x80)
+                out.append(piece[first:last])
+        else:
+            out.append(w)
+    return out
+
+
 def histories(word: bytes) -> list[bytes]:
     """All beginnings of a word, the empty one first, the word with its end last."""
     marked = word[:ORDER] + b" " if len(word) < ORDER else word[:ORDER]

@@ -68,8 +68,25 @@ def toxic_corpus(n=900):
     return [t + " " + " ".join(worse() + " " + t.split()[j] for j in range(5)) if b else t for t, b in zip(plain, bad, strict=True)], bad
 
 
+def pieces(text):
+    """Words; unspaced runs by four characters from each on, long ones by 32 bytes from every 16 on."""
+    out = []
+    for w in words(text):
+        if any(ord(x) > 0x7FF for x in w):
+            out += [w[k : k + 4] for k in range(len(w))]
+        elif len(w.encode()) > 32:
+            ends = [len(w[:k].encode()) for k in range(len(w) + 1)]
+            for lo in range(0, len(w.encode()) - 16, 16):
+                first, last = min(k for k, e in enumerate(ends) if e >= lo), max(k for k, e in enumerate(ends) if e <= lo + 32)
+                out.append(w[first:last])
+        else:
+            out.append(w)
+    return out
+
+
 def brute_excess(train, texts):
-    """Kneser-Ney by the formula of the docstring, with plain dictionaries."""
+    """Kneser-Ney by the formula of the docstring, with plain dictionaries, letter by letter (one byte each here)."""
+    words = pieces
     before, holding = [{}, {}], [Counter(), Counter()]
     for t, y in train:
         w, piece = words(t), []
@@ -81,7 +98,7 @@ def brute_excess(train, texts):
                     before[y].setdefault(y_word, set()).add(tuple(piece))
                 piece = []
         holding[y].update(set(w))
-    marks = lambda w: (w + " ")[: toxicity.ORDER]
+    marks = lambda w: (w + " ")[:32]
     n = [Counter(), Counter()]
     for c in (0, 1):
         for w, vs in before[c].items():
@@ -129,6 +146,31 @@ def test_toxicity_brute_force(spark, nodes):
     assert max(want[:300]) > 1 and len(set(np.round(want, 6))) > 30
 
 
+def test_toxicity_reads_all_of_a_run():
+    """No byte of a text is left out, whatever its script."""
+    for text in ("x" * 500, "é" * 100, "aé" * 77, "日本語" * 50, "😀" * 9, "ab " + "d" * 33 + " 語", "abc" * 11, "ж" * 17, "語 ab", ""):
+        own = [w.decode() for w in toxicity.words(text.encode())]
+        assert own == pieces(text) and all(len(w.encode()) <= 32 for w in own)
+        assert set("".join(own)) == set(text.replace(" ", ""))
+
+
+@pytest.mark.parametrize("at", [0, 7, 14, 20, 30])
+@pytest.mark.parametrize("alphabet", [range(0x4E00, 0x4F00), [*range(ord("a"), ord("z")), *range(ord("0"), ord("9"))]])
+def test_toxicity_in_unspaced_text(spark, at, alphabet):
+    """A marker is found wherever it stands in a text without spaces: at any character of a script that writes
+    none, in any of the overlapping pieces of another."""
+    rng = random.Random(7)
+    marker, wide = ("\u4f50\u4f51", True) if alphabet[0] > 255 else ("zz", False)
+    step = at if wide else at // 7 * 16  # pieces of other scripts begin every 16 bytes
+    texts, bad = [], [k % 4 == 0 for k in range(1500 if wide else 600)]
+    for b in bad:
+        run = "".join(chr(rng.choice(alphabet)) for _ in range(32 if wide else 96))
+        texts.append(run[:step] + marker + run[step + 2 :] if b else run)
+    labels = spark.createDataFrame([(k, int(b)) for k, b in enumerate(bad)], "doc_id long, toxic int")
+    held = [r for r in toxicity.score(documents(spark, texts), labels).collect() if r.held_out]
+    assert all((r.predicted == 1) == bad[r.doc_id] for r in held) and len(held) > 150
+
+
 def test_toxicity_learns_stems_and_ignores_copies(spark):
     texts, bad = toxic_corpus()
     texts += ["ordinary topic sentence of copies " + texts[0]] * 60 + ["qq1 zork77777 rr2 zork88888 ss3", "of copies topic sentence"]
