@@ -43,6 +43,8 @@ MAX_PIVOTS = 256
 #: Shards are a 512th of the rows, within these limits.
 SHARDS, LEAST_SHARD_ROWS, SHARD_ROWS = 512, 2_048, 65_536
 BLOCK_QUERIES = 8_192
+#: Queries whose bounds are worked out at once.
+ASK_ROWS = 512
 LEAF = 64
 CHILDREN = 32
 BASE = 1.5
@@ -190,25 +192,31 @@ def top_k(
     block_parts = max(1, -(-n_queries // (block_queries * corners)))
 
     def asks(pdf: pd.DataFrame):
-        """A batch of queries: matrix, ids, bounds, block, and for each pivot whether it has to be seen."""
+        """Some queries: matrix, ids, bounds, block, and for each pivot whether it has to be seen."""
         seen, seen_ids, centres = sent.value
         x, own = _matrix(pdf["v"], width), pdf["vec_id"].to_numpy()
         scores = np.where(own[:, None] == seen_ids[None, :], -np.inf, x @ seen.T)
-        bound = np.sort(scores, axis=1)[:, -k] if len(seen) > k else np.full(len(x), -np.inf)
+        bound = np.partition(scores, -k, axis=1)[:, -k] if len(seen) > k else np.full(len(x), -np.inf)
         upper = x @ centres.T + np.linalg.norm(x, axis=1)[:, None] * np.maximum(far, 0.0)[None, :]
         slack = np.where(np.isfinite(bound), 1e-9 * np.abs(bound) + 1e-3, 0.0)
         block = nearest(x, centres[:corners]) * block_parts + own % (every * block_parts) // every
         return own, bound, block, (upper + slack[:, None] >= bound[:, None]) & np.isfinite(far)[None, :]
 
-    def pairs(batches):
+    def some(batches):
+        """A few queries at a time: their scores against the whole sample are one matrix of 16 MB."""
         for pdf in batches:
+            for lo in range(0, len(pdf), ASK_ROWS):
+                yield pdf.iloc[lo : lo + ASK_ROWS]
+
+    def pairs(batches):
+        for pdf in some(batches):
             _, _, block, wanted = asks(pdf)
             asked = {(int(b), p) for b in set(block) for p in np.nonzero(wanted[block == b].any(0))[0]}
             out = [(shard, b) for b, p in asked for shard in range(first[p], first[p + 1])]
             yield pd.DataFrame(out, columns=["shard", "block"]).astype("int32")
 
     def send(batches):
-        for pdf in batches:
+        for pdf in some(batches):
             own, bound, block, wanted = asks(pdf)
             row, pivot = np.nonzero(wanted)
             n = parts[pivot]
