@@ -64,12 +64,13 @@ BROADCAST_NODES = 1_000_000
 CACHE = 200_000
 
 
-_WIDE = re.compile(rb"[\xe0-\xff]")
+#: UTF-8 of U+0800-1FFF, U+3000-DFFF and U+20000-3FFFF: scripts that may write no spaces (not punctuation, signs or emoji).
+_WIDE = re.compile(rb"[\xe0\xe1\xe3-\xed]|\xf0[\xa0-\xbf]")
 
 
 def words(text: bytes | None) -> list[bytes]:
-    """The words of a text, so that no byte goes unread: a run with characters of three bytes or more (scripts
-    that may write no spaces) gives a word of ``GRAM`` characters from each of its characters on, another run
+    """The words of a text, so that no byte goes unread: a run with characters of scripts that may write
+    no spaces gives a word of ``GRAM`` characters from each of its characters on, another run
     of over ``ORDER`` bytes one of ORDER bytes from every half of that on, cut between characters."""
     own = runs(text)
     wide = bool(text) and _WIDE.search(text)

@@ -72,7 +72,7 @@ def pieces(text):
     """Words; unspaced runs by four characters from each on, long ones by 32 bytes from every 16 on."""
     out = []
     for w in words(text):
-        if any(ord(x) > 0x7FF for x in w):
+        if any(0x800 <= ord(x) < 0x2000 or 0x3000 <= ord(x) < 0xE000 or 0x20000 <= ord(x) < 0x40000 for x in w):
             out += [w[k : k + 4] for k in range(len(w))]
         elif len(w.encode()) > 32:
             ends = [len(w[:k].encode()) for k in range(len(w) + 1)]
@@ -148,7 +148,7 @@ def test_toxicity_brute_force(spark, nodes):
 
 def test_toxicity_reads_all_of_a_run():
     """No byte of a text is left out, whatever its script."""
-    for text in ("x" * 500, "é" * 100, "aé" * 77, "日本語" * 50, "😀" * 9, "ab " + "d" * 33 + " 語", "abc" * 11, "ж" * 17, "語 ab", ""):
+    for text in ("x" * 500, "é" * 100, "aé" * 77, "日本語" * 50, "😀" * 9, "ab " + "d" * 33 + " 語", "abc" * 11, "ж" * 17, "語 ab", "\u201cword\u201d and \u2014", "\u201c" * 20, "ab\U0001f600", ""):
         own = [w.decode() for w in toxicity.words(text.encode())]
         assert own == pieces(text) and all(len(w.encode()) <= 32 for w in own)
         assert set("".join(own)) == set(text.replace(" ", ""))
