@@ -9,7 +9,7 @@ from sparkverity.sources.views import QUERIES, SQL
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-CHECKED = ["v20_verdict_counts", "v3_evaluation_rows", "j11_banded_pairs", "v28_labelled_note_job", "v33_evaluation_job", "v31_image_dataset_job", "f29_code_items", "st1_verify_stream"]
+CHECKED = ["v20_verdict_counts", "v3_evaluation_rows", "j11_banded_pairs", "v28_labelled_note_job", "v33_evaluation_job", "v31_image_dataset_job", "f29_code_items", "st1_verify_stream", "v32_hash_table_job", "x1_text_predictor", "s8_image_directory"]
 
 
 def test_entry(spark):
