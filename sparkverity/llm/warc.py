@@ -1,13 +1,18 @@
 """WARC archives written and read as a table of record chunks.
 
 Writing: payload digests come from SQL; the page with the smallest page_id of a group of equal
-payloads of at least 100 bytes is the response, the others are revisits without a body. Only digests
-that repeat are joined with the pages: up to ``broadcast_digests`` of them go to all tasks; of more,
-those of at least ``hot_copies`` pages do (no more than pages divided by that), and the rest meet their
-pages by shuffle, so no task gets all pages of one payload. Each payload is cut into chunks inside
-Spark's rows (record, chunk number, bytes), so a Python worker holds one chunk at a time. A task streams its rows into one archive of gzip members (one member
-a record), under a name of its own, and returns a manifest row; only rows of finished tasks name
-archives, so attempts that died leave nothing that counts.
+payloads of at least 100 bytes is the response, the others are revisits without a body. Each payload is
+cut into chunks, a row each (record, chunk number, bytes), cut as the row is made, so neither Spark nor a
+Python worker holds more than the payload itself and a chunk. A task streams its rows into one archive of
+gzip members (one member a record), under a name of its own, and returns a row per member; only rows of
+finished tasks name archives, so attempts that died leave nothing that counts.
+
+Payloads are never shuffled. Up to ``broadcast_digests`` repeated digests go to all tasks, which then
+write revisits at once. Of more, every page is written as a response first; which members have to become
+revisits is found by joining the rows of the members (ids, digest, place in the archive; no payload) with
+the repeated digests, those of at least ``hot_copies`` pages by broadcast (no more than pages divided by
+that) and the rest by merge. Then each archive is copied member by member, in pieces, with revisit
+members in the place of those responses, and the first archives are deleted.
 
 Reading: a task streams one archive through a bounded decompressor and yields rows
 (page_id, chunk_no, chunk, offset, sha256 of the payload so far, last); the last chunk of a record
@@ -34,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkverity.llm.common import bounded_batches, checkpointed, new_dir
+from sparkverity.llm.common import bounded_batches, checkpointed, new_dir, remove
 
 LEAST_BYTES = 100
 CHUNK_BYTES = 1 << 16
@@ -45,36 +50,36 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 16
 
 
-def records(pages: DataFrame, *, broadcast_digests: int = BROADCAST_DIGESTS, hot_copies: int = HOT_COPIES) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of each page."""
+_DIGEST = ["payload_bytes", "payload_digest"]
+
+
+def _digested(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    light = pages.select("page_id", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    repeated = (
-        light.where(F.col("payload_bytes") >= LEAST_BYTES)
+    return pages.select(
+        "page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest")
+    )
+
+
+def repeated_digests(pages: DataFrame) -> DataFrame:
+    """payload_digest, first_id and copies of payloads that more than one page has."""
+    return (
+        _digested(pages)
+        .where(F.col("payload_bytes") >= LEAST_BYTES)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .where("copies > 1")
     )
-    repeated = checkpointed(repeated)
-    full = pages.select(
-        "page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest")
-    )
-    if repeated.count() <= broadcast_digests:
-        joined = full.join(F.broadcast(repeated.drop("copies")), "payload_digest", "left")
-    else:
-        hot = repeated.where(F.col("copies") >= hot_copies).select("payload_digest", F.col("first_id").alias("hot_id"))
-        rest = repeated.where(F.col("copies") < hot_copies).select(F.col("payload_digest").alias("_key"), "first_id")
-        dealt = full.join(F.broadcast(hot), "payload_digest", "left")
-        alone = F.col("hot_id").isNotNull() | (F.col("payload_bytes") < LEAST_BYTES)
-        dealt = dealt.withColumn("_key", F.when(alone, F.hex(F.xxhash64("page_id", "url"))).otherwise(F.col("payload_digest")))
-        joined = dealt.join(rest.hint("merge"), "_key", "left").withColumn("first_id", F.coalesce("hot_id", "first_id"))
+
+
+def records(pages: DataFrame, repeated: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of each page; repeated goes to all tasks."""
+    joined = _digested(pages).join(F.broadcast(repeated.drop("copies")), "payload_digest", "left")
     again = F.col("first_id") < F.col("page_id")
     return joined.select(
         "page_id",
         "url",
         F.when(F.coalesce(again, F.lit(False)), F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
-        "payload_bytes",
-        "payload_digest",
+        *_DIGEST,
         F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         F.when(again, F.col("first_id")).alias("refers_to"),
     )
@@ -83,11 +88,12 @@ def records(pages: DataFrame, *, broadcast_digests: int = BROADCAST_DIGESTS, hot
 def chunk_rows(recs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A row per chunk, at least one per record; the chunks of a record follow one another."""
     n = F.greatest(F.lit(1), F.ceil(F.length("payload") / F.lit(chunk_bytes)).cast("int"))
-    cuts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("payload"), k * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return recs.select(
-        F.col("page_id").cast("string").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("string").alias("refers_to"),
-        F.length("payload").alias("body_bytes"), n.alias("chunks"), F.posexplode(cuts).alias("chunk_no", "chunk"),
-    ).withColumn("last", F.col("chunk_no") == F.col("chunks") - 1)
+    numbered = recs.select(
+        F.col("page_id").cast("string").alias("page_id"), "url", *_DIGEST, "record_type", F.col("refers_to").cast("string").alias("refers_to"),
+        F.length("payload").alias("body_bytes"), n.alias("chunks"), "payload", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"),
+    )
+    cut = F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
+    return numbered.select("*", cut.alias("chunk"), (F.col("chunk_no") == F.col("chunks") - 1).alias("last")).drop("payload")
 
 
 def escaped(value: str) -> str:
@@ -115,31 +121,108 @@ def _header(page_id, url, payload_bytes, digest, kind, refers_to, body_bytes) ->
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, to: str | None = None, *, chunk_bytes: int = CHUNK_BYTES, **parameters) -> DataFrame:
-    """Write archives to a folder all executors share; a manifest of (path, records)."""
-    spark = pages.sparkSession
-    bounded_batches(spark)
-    to = to or new_dir(spark, "warc")
+_MEMBER = "path string, start long, length long, page_id string, url string, payload_bytes long, payload_digest string"
+_MEMBER_NAMES = [x.split()[0] for x in _MEMBER.split(", ")]
+_MEMBER_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
+
+def _member_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_MEMBER_KINDS)], names=_MEMBER_NAMES)
+
+
+def _archived(chunks: DataFrame, to: str) -> DataFrame:
+    """Write the chunks, an archive per task; a row per member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(to)
         store.create_dir(folder, recursive=True)
-        path, n, out, pack = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, None, None
+        path, out, pack, start, at = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, None, 0, 0
         for batch in batches:
+            done = []
             for r in batch.to_pylist():
                 out = out or store.open_output_stream(path, compression=None)
                 if r["chunk_no"] == 0:
-                    pack = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    out.write(pack.compress(_header(*(r[k] for k in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "body_bytes")))))
-                    n += 1
-                out.write(pack.compress(r["chunk"]))
+                    pack, start = zlib.compressobj(3, zlib.DEFLATED, 31), at
+                    at += out.write(pack.compress(_header(*(r[k] for k in ("page_id", "url", *_DIGEST, "record_type", "refers_to", "body_bytes")))))
+                at += out.write(pack.compress(r["chunk"]))
                 if r["last"]:
-                    out.write(pack.compress(b"\r\n\r\n") + pack.flush())
+                    at += out.write(pack.compress(b"\r\n\r\n") + pack.flush())
+                    done.append((path, start, at - start, r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"]))
+            if done:
+                yield _member_batch(done)
         if out:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return checkpointed(chunk_rows(records(pages, **parameters), chunk_bytes).mapInArrow(run, "path string, records long"))
+    return checkpointed(chunks.mapInArrow(run, _MEMBER))
+
+
+def _marked(members: DataFrame, repeated: DataFrame, hot_copies: int, kind) -> DataFrame:
+    """members with refers_to, null for responses. Members are rows without payload, so copies of one digest are light."""
+    repeated = repeated.withColumnRenamed("payload_digest", "_digest")
+    hot = repeated.where(F.col("copies") >= hot_copies).select(F.col("_digest").alias("_hot"), F.col("first_id").alias("hot_id"))
+    rest = repeated.where(F.col("copies") < hot_copies).select("_digest", "first_id")
+    dealt = members.join(F.broadcast(hot), F.col("payload_digest") == F.col("_hot"), "left").drop("_hot")
+    alone = F.col("hot_id").isNotNull() | (F.col("payload_bytes") < LEAST_BYTES)
+    dealt = dealt.withColumn("_digest", F.when(alone, F.hex(F.xxhash64("path", "start"))).otherwise(F.col("payload_digest")))
+    first = F.coalesce("hot_id", "first_id")
+    refers_to = F.when(first < F.col("page_id").cast(kind), first.cast("string"))
+    return dealt.join(rest.hint("merge"), "_digest", "left").select(*_MEMBER_NAMES, refers_to.alias("refers_to"))
+
+
+def _copied(marked: DataFrame, to: str) -> DataFrame:
+    """Copy members in pieces, those with refers_to as revisits; a row per member of the new archives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(to)
+        store.create_dir(folder, recursive=True)
+        path, out, at, source, of = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0, None, None
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                out, start = out or store.open_output_stream(path, compression=None), at
+                if r["refers_to"] is None:
+                    if of != r["path"]:
+                        if source:
+                            source.close()
+                        source, of = store.open_input_file(r["path"]), r["path"]
+                    source.seek(r["start"])
+                    left = r["length"]
+                    while left:
+                        piece = source.read(min(left, _READ))
+                        if not piece:
+                            raise ValueError("an archive ends inside a member")
+                        at += out.write(piece)
+                        left -= len(piece)
+                else:
+                    head = _header(r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], "revisit", r["refers_to"], 0)
+                    pack = zlib.compressobj(3, zlib.DEFLATED, 31)
+                    at += out.write(pack.compress(head + b"\r\n\r\n") + pack.flush())
+                done.append((path, start, at - start, r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"]))
+            if done:
+                yield _member_batch(done)
+        if source:
+            source.close()
+        if out:
+            out.close()
+
+    return checkpointed(marked.repartition("path").sortWithinPartitions("path", "start").mapInArrow(run, _MEMBER))
+
+
+def write(pages: DataFrame, to: str | None = None, *, chunk_bytes: int = CHUNK_BYTES, broadcast_digests: int = BROADCAST_DIGESTS, hot_copies: int = HOT_COPIES) -> DataFrame:
+    """Write archives to a folder all executors share; a manifest of (path, records)."""
+    spark = pages.sparkSession
+    bounded_batches(spark)
+    to = to or new_dir(spark, "warc")
+    repeated = checkpointed(repeated_digests(pages))
+    if repeated.count() <= broadcast_digests:
+        members = _archived(chunk_rows(records(pages, repeated), chunk_bytes), to)
+    else:
+        first = new_dir(spark, "warc-first")
+        every = _digested(pages).withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("string")})
+        members = _archived(chunk_rows(every, chunk_bytes), first)
+        members = _copied(_marked(members, repeated, hot_copies, pages.schema["page_id"].dataType), to)
+        remove(spark, first)
+    return members.groupBy("path").agg(F.count("*").alias("records"))
 
 
 def _plain(source) -> Iterator[bytes]:

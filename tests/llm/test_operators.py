@@ -722,6 +722,32 @@ def test_warc_round_trip(spark, parameters):
     assert warc.round_trip(pages.limit(0), **parameters).count() == 0
 
 
+def exchanges(df):
+    """The part of the plan under each exchange, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [x for k, line in enumerate(lines) if "Exchange" in line for x in lines[k + 1 : k + 4]]
+
+
+def test_warc_copies_by_light_rows(spark, monkeypatch):
+    """Many copies of many payloads, all digests by shuffle: no exchange has payloads below it, and no first archive stays."""
+    pages = spark.range(0, 3000, numPartitions=7).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat(concat('<p>', if(id % 3 = 0, 0, id % 500)), 200) AS html")
+    seen = []
+    for name in ("_archived", "_copied"):
+        def spy(df, to, real=getattr(warc, name)):
+            seen.append((exchanges(df), to))
+            return real(df, to)
+
+        monkeypatch.setattr(warc, name, spy)
+    rows = warc.round_trip(pages, chunk_bytes=100, broadcast_digests=0, hot_copies=900).collect()
+    (none, first), (light, to) = seen
+    assert none == [] and light and not any("payload#" in x or "html#" in x or "chunk#" in x for x in light)
+    store, folder = fs.FileSystem.from_uri(first)
+    assert store.get_file_info(folder).type == fs.FileType.NotFound and first != to
+    same = {r.page_id: r for r in warc.round_trip(pages, chunk_bytes=100).collect()}
+    assert len(rows) == 3000 and {r.page_id: r for r in rows} == same
+    assert sum(r.record_type == "response" for r in rows) == 1 + 499
+
+
 def test_warc_ids_and_urls_of_any_text(spark):
     ids = ["a\r\nContent-Length: 3", "b%0D\n", "c: d", " e ", "é%25"]
     pages = spark.createDataFrame([(i, i + "/u", "z" * 150) for i in ids], "page_id string, url string, html string")
