@@ -1,16 +1,19 @@
 """Personal data by weak supervision, in SQL functions only.
 
 Four base kinds are found by pattern and check (parts of an address, Luhn, number of digits) and
-always stay. Further spans come from a pattern for candidates: access tokens, national ids, local
-phone numbers, bank accounts and titled names. Three labelers vote on each candidate (yes, no or
+always stay. Further spans come from a pattern for candidates: access tokens, national ids, phone
+numbers as written within several countries, bank accounts with or without blanks, and names (titled, or
+two capitalised words). Three labelers vote on each candidate (yes, no or
 nothing): a strict regex, a gazetteer of prefixes, countries and names, and the words before it.
 Expectation-maximisation over the counts of vote patterns estimates, for each kind of span, how
 reliable each labeler is and how likely each pattern is personal data (a kind with few candidates leans
-on the reliabilities pooled over kinds); a logistic span classifier over votes and kinds is trained on
+on the mean reliabilities of all kinds); a logistic span classifier over votes and kinds is trained on
 these likelihoods. Candidates it gives at least one half, and that overlap no base span, are added.
 
 The pattern counts come from every document; there are at most 27 per kind, so they and the
-classifier have a fixed size. Texts never leave the row they are in: no shuffle but that of counts.
+classifier have a fixed size. Each text is read once: base spans and voted candidates, positions only,
+are written to the shared folder, and both the counts and the result come from that table, which the lazy
+result rests on. Texts never leave the row they are in: no shuffle but that of counts.
 Matches of a long text are put together in runs of ``RUN`` pieces, and base spans near a candidate are
 found by halving, so time grows with the text and not with its square.
 
@@ -27,6 +30,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkverity.llm.common import stored
+
 MARK, INSTEAD = "\ue000", "\ue001"
 #: A lookbehind (or the end of the last match) replaces retries from inside a run, and repeated groups
 #: don't give back what they took: same matches, in linear time and without deep recursion.
@@ -38,19 +43,23 @@ BASE = {
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = ["email", "ip", "card", "phone", "account", "local_phone", "national_id", "person", "token"]
+TITLE = r"(?:Mrs?|Ms|Dr|Prof)"
+#: Numbers with a leading 0 in groups of two, of three or four, or as code and number; nine digits of Spain. _ is one separator for all.
+_NATIONAL = [r"\(?0[1-9][0-9]{1,2}\)?_[0-9]{3,4}_[0-9]{3,4}", r"0[1-9](?:_[0-9]{2}){4}", r"[679][0-9]{2}(?:_[0-9]{3}_[0-9]{3}|(?:_[0-9]{2}){3})"]
+NATIONAL = "|".join([x.replace("_", by) for x in _NATIONAL for by in (" ", r"\.", "-")] + [r"\(?0[1-9][0-9]{1,3}\)?[ /-][0-9]{6,8}"])
 CANDIDATE = {
     "token": r"[A-Za-z0-9_-]{20,}",
-    "account": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "account": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} [A-Z0-9]{4}(?: (?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){2,6}(?: [0-9]{1,3})?(?![A-Za-z0-9])",
     "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "local_phone": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}",
-    "person": r"(?:Mrs?|Ms|Dr)\.? \p{Lu}\p{L}+",
+    "local_phone": rf"\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[.-][0-9]{{4}}|(?<![0-9+.-])(?:{NATIONAL})(?![0-9])",
+    "person": rf"{TITLE}\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{Ll}}+(?!\p{{L}}))?|(?<!\p{{L}})\p{{Lu}}\p{{Ll}}+ \p{{Lu}}\p{{Ll}}+(?!\p{{L}})",
 }
 STRICT = {
     "token": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})$",
-    "account": r"^[A-Z]{2}[0-9]{2}(?:[A-Z]{4}[0-9]{7,}|[0-9]{11,})[A-Z0-9]*$",
+    "account": r"^[A-Z]{2}[0-9]{2} ?(?:[A-Z]{4} ?(?:[0-9] ?){7,}|(?:[0-9] ?){11,})[A-Z0-9 ]*$",
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-    "local_phone": r"^(?:\([2-9][0-9]{2}\) |[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[.-][0-9]{4}$",
-    "person": r"^(?:Mrs?|Ms|Dr)\. \p{Lu}\p{Ll}+$",
+    "local_phone": rf"^(?:\([2-9][0-9]{{2}}\) |[2-9][0-9]{{2}}[ .-])[2-9][0-9]{{2}}[.-][0-9]{{4}}$|^(?=(?:[^0-9]*[0-9]){{9,11}}[^0-9]*$)(?:{NATIONAL})$",
+    "person": rf"^{TITLE}\. \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?$",
 }
 LOOSE_NO = {"token": r"^[A-Za-z_-]+$|^[0-9_-]+$"}
 #: Common surnames of several countries.
@@ -62,6 +71,15 @@ NAMES = (
     "Schmidt Schneider Schulz Scott Silva Simon Smith Stewart Suarez Taylor Thomas Thompson Torres Turner Vargas Vincent Wagner Walker Ward Watson Weber White "
     "Williams Wilson Wolf Wood Wright Young Zimmermann"
 ).split()
+#: Common given names of several countries.
+GIVEN = (
+    "Alexander Alice Andrea Andrew Angela Anna Anne Anthony Antonio Barbara Benjamin Carlos Carmen Caroline Charles Charlotte Christian Christine Claire Claudia Daniel David "
+    "Diana Edward Elena Elizabeth Emily Emma Eric Francisco Frank George Hans Helen Henry Isabel Jack Jacques James Jane Javier Jean Jennifer Jessica Joan John Jorge Joseph "
+    "Juan Julia Karen Karl Katharina Kevin Klaus Laura Linda Lisa Louis Lucia Luis Manuel Margaret Maria Marie Mark Martha Mary Matthew Michael Michel Miguel Nancy Nicolas "
+    "Olivia Patricia Paul Pedro Peter Philippe Pierre Richard Robert Rosa Sandra Sarah Sofia Sophie Stefan Stephen Susan Thomas Ursula William"
+).split()
+#: First digits of numbers as written within several countries.
+CODES = r"0(?:2[03489]|1[1-9]1|11[3-8]|7[0-9]{2}|30|40|69|89|211|221|711|1[5-7][0-9])[ )./-]|0[1-79][ .-][0-9]{2}[ .-]|[679][0-9]{2}[ .-]"
 GAZETTEER = {
     "token": r"^(?:AKIA|gh[pousr]_|sk-|xox[abp]-|eyJ)",
     "account": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
@@ -69,16 +87,16 @@ GAZETTEER = {
     "local_phone": r"^\(?(?:20[1-9]|21[02-9]|22[0-9]|23[149]|24[08]|25[1-6]|26[0279]|27[0246]|28[13]|30[1-9]|31[0-9]|32[0135]|33[0146]|34[0167]|35[12]|36[014]|38[056]|40[1-9]|41[02-9]"
     r"|42[345]|43[0245]|44[0237]|45[68]|46[3479]|47[0589]|48[04]|50[1-9]|51[0-9]|52[0-9]|53[0149]|54[01]|55[19]|56[1247]|57[0-5]|58[056]|60[1-9]|61[0-9]|62[0-9]|63[016]"
     r"|64[16]|65[0179]|66[0-9]|67[0128]|68[0129]|70[1-9]|71[2-9]|72[0-7]|73[124]|74[037]|75[47]|76[0-9]|77[0-9]|78[0-7]|80[1-8]|81[0-9]|82[058]|83[0-2]|84[3578]|85[0-9]"
-    r"|86[0-9]|87[0238]|90[1-9]|91[0-9]|92[058]|93[0-9]|94[0179]|95[0-6]|97[0-9]|98[0459])",
-    "person": rf"(?:{'|'.join(NAMES)})$",
+    r"|86[0-9]|87[0238]|90[1-9]|91[0-9]|92[058]|93[0-9]|94[0179]|95[0-6]|97[0-9]|98[0459])|^\(?(?:" + CODES + ")",
+    "person": rf"(?<!\p{{L}})(?:{'|'.join(NAMES)})$|^(?:{TITLE}\.? )?(?:{'|'.join(GIVEN)}) ",
 }
-GAZETTEER_NO = {"account": r"^[A-Z]{2}"}
+GAZETTEER_NO = {"account": r"^[A-Z]{2}", "person": rf"^(?!{TITLE}\b)"}
 CONTEXT = {
     "token": r"(?i)(?:token|key|secret|passw(?:or)?d|bearer|auth)\W{0,6}$",
     "account": r"(?i)(?:iban|account|konto|compte|cuenta)\W{0,6}$",
     "national_id": r"(?i)(?:ssn|social security(?: number)?|national id)\W{0,6}$",
-    "local_phone": r"(?i)(?:tel|phone|call|mobile|fax)\w*\W{0,6}$",
-    "person": r"(?i)(?:name is|signed|contact|dear|by)\W{0,6}$",
+    "local_phone": r"(?i)(?:tel|phone|call|mobile|fax|handy|móvil)\w*\W{0,6}$",
+    "person": r"(?i)(?:\bname(?: is)?|signed|contact|dear|regards|attn|heiße|llamo|appelle|\bby)\W{0,6}$",
 }
 CONTEXT_CHARS = 32
 ROUNDS = 100
@@ -218,9 +236,20 @@ Votes = tuple[int, ...]
 Table = list[list[list[float]]]
 
 
+def _better_than_chance(rows: list[list[float]]) -> list[list[float]]:
+    """P(vote | false) and P(vote | true) where yes isn't rarer and no isn't commoner among true spans: both their mean, else."""
+    (no0, _, yes0), (no1, _, yes1) = rows
+    if no1 > no0:
+        no0 = no1 = (no0 + no1) / 2.0
+    if yes1 < yes0:
+        yes0 = yes1 = (yes0 + yes1) / 2.0
+    return [[no0, 1.0 - no0 - yes0, yes0], [no1, 1.0 - no1 - yes1, yes1]]
+
+
 def reliabilities(patterns: list[tuple[Votes, float]], lean: Table | None = None) -> tuple[float, Table, list[float]]:
     """EM over (votes, count): share of true spans, P(vote | truth) per labeler, P(true | pattern).
-    lean: a table that counts like LEAN candidates."""
+    lean: a table that counts like LEAN candidates. No labeler may be worse than chance, so that the two
+    classes can't change places."""
     n = len(patterns[0][0])
     true = [min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for v, _ in patterns]
     prior, table = 0.5, []
@@ -233,7 +262,7 @@ def reliabilities(patterns: list[tuple[Votes, float]], lean: Table | None = None
             for t, (v, c) in zip(true, patterns, strict=True):
                 own[1][v[j] + 1] += t * c
                 own[0][v[j] + 1] += (1.0 - t) * c
-            table.append([[x / sum(row) for x in row] for row in own])
+            table.append(_better_than_chance([[x / sum(row) for x in row] for row in own]))
         for k, (v, _) in enumerate(patterns):
             odds = math.log(prior / (1.0 - prior)) + sum(math.log(table[j][1][v[j] + 1] / table[j][0][v[j] + 1]) for j in range(n))
             true[k] = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, odds))))
@@ -242,10 +271,12 @@ def reliabilities(patterns: list[tuple[Votes, float]], lean: Table | None = None
 
 def likelihoods(patterns: list[tuple[str, Votes, float]]) -> list[float]:
     """P(true) of each (kind, votes, count), with reliabilities of each kind."""
-    _, pooled, _ = reliabilities([(v, c) for _, v, c in patterns])
+    of = {kind: [(v, c) for k, v, c in patterns if k == kind] for kind in sorted({k for k, _, _ in patterns})}
+    tables = [reliabilities(own)[1] for own in of.values()]
+    # Pooled: the mean of the kinds' own tables. Counts of all kinds together would be those of the commonest.
+    pooled = [[[sum(t[j][truth][k] for t in tables) / len(tables) for k in range(3)] for truth in (0, 1)] for j in range(len(patterns[0][1]))]
     out = {}
-    for kind in {k for k, _, _ in patterns}:
-        own = [(v, c) for k, v, c in patterns if k == kind]
+    for kind, own in of.items():
         out |= {(kind, v): t for (v, _), t in zip(own, reliabilities(own, pooled)[2], strict=True)}
     return [out[k, v] for k, v, _ in patterns]
 
@@ -271,15 +302,21 @@ def classifier(patterns: list[tuple[str, tuple[int, ...], float]]) -> list[float
 
 def train(docs: DataFrame) -> list[float] | None:
     """Count vote patterns over all documents and fit; None without candidates."""
-    votes = _free(docs).select(F.inline("more")).groupBy("kind", "regex", "gazetteer", "context").agg(F.count("*").alias("n"))
+    return _fitted(_free(docs))
+
+
+def _fitted(spans: DataFrame) -> list[float] | None:
+    votes = spans.select(F.inline("more")).groupBy("kind", "regex", "gazetteer", "context").agg(F.count("*").alias("n"))
     patterns = sorted((r.kind, (r.regex, r.gazetteer, r.context), float(r.n)) for r in votes.collect())
     return classifier(patterns) if patterns else None
 
 
 def find(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """doc_id, counts and digest of the base kinds, and all spans of every document."""
-    weights = weights or train(docs)
     spans = _free(docs)
+    if weights is None:
+        spans, _ = stored(spans, "pii-spans")
+        weights = _fitted(spans)
     if weights is None:
         all_spans = F.col("base")
     else:

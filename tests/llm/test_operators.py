@@ -556,6 +556,31 @@ def test_pii_recall_by_kind(spark):
         assert caught / len(of) >= 0.9 and flagged / len(of) <= 0.1, (kind, caught, flagged)
 
 
+#: (words before, span, kind), written out by hand and not from the patterns; names, numbers and accounts of public examples.
+SENTENCES = [
+    ("Please send it to IBAN ", "GB82 WEST 1234 5698 7654 32", "account"), ("our account: ", "DE89 3704 0044 0532 0130 00", "account"), ("IBAN ", "GB82WEST12345698765432", "account"),
+    ("compte ", "FR14 2004 1010 0505 0001 3M02 606", "account"), ("For this contact ", "John Smith", "person"), ("and my name is ", "Maria Garcia", "person"), ("then we met ", "Dr. Anna Becker", "person"),
+    ("it was signed ", "Thomas Adeyemi", "person"), ("phone ", "020 7946 0958", "local_phone"), ("call ", "0121 496 0123", "local_phone"), ("tel. ", "01 23 45 67 89", "local_phone"),
+    ("telefon: ", "030 12345678", "local_phone"), ("phone: ", "(415) 555-2671", "local_phone"), ("SSN ", "123-45-6789", "national_id"), ("token=", "ghp_" + "a1B2" * 9, "token"),
+]
+HARMLESS = ["the North Sea is cold", "in New York they say", "Chapter One begins here", "Every Monday Morning it rains", "on 12.03.2024 at 10:15", "pages 120 340 560", "by Monday Evening all was done", "room 0815 and 4711"]
+
+
+def test_pii_of_sentences_not_made_from_patterns(spark):
+    texts = [f"{before}{span}, as was said." for before, span, _ in SENTENCES] * 30 + HARMLESS * 150
+    rows = {r.doc_id: r.spans for r in pii.find(documents(spark, texts)).collect()}
+    missed = [s for k, s in enumerate(SENTENCES) if f"{s[2]}:{len(s[0])}:{len(s[0]) + len(s[1])}" not in rows[k].split(",")]
+    wrong = [t for k, t in enumerate(HARMLESS, 30 * len(SENTENCES)) if rows[k]]
+    assert len(missed) <= 1 and not wrong, (missed, wrong)
+
+
+def test_pii_reads_texts_once(spark, tmp_path):
+    """The result and the counts come from the stored spans: the plan reads no text."""
+    documents(spark, ["token 0123456789abcdef0123456789abcdef"] * 3).write.parquet(str(tmp_path / "d"))
+    plan = pii.find(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
+    assert "pii-spans" in plan and "text#" not in plan
+
+
 def brute_added(text, weights):
     """Candidates by pattern, their votes, and the classifier; what overlaps a base span is left out."""
     base, out = brute_spans(text), []
@@ -607,6 +632,17 @@ def test_reliabilities_find_the_good_labeler():
     assert 0.3 < prior < 0.7 and true[0] > 0.9 and true[2] < 0.1 and table[0][1][2] > table[0][0][2]
 
 
+def test_many_candidates_of_one_kind_do_not_turn_another():
+    """Few tokens beside any number of capitalised pairs that no labeler favours."""
+    for n in (10.0, 658.0, 1e7):
+        patterns = [("person", (0, -1, 0), n), ("token", (-1, 0, -1), 3.0), ("token", (1, 0, 1), 13.0)]
+        person, harmless, token = pii.likelihoods(patterns)
+        assert person < 0.5 and harmless < 0.1 and token > 0.9, n
+        weights = pii.classifier(patterns)
+        held = [sum(a * b for a, b in zip(pii._inputs(k, v), weights, strict=True)) >= 0 for k, v, _ in patterns]
+        assert held == [False, False, True], n
+
+
 # -- 7
 
 def test_language_held_out(spark):
