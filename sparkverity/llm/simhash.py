@@ -49,6 +49,9 @@ LEAST_SAMPLE = 4096
 SHARD_ROWS = 65_536
 VISITOR_ROWS = 262_144
 LEAF = 48
+#: Home values by values that ask of one block of distances (16 MB), and texts of one Arrow batch.
+TILE = 256, 8_192
+TEXT_BYTES = 4 << 20
 _BITS = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
 
@@ -57,7 +60,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     if not own:
         return 0
     parts = zip(*(own[i:] for i in range(shingle)), strict=False) if len(own) >= shingle else [own]
-    hashes = np.array(list(map(xxh64_intdigest, map(b" ".join, parts), repeat(SEED))), np.uint64)
+    hashes = np.fromiter(map(xxh64_intdigest, map(b" ".join, parts), repeat(SEED)), np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
@@ -67,7 +70,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every document."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TEXT_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +162,9 @@ def link(fps: np.ndarray, home: np.ndarray, asks: np.ndarray | None = None, radi
                 search(at[near], queries[dq - radius <= mu])
                 search(at[~near], queries[dq + radius > mu])
                 return
-        for lo in range(0, len(at), 256):
-            for lq in range(0, len(queries), 65_536):
-                own, others = at[lo : lo + 256], queries[lq : lq + 65_536]
+        for lo in range(0, len(at), TILE[0]):
+            for lq in range(0, len(queries), TILE[1]):
+                own, others = at[lo : lo + TILE[0]], queries[lq : lq + TILE[1]]
                 i, j = np.nonzero(np.bitwise_count(fps[own][:, None] ^ fps[others][None, :]) <= radius)
                 a, b = own[i], others[j]
                 keep = a != b
