@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkverity.functions import text as T
-from sparkverity.operators.ranking import hash_rank
+from sparkverity.operators.ranking import hash_rank, running_sums
 
 BROADCAST_CLASSES = 100_000
 HEADER_TAGS = ["patientid", "studydate", "modality", "studydescription", "seriesdescription", "bodypartexamined", "manufacturer", "imagetype", "pixelspacing", "seriesinstanceuid"]
@@ -147,10 +147,15 @@ def class_of(path: Column) -> Column:
 
 
 def class_index(df: DataFrame, path: str = "file_path") -> DataFrame:
-    """Class by folder, numbered by sorted name; up to BROADCAST_CLASSES names (counted) go to all tasks."""
-    names = df.select(class_of(F.col(path)).alias("class")).distinct()
-    names = names.withColumn("class_index", F.row_number().over(Window.orderBy("class")) - 1)
+    """Class by folder, numbered by sorted name; up to BROADCAST_CLASSES names (counted) are sorted in one task
+    and go to all, more are numbered by ranges of names."""
+    names = df.select(class_of(F.col(path)).alias("class")).where("class IS NOT NULL").distinct()
     few = names.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    if few:
+        names = names.withColumn("class_index", F.row_number().over(Window.orderBy("class")) - 1)
+    else:
+        after = running_sums(names.withColumn("_one", F.lit(1)), "class", ["_one"])
+        names = after.select("class", (F.lit(names.count()) - F.col("cum__one")).cast("int").alias("class_index"))
     return df.withColumn("class", class_of(F.col(path))).join(F.broadcast(names) if few else names.hint("merge"), "class")
 
 

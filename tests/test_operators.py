@@ -325,3 +325,13 @@ def test_image_score_plug_in(spark):
     got = {r.path: (r.cnn_score, r.ela_score) for r in M.image_scores(pictures, load, ("cnn_score", "ela_score")).collect()}
     assert got["p7.png"] == (0.07, 0.5) and len(got) == 26 and (got["none.png"][0] is None or math.isnan(got["none.png"][0]))
     assert M.image_scores(pictures.limit(0), load, ("cnn_score",)).count() == 0
+
+
+def test_class_index_of_many_names(spark, monkeypatch):
+    paths = [(f"root/c{k % 37:02d}/{k}.png",) for k in range(200)] + [(None,)]
+    df = spark.createDataFrame(paths, "file_path string")
+    few = sorted(map(tuple, D.class_index(df).collect()))
+    monkeypatch.setattr(D, "BROADCAST_CLASSES", 5)
+    many = D.class_index(df)
+    assert sorted(map(tuple, many.collect())) == few and {r.class_index for r in many.collect()} == set(range(37))
+    assert all(r["class"] == f"c{r.class_index:02d}" for r in many.collect())
