@@ -4,11 +4,14 @@ Components become floor(1024 x), so scores are whole numbers. Pivots, picked far
 bounded sample, are the top level of the data: every vector belongs to its nearest pivot, and a pivot's
 group is split by hash into shards of at most about ``shard_rows`` rows, so a crowded pivot is no large
 group. The first pivots are the top level of the queries too: a query belongs to the block of its
-nearest one, split by hash into blocks of about ``block_queries``. Queries get a first bound on their
-kth score from the sample, and go only to those pivots whose ball can hold a better score than that:
-<q, p> + |q| R with the radius R around p. A task holds one block of queries and one shard, which is
-sent to the blocks that ask for it: blocks times rows and shards times queries are shuffled, in
-proportion to the work where nothing can be cut.
+nearest one, split by hash into blocks of about ``block_queries``. Placed rows are written once.
+
+The search has two rounds. In the first, a query goes to one shard only, of the pivot with which its
+product is largest, with a bound on its kth score from the sample. What it finds there is its bound in
+the second, where it goes to those pivots whose ball can hold as good a score: <q, p> + |q| R with the
+radius R around p. A task holds one block of queries and one shard, which is sent to the blocks that ask
+for it: queries once and shards once for each block that asks them are shuffled in the first round; in the
+second blocks times rows and shards times queries, as far as nothing can be cut.
 
 There a cover tree over the block's queries and one over the shard are walked together. A pair of
 nodes with centres q and p and covering radii r and R is cut if <q, p> + |q| R + |p| r + r R is below
@@ -36,6 +39,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkverity.llm.common import stored
+
 K = 10
 SCALE = 1024
 SAMPLE = 4096
@@ -45,7 +50,10 @@ SHARDS, LEAST_SHARD_ROWS, SHARD_ROWS = 512, 2_048, 65_536
 BLOCK_QUERIES = 8_192
 #: Queries whose bounds are worked out at once.
 ASK_ROWS = 512
+#: Bounds are lowered by this share, for what doubles round.
+ROUNDING = 1e-12
 LEAF = 64
+ASKED = ["shard", "block", "query_id", "variant", "v", "bound"]
 CHILDREN = 32
 BASE = 1.5
 
@@ -109,7 +117,7 @@ def dual_search(queries: np.ndarray, ids: np.ndarray, bound: np.ndarray, data: n
             merged.sort(key=lambda t: (t[0], t[1]))
             best[row] = merged[:k]
             if len(best[row]) == k:
-                worst[row] = max(worst[row], float(-best[row][-1][0]))
+                worst[row] = max(worst[row], np.nextafter(float(-best[row][-1][0]), -np.inf))  # not above a score that doubles round up
 
     def reach(a: Node, b: Node) -> float:
         upper = a.centre @ b.centre + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
@@ -148,9 +156,10 @@ def _whole(rows: pd.Series, width: int) -> np.ndarray:
 
 def top_k(
     vectors: DataFrame, *, every: int = 100, k: int = K, shard_rows: int | None = None, block_queries: int = BLOCK_QUERIES,
-    sample_rows: int = SAMPLE, n_pivots: int | None = None,
+    sample_rows: int = SAMPLE, n_pivots: int | None = None, seen: dict | None = None,
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best for each row whose vec_id is divisible by ``every``."""
+    """query_id, rank, vec_id and score of the k best for each row whose vec_id is divisible by ``every``.
+    seen: gets the rows (query, shard) sent in the second round, and those the sample's bounds would have sent."""
     spark = vectors.sparkSession
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     fit = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
@@ -178,7 +187,7 @@ def top_k(
             radius = np.sqrt(((x - centres[pivot]) ** 2).sum(1)) * (1 + 1e-9) + 1e-6
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "pivot": pivot.astype(np.int32), "radius": radius})
 
-    placed = data.mapInPandas(near, "vec_id long, v array<long>, pivot int, radius double")
+    placed, _ = stored(data.mapInPandas(near, "vec_id long, v array<long>, pivot int, radius double"), "topk-placed")
     balls = {r.pivot: (r.n, r.far) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("radius").alias("far")).collect()}
     parts = np.array([-(-balls[p][0] // shard_rows) if p in balls else 0 for p in range(len(pivots))])
     far = np.array([balls[p][1] if p in balls else -np.inf for p in range(len(pivots))])
@@ -191,57 +200,79 @@ def top_k(
     corners = min(len(pivots), max(1, n_queries // block_queries))
     block_parts = max(1, -(-n_queries // (block_queries * corners)))
 
-    def asks(pdf: pd.DataFrame):
-        """Some queries: matrix, ids, bounds, block, and for each pivot whether it has to be seen."""
-        seen, seen_ids, centres = sent.value
-        x, own = _matrix(pdf["v"], width), pdf["vec_id"].to_numpy()
-        scores = np.where(own[:, None] == seen_ids[None, :], -np.inf, x @ seen.T)
-        bound = np.partition(scores, -k, axis=1)[:, -k] if len(seen) > k else np.full(len(x), -np.inf)
-        upper = x @ centres.T + np.linalg.norm(x, axis=1)[:, None] * np.maximum(far, 0.0)[None, :]
-        slack = np.where(np.isfinite(bound), 1e-9 * np.abs(bound) + 1e-3, 0.0)
-        block = nearest(x, centres[:corners]) * block_parts + own % (every * block_parts) // every
-        return own, bound, block, (upper + slack[:, None] >= bound[:, None]) & np.isfinite(far)[None, :]
+    def ready(batches):
+        """Queries with their bound from the sample, their block and the shard they see first. Scores of some
+        queries against the whole sample are one matrix of 16 MB."""
+        known, known_ids, centres = sent.value
+        for pdf in some(batches):
+            x, own = _matrix(pdf["v"], width), pdf["query_id"].to_numpy()
+            scores = np.where(own[:, None] == known_ids[None, :], -np.inf, x @ known.T)
+            bound = np.partition(scores, -k, axis=1)[:, -k] if len(known) > k else np.full(len(x), -np.inf)
+            bound = bound - ROUNDING * np.abs(bound)
+            block = nearest(x, centres[:corners]) * block_parts + own % (every * block_parts) // every
+            home = np.where(parts > 0, x @ centres.T, -np.inf).argmax(1)
+            yield pdf.assign(bound=bound, block=block.astype(np.int32), home=(first[home] + block % parts[home]).astype(np.int32))
 
     def some(batches):
-        """A few queries at a time: their scores against the whole sample are one matrix of 16 MB."""
         for pdf in batches:
             for lo in range(0, len(pdf), ASK_ROWS):
                 yield pdf.iloc[lo : lo + ASK_ROWS]
 
+    def wanted(pdf: pd.DataFrame, bound: np.ndarray) -> np.ndarray:
+        """For each query and pivot whether its ball can hold a score not under the bound."""
+        x = _matrix(pdf["v"], width)
+        upper = x @ sent.value[2].T + np.linalg.norm(x, axis=1)[:, None] * np.maximum(far, 0.0)[None, :]
+        slack = np.where(np.isfinite(bound), 1e-9 * np.abs(bound) + 1e-3, 0.0)
+        return (upper + slack[:, None] >= bound[:, None]) & np.isfinite(far)[None, :]
+
+    def shards_of(row: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard) for each (row, pivot)."""
+        n = parts[pivot]
+        row, begin = np.repeat(row, n), np.repeat(first[:-1][pivot], n)
+        return row, begin + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
     def pairs(batches):
         for pdf in some(batches):
-            _, _, block, wanted = asks(pdf)
-            asked = {(int(b), p) for b in set(block) for p in np.nonzero(wanted[block == b].any(0))[0]}
-            out = [(shard, b) for b, p in asked for shard in range(first[p], first[p + 1])]
-            yield pd.DataFrame(out, columns=["shard", "block"]).astype("int32")
+            block, sees = pdf["block"].to_numpy(), wanted(pdf, pdf["bound"].to_numpy())
+            row, shard = shards_of(*np.nonzero(sees))
+            far_off = shard != pdf["home"].to_numpy()[row]
+            yield pd.DataFrame({"shard": shard[far_off], "block": block[row[far_off]]}).drop_duplicates().astype("int32")
 
     def send(batches):
         for pdf in some(batches):
-            own, bound, block, wanted = asks(pdf)
-            row, pivot = np.nonzero(wanted)
-            n = parts[pivot]
-            row, begin = np.repeat(row, n), np.repeat(first[:-1][pivot], n)
-            shard = begin + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            row, shard = shards_of(*np.nonzero(wanted(pdf, pdf["bound"].to_numpy())))
+            far_off = shard != pdf["home"].to_numpy()[row]
+            row, shard = row[far_off], shard[far_off]
             for lo in range(0, len(row), 10_000):
-                at = row[lo : lo + 10_000]
-                yield pd.DataFrame({
-                    "shard": shard[lo : lo + 10_000].astype(np.int32), "block": block[at].astype(np.int32), "query_id": own[at], "q": pdf["v"].iloc[at].to_numpy(), "bound": bound[at],
-                })
-
-    asked = queries.mapInPandas(send, "shard int, block int, query_id long, q array<long>, bound double")
-    reach = queries.mapInPandas(pairs, "shard int, block int").distinct().groupBy("shard").agg(F.collect_list("block").alias("blocks"))  # at most all blocks
-    dealt = shards.join(reach.hint("merge"), "shard").select("shard", F.explode("blocks").alias("block"), "vec_id", "v")
+                yield pdf.iloc[row[lo : lo + 10_000]][ASKED[1:]].assign(shard=shard[lo : lo + 10_000].astype(np.int32))[ASKED]
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         d, d_ids = _matrix(right["v"], width), right["vec_id"].to_numpy()
-        q, q_ids = _matrix(left["q"], width), left["query_id"].to_numpy()
+        q, q_ids = _matrix(left["v"], width), left["query_id"].to_numpy()
         large = np.abs(q).max(initial=0.0) * np.abs(d).max(initial=0.0) * width >= 2**52
-        whole = (_whole(left["q"], width), _whole(right["v"], width)) if large else None
+        whole = (_whole(left["v"], width), _whole(right["v"], width)) if large else None
         found = dual_search(q, q_ids, left["bound"].to_numpy(), d, d_ids, k, whole)
         out = [(q_ids[i], left["variant"].iloc[i], d_ids[j], int(score)) for i, j, score in found]
         return pd.DataFrame(out, columns=["query_id", "variant", "vec_id", "score"]).astype("int64")
 
-    asked = asked.withColumn("variant", F.xxhash64("q"))
-    found = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(search, "query_id long, variant long, vec_id long, score long")
+    def searched(asked: DataFrame, met: DataFrame) -> DataFrame:
+        """What the asked shards hold. met: the (shard, block) that meet, repeated or not."""
+        reach = met.distinct().groupBy("shard").agg(F.collect_list("block").alias("blocks"))  # at most all blocks
+        dealt = shards.join(reach.hint("merge"), "shard").select("shard", F.explode("blocks").alias("block"), "vec_id", "v")
+        kind = "query_id long, variant long, vec_id long, score long"
+        return asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(search, kind)
+
+    asks = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("variant"), "v")
+    asks, _ = stored(asks.mapInPandas(ready, "query_id long, variant long, v array<long>, bound double, block int, home int"), "topk-queries")
+    at_home = asks.withColumnRenamed("home", "shard")
+    near_by, _ = stored(searched(at_home.select(*ASKED), at_home.select("shard", "block")), "topk-first")
+    kth = near_by.groupBy("query_id", "variant").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") >= k)
+    kth = kth.withColumn("kth", F.col("kth") - F.abs("kth") * ROUNDING)
+    better = asks.join(kth.hint("merge"), ["query_id", "variant"], "left").withColumn("bound", F.greatest("bound", "kth")).select(*asks.columns)
+    sends = "shard int, block int, query_id long, variant long, v array<long>, bound double"
+    asked = better.mapInPandas(send, sends)
+    if seen is not None:
+        seen |= {"sent": asked.count(), "by_sample": asks.mapInPandas(send, sends).count()}
+    found = near_by.unionByName(searched(asked, better.mapInPandas(pairs, "shard int, block int")))
     rank = F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -215,6 +215,18 @@ def test_topk_brute_force(spark):
     assert [tuple(r) for r in topk.top_k(df.where("vec_id IN (0, 3)"), every=10).select("query_id", "vec_id").collect()] == [(0, 3)]
 
 
+def test_topk_second_round_sends_little(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 8))
+    at = np.concatenate([np.zeros(900, int), rng.integers(0, 40, 1800)])  # a third of all rows around one centre
+    x = (centres[at] + 0.05 * rng.normal(size=(len(at), 8))).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    df, seen = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), {}
+    got = topk.top_k(df, every=10, shard_rows=128, block_queries=30, sample_rows=60, n_pivots=24, seen=seen)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_top(rows, 10, 10)
+    assert 0 < seen["sent"] < 0.75 * seen["by_sample"]  # 2,924 of 4,848 here
+
+
 def test_cover_trees_cover_and_separate():
     rng = np.random.default_rng(3)
     x = np.floor(1024 * (rng.normal(size=(40, 8))[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 8))))
