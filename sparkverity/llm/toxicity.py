@@ -24,7 +24,7 @@ models first, makes a probability of it. All other counts come from all training
 
 A history whose counts (or those of a part of it) don't exceed their discounts says nothing, and is
 left out; no result changes by it. The others are counted: up to ``broadcast_nodes`` go to all tasks,
-more stay a table that the words of all texts are joined with. Words are single; an expression
+more stay a table that the words of all texts are joined with (short ones, which many words share, are sent). Words are single; an expression
 of several common words isn't learned.
 
 Defined results: a null or wordless text has ratio zero and gets the score of that; labels with a
@@ -60,6 +60,8 @@ EXCESS = 1.0
 THRESHOLD = 0.7
 #: About 150 bytes each in a Python worker.
 BROADCAST_NODES = 1_000_000
+#: Histories of up to so many bytes (65,793 at most) go to all tasks where the others are joined.
+SHORT = 2
 #: Ratios of so many words are remembered in a task.
 CACHE = 200_000
 
@@ -348,7 +350,9 @@ def _word_ratios(asked: DataFrame, nodes: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(own), pa.array(model.step(np.zeros_like(n), n, left))], names=["g", "own", "rest"])
 
     valued = steps.mapInArrow(run, "g binary, own double, rest double")
-    parts = asked.select("word", F.explode(_histories(F.col("word"))).alias("g")).join(valued.hint("merge"), "g")
+    parts, short = asked.select("word", F.explode(_histories(F.col("word"))).alias("g")), F.length("g") <= SHORT
+    # Every word has the empty history, and many share their first bytes.
+    parts = parts.where(short).join(F.broadcast(valued.where(short)), "g").unionByName(parts.where(~short).join(valued.where(~short).hint("merge"), "g"))
     chain = parts.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(F.length("g").alias("k"), "own", "rest"))).alias("c"))  # at most ORDER + 1 entries
     reach = F.aggregate("c", F.lit(0), lambda a, x: F.when(x["k"] == a, a + 1).otherwise(a))
     whole = F.least(F.length("word") + 1, F.lit(ORDER)) + 1
