@@ -335,3 +335,11 @@ def test_class_index_of_many_names(spark, monkeypatch):
     many = D.class_index(df)
     assert sorted(map(tuple, many.collect())) == few and {r.class_index for r in many.collect()} == set(range(37))
     assert all(r["class"] == f"c{r.class_index:02d}" for r in many.collect())
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_dictionary_ties(spark, turned):
+    """Of rows of one place the greater description wins, in whatever order they come."""
+    rows = [("a", "x", 1), (" A", "z", 2), ("a ", "y", 2), ("a", None, 2), ("b", None, 1), ("c", "late", None), ("c", "early", 0)]
+    got = D.diagnosis_dictionary(spark.createDataFrame(rows[::-1] if turned else rows, "code string, description string, row_ord long").coalesce(1)).collect()
+    assert {r.code: r.description for r in got} == {"A": "z", "B": "", "C": "early"}
