@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from sparkverity.operators import heads
 from sparkverity.operators import icd
 from sparkverity.operators import models as M
 from sparkverity.operators.ranking import hash_rank, running_sums
+from sparkverity.session import new_dir
 from sparkverity.sources import io
 
 c = F.col
@@ -343,3 +345,12 @@ def test_dictionary_ties(spark, turned):
     rows = [("a", "x", 1), (" A", "z", 2), ("a ", "y", 2), ("a", None, 2), ("b", None, 1), ("c", "late", None), ("c", "early", 0)]
     got = D.diagnosis_dictionary(spark.createDataFrame(rows[::-1] if turned else rows, "code string, description string, row_ord long").coalesce(1)).collect()
     assert {r.code: r.description for r in got} == {"A": "z", "B": "", "C": "early"}
+
+
+def test_verification_is_compiled(spark):
+    """No generated method is longer than the 8000 bytes up to which the JVM compiles one to machine code."""
+    schema = io.CLAIMS.replace(", claim_ts timestamp", "")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path := new_dir(spark, "no-claims"))
+    plan = C.verify(spark.read.schema(schema).parquet(path))._jdf.queryExecution().executedPlan()
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan))]
+    assert sizes and max(sizes) < 8000
