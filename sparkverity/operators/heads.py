@@ -4,7 +4,7 @@ Minimised for each label is the mean log loss plus ``penalty`` / 2 times the squ
 free). Tasks work out the gradients of all labels on their rows against the weights, which are broadcast
 (features times labels numbers, bounded by the vocabulary and the label list), and hand on blocks of
 features, which are added up by block. Rows that have few labels among many cost their own features times
-the labels, nothing more.
+the labels, nothing more; equal sparse rows are worked on once, weighted by their number.
 
 Up to ``OUTER`` features, as embeddings have: the sum of outer products of the rows is collected once; a
 quarter of it bounds the second derivative whatever the weights, so its inverse turns every gradient into a
@@ -32,7 +32,6 @@ TOLERANCE = 1e-10
 OUTER = 1_024
 #: Features of a block of gradients; numbers that are worked on at once.
 BLOCK, AT_ONCE = 256, 1 << 21
-_ROWS = "at array<int>, x array<double>, y array<int>"
 
 
 def label_rows(rows: DataFrame, labels: list[str]) -> DataFrame:
@@ -42,6 +41,12 @@ def label_rows(rows: DataFrame, labels: list[str]) -> DataFrame:
     return rows.select(F.col("at").cast("array<int>").alias("at"), F.col("x").cast("array<double>").alias("x"), F.coalesce(known, F.array().cast("array<int>")).alias("y")).where("size(x) > 0")
 
 
+def distinct_rows(ready: DataFrame) -> DataFrame:
+    """Equal rows once, with their number as times; dense rows as they are."""
+    sparse = ready.where("at IS NOT NULL").withColumn("y", F.array_sort("y")).groupBy("at", "x", "y").agg(F.count("*").alias("times"))
+    return sparse.unionByName(ready.where("at IS NULL").withColumn("times", F.lit(1).cast("bigint")))
+
+
 def _parts(batch: pa.RecordBatch, width: int, labels: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of a batch, some at a time: the row, feature and value of each number, and the labels (0 or 1) of each row."""
     x, at = batch.column("x"), batch.column("at")
@@ -103,8 +108,10 @@ def gradients(ready: DataFrame, weights: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, total = sent.value, np.zeros((features, labels))
         for batch in batches:
+            times, lo = batch.column("times").to_numpy()[:, None], 0
             for row, place, values, truth in _parts(batch, features - 1, labels):
-                wrong = 1 / (1 + np.exp(-logits(row, place, values, w, len(truth)))) - truth
+                wrong = (1 / (1 + np.exp(-logits(row, place, values, w, len(truth)))) - truth) * times[lo : lo + len(truth)]
+                lo += len(truth)
                 total += _sums(place, values[:, None] * wrong[row], features)
                 total[-1] += wrong.sum(0)
         yield from _blocks(total)
@@ -120,10 +127,12 @@ def outer_products(ready: DataFrame, features: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((features + 1, features + 1))
         for batch in batches:
+            times, lo = batch.column("times").to_numpy()[:, None], 0
             for row, place, values, truth in _parts(batch, features, features):
                 x = np.zeros((len(truth), features + 1))
                 x[row, place], x[:, -1] = values, 1.0
-                total += x.T @ x
+                total += x.T @ (x * times[lo : lo + len(truth)])
+                lo += len(truth)
         yield from _blocks(total)
 
     return _added(ready, run, features + 1)
@@ -131,11 +140,11 @@ def outer_products(ready: DataFrame, features: int) -> np.ndarray:
 
 def fit(rows: DataFrame, labels: list[str], features: int, *, penalty: float = PENALTY, steps: int = 500, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights, a row per feature and the bias last, a column per label. rows: at, x, labels."""
-    ready, cores = label_rows(rows, labels), rows.sparkSession.sparkContext.defaultParallelism
+    ready, cores = distinct_rows(label_rows(rows, labels)), rows.sparkSession.sparkContext.defaultParallelism
     if ready.rdd.getNumPartitions() < cores:  # every step runs over these parts
         ready = ready.repartition(cores)
     ready = ready.persist()
-    n = ready.count()
+    n = ready.agg(F.sum("times")).first()[0] or 0
     w = np.zeros((features + 1, len(labels)))
     if n and labels:
         shrink = np.full((features + 1, 1), penalty)

@@ -113,12 +113,11 @@ def drivers(trees: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _sparse(ready: DataFrame, *keep: str) -> DataFrame:
-    """A vector column as at and x, the places and values of what isn't zero."""
-    def taken(values: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda k: F.get(values, k) != 0)
-        return F.struct(at.alias("at"), F.filter(values, lambda v: v != 0).alias("x"))
-
-    return ready.select(*keep, let(vector_to_array("vec"), taken).alias("_v")).select(*keep, "_v.at", "_v.x")
+    """A vector column as at and x, the places and values of what isn't zero; read as stored, never laid out in full."""
+    v = F.unwrap_udt("vec")
+    at = F.when(v["type"] == 0, v["indices"]).when(F.size(v["values"]) > 0, F.sequence(F.lit(0), F.size(v["values"]) - 1)).otherwise(F.array().cast("array<int>"))
+    both = F.filter(F.arrays_zip(at.alias("at"), v["values"].alias("x")), lambda p: p["x"] != 0)
+    return ready.select(*keep, both.alias("_v")).select(*keep, "_v.at", "_v.x")
 
 
 def fit_text_labels(rows: DataFrame, labels: list[str], *, features: int = 5000, penalty: float = heads.PENALTY, steps: int = 100, tolerance: float = 2e-4) -> tuple[PipelineModel, DataFrame]:

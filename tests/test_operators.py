@@ -354,3 +354,25 @@ def test_verification_is_compiled(spark):
     plan = C.verify(spark.read.schema(schema).parquet(path))._jdf.queryExecution().executedPlan()
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan))]
     assert sizes and max(sizes) < 8000
+
+
+def test_sparse_vectors_are_not_laid_out(spark):
+    """A vector of 2^30 places costs what it holds."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(1, Vectors.sparse(1 << 30, [5, 1 << 29], [2.0, 0.0])), (2, Vectors.dense([0.0, 3.0])), (3, Vectors.sparse(4, [], []))]
+    got = {r.k: (r["at"], r.x) for r in M._sparse(spark.createDataFrame(rows, ["k", "vec"]), "k").collect()}
+    assert got == {1: ([5], [2.0]), 2: ([1], [3.0]), 3: ([], [])}
+
+
+def test_equal_rows_are_fitted_once(spark):
+    one = [([0, 2], [0.6, 0.8], ["a"]), ([1], [1.0], ["b"]), ([0], [1.0], ["b", "a"])]
+    schema = "at array<int>, x array<double>, labels array<string>"
+    many = spark.createDataFrame(one * 40 + one[:1] * 15, schema)
+    assert sorted(r.times for r in heads.distinct_rows(heads.label_rows(many, ["a", "b"])).collect()) == [40, 40, 55]
+    spread = many.withColumn("x", F.concat("x", F.array(F.lit(0.0)))).withColumn("at", F.concat("at", F.array(3 + F.monotonically_increasing_id() % 7)).cast("array<int>"))
+    for outer in (heads.OUTER, 1):  # features that are 0 everywhere keep equal rows apart and change nothing
+        old, heads.OUTER = heads.OUTER, outer
+        a, b = heads.fit(many, ["a", "b"], 10, steps=5), heads.fit(spread, ["a", "b"], 10, steps=5)
+        heads.OUTER = old
+        assert abs(a - b).max() < 1e-9 < abs(a).max()
