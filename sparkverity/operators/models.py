@@ -40,7 +40,9 @@ def image_scores(pictures: DataFrame, load: Callable[[], ImageScorer], scores: t
 
 def fit_fraud(rows: DataFrame, label: str = "fraud", *, rounds: int = 20, bins: int = 128, seed: int = 42) -> PipelineModel:
     stages = [VectorAssembler(inputCols=FRAUD_FEATURES, outputCol="vec"), GBTClassifier(featuresCol="vec", labelCol=label, maxIter=rounds, maxDepth=4, maxBins=bins, seed=seed)]
-    return Pipeline(stages=stages).fit(rows)
+    used = rows.select(*(F.col(f).cast("double").alias(f) for f in FRAUD_FEATURES), label)
+    used.write.parquet(path := new_dir(rows.sparkSession, "training"))  # fitting reads its rows several times: they are worked out once
+    return Pipeline(stages=stages).fit(rows.sparkSession.read.schema(used.schema).parquet(path))
 
 
 def fraud_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
