@@ -77,6 +77,17 @@ def test_coefficients_equal_the_transform(spark, sides):
     assert io.coefficients(frame.where("false")).count() == 0
 
 
+def test_hash_table_ties(spark):
+    """Coefficients that equal the median aren't above it; the hashes of both noisy pictures were worked out with 60 digits."""
+    tied = {
+        "83d0b5a698ea429f": "66c88d8d94a4968479746a589b7b934b5293b8719a6f5e7078a73f8f8b8052835c5d7990a991796a3195b4703e8171918a4c9f8476a79c88673b696a8582a770",
+        "b09aac73213f2547": "7083445f7668abb085946199a3a83d86694f7ca383936d59778d484174a58c946b91954e799d7a718a8d5e6e595b908c956b797a8e905658508354aa6244c990",
+    }
+    rows = [(want, 8, 8, bytes.fromhex(px)) for want, px in tied.items()] + [("8000000000000000", w, h, bytes([v] * (w * h))) for v, w, h in [(7, 8, 8), (255, 1, 1), (91, 40, 33), (3, 3, 70)]]
+    found = io.hash_table(spark.createDataFrame([*rows, ("0000000000000000", 5, 9, bytes(45))], "path string, width int, height int, grey binary")).collect()
+    assert len(found) == 7 and [r for r in found if r.filename != r.phash_hex] == []
+
+
 def test_directory_scan_opens_no_file(spark, tmp_path):
     from sparkverity.session import new_dir
 
