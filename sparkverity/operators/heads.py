@@ -1,10 +1,11 @@
 """Logistic heads for many labels at once: every step is one pass over the rows, whatever the number of labels.
 
 Minimised for each label is the mean log loss plus ``penalty`` / 2 times the squared weights (the bias is
-free). Tasks work out the gradients of all labels on their rows against the weights, which are broadcast
-(features times labels numbers, bounded by the vocabulary and the label list), and hand on blocks of
-features, which are added up by block. Rows that have few labels among many cost their own features times
-the labels, nothing more; equal sparse rows are worked on once, weighted by their number.
+free). Rows are laid out once, in blocks of numbers kept by row and by feature, which all steps read. Tasks
+work out the gradients of all labels on their blocks against the weights, which are broadcast (features times
+labels numbers, bounded by the vocabulary and the label list); their sums are added up, in a tree if they are
+many. Rows that have few labels among many cost their own features times the labels, nothing more; equal
+sparse rows are worked on once, weighted by their number.
 
 Up to ``OUTER`` features, as embeddings have: the sum of outer products of the rows is collected once; a
 quarter of it bounds the second derivative whatever the weights, so its inverse turns every gradient into a
@@ -19,31 +20,37 @@ weights are 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PENALTY = 0.01
 TOLERANCE = 1e-10
 OUTER = 1_024
-#: Features of a block of gradients; numbers that are worked on at once.
-BLOCK, AT_ONCE = 256, 1 << 21
+#: Numbers that are worked on at once; bytes of all tasks' sums that the driver adds up itself.
+AT_ONCE, DIRECT = 1 << 19, 1 << 26
+
+
+def label_places(labels: list[str]) -> Column:
+    """The places in the label list of a row's labels that are in it, in order."""
+    place = F.array(*(F.lit(x) for x in labels)).cast("array<string>")
+    known = F.transform(F.filter(F.array_distinct("labels"), lambda x: F.array_contains(place, x)), lambda x: (F.array_position(place, x) - 1).cast("int"))
+    return F.array_sort(F.coalesce(known, F.array().cast("array<int>")))
 
 
 def label_rows(rows: DataFrame, labels: list[str]) -> DataFrame:
     """at, x (places and values of features; at is null for all in order) and labels, as rows to fit: y holds places in the label list."""
-    place = F.array(*(F.lit(x) for x in labels))
-    known = F.transform(F.filter(F.array_distinct("labels"), lambda x: F.array_contains(place, x)), lambda x: (F.array_position(place, x) - 1).cast("int"))
-    return rows.select(F.col("at").cast("array<int>").alias("at"), F.col("x").cast("array<double>").alias("x"), F.coalesce(known, F.array().cast("array<int>")).alias("y")).where("size(x) > 0")
+    return rows.select(F.col("at").cast("array<int>").alias("at"), F.col("x").cast("array<double>").alias("x"), label_places(labels).alias("y")).where("size(x) > 0")
 
 
 def distinct_rows(ready: DataFrame) -> DataFrame:
     """Equal rows once, with their number as times; dense rows as they are."""
-    sparse = ready.where("at IS NOT NULL").withColumn("y", F.array_sort("y")).groupBy("at", "x", "y").agg(F.count("*").alias("times"))
+    sparse = ready.where("at IS NOT NULL").groupBy("at", "x", "y").agg(F.count("*").alias("times"))
     return sparse.unionByName(ready.where("at IS NULL").withColumn("times", F.lit(1).cast("bigint")))
 
 
@@ -81,83 +88,97 @@ def logits(row, place, values, weights: np.ndarray, n_rows: int) -> np.ndarray:
     return _sums(row, values[:, None] * weights[place], n_rows) + weights[-1]
 
 
-def _added(ready: DataFrame, run, width: int) -> np.ndarray:
-    """Blocks (block, sums: binary) of all tasks, added up; width numbers a feature."""
-    parts = ready.mapInArrow(run, "block int, sums binary")
+def _blocks(ready: DataFrame, features: int, labels: int) -> RDD:
+    """Rows to fit as pickled blocks, on every core: features and values in order of rows, where rows begin, rows and values
+    in order of features, the features and where they begin, the labels (row, label) and how often each row counts."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["sums"].iloc[0]) // 8)
-        for s in pdf["sums"]:
-            total += np.frombuffer(s)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "sums": [total.tobytes()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times, lo = batch.column("times").to_numpy(), 0
+            for row, place, values, truth in _parts(batch, features, labels):
+                order = np.argsort(place, kind="stable")
+                keys, first = np.unique(place[order], return_index=True)
+                begins = np.flatnonzero(np.diff(row, prepend=-1))
+                block = (place, values, begins, row[order], values[order], keys, first, np.nonzero(truth), times[lo : lo + len(truth)].astype(float))
+                lo += len(truth)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
 
-    got = sorted(parts.groupBy("block").applyInPandas(add, "block int, sums binary").collect())
-    return np.concatenate([np.frombuffer(r.sums) for r in got]).reshape(-1, width) if got else np.zeros((0, width))
+    blocks, cores = ready.mapInArrow(run, "block binary").rdd.map(lambda r: bytes(r[0])), ready.sparkSession.sparkContext.defaultParallelism
+    if blocks.getNumPartitions() < cores:  # every step runs over these parts
+        blocks = blocks.mapPartitionsWithIndex(lambda k, own: ((k + j, b) for j, b in enumerate(own))).partitionBy(cores, lambda k: k).values()
+    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(total), BLOCK):
-        yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([total[k : k + BLOCK].tobytes()], pa.binary())], names=["block", "sums"])
+def _added(parts: RDD, terms: Callable[[Iterator], Iterator[np.ndarray]], shape: tuple[int, ...]) -> np.ndarray:
+    """The arrays of all parts, added up."""
 
+    def run(own: Iterator) -> Iterator[np.ndarray]:
+        total = np.zeros(shape)
+        for term in terms(own):
+            total += term
+        yield total
 
-def gradients(ready: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """The sum over all rows of (probability - label) times features, for all labels: one pass."""
-    sent = ready.sparkSession.sparkContext.broadcast(weights)
-    features, labels = weights.shape
+    depth = 1 if parts.getNumPartitions() * np.prod(shape) * 8 <= DIRECT else 2
+    return parts.mapPartitions(run).treeAggregate(np.zeros(shape), np.add, np.add, depth)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total = sent.value, np.zeros((features, labels))
-        for batch in batches:
-            times, lo = batch.column("times").to_numpy()[:, None], 0
-            for row, place, values, truth in _parts(batch, features - 1, labels):
-                wrong = (1 / (1 + np.exp(-logits(row, place, values, w, len(truth)))) - truth) * times[lo : lo + len(truth)]
-                lo += len(truth)
-                total += _sums(place, values[:, None] * wrong[row], features)
-                total[-1] += wrong.sum(0)
-        yield from _blocks(total)
 
-    out = _added(ready, run, labels)
+def gradients(blocks: RDD, weights: np.ndarray) -> np.ndarray:
+    """The sum over all rows of (probability - label) times features, for all labels: one pass."""
+    sent, shape = blocks.context.broadcast(weights), weights.shape
+
+    def run(own: Iterator[bytes]) -> Iterator[np.ndarray]:
+        w, total = sent.value, np.zeros(shape)
+        for place, values, begins, by_row, by_value, keys, first, truth, times in map(pickle.loads, own):
+            wrong = 1 / (1 + np.exp(-(np.add.reduceat(values[:, None] * w[place], begins, axis=0) + w[-1])))
+            wrong[truth] -= 1.0
+            wrong *= times[:, None]
+            total[keys] += np.add.reduceat(by_value[:, None] * wrong[by_row], first, axis=0)
+            total[-1] += wrong.sum(0)
+        yield total
+
+    out = _added(blocks, run, shape)
     sent.destroy()
     return out
 
 
-def outer_products(ready: DataFrame, features: int) -> np.ndarray:
+def outer_products(blocks: RDD, features: int) -> np.ndarray:
     """The sum over all rows of x x', with a 1 for the bias as last component."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((features + 1, features + 1))
-        for batch in batches:
-            times, lo = batch.column("times").to_numpy()[:, None], 0
-            for row, place, values, truth in _parts(batch, features, features):
-                x = np.zeros((len(truth), features + 1))
-                x[row, place], x[:, -1] = values, 1.0
-                total += x.T @ (x * times[lo : lo + len(truth)])
-                lo += len(truth)
-        yield from _blocks(total)
+    some = max(1, AT_ONCE // (features + 1))
+
+    def run(own: Iterator[bytes]) -> Iterator[np.ndarray]:
+        for place, values, begins, *_, times in map(pickle.loads, own):
+            row = np.repeat(np.arange(len(times)), np.diff(begins, append=len(place)))
+            for lo in range(0, len(times), some):
+                cut, weight = slice(*np.searchsorted(row, [lo, lo + some])), times[lo : lo + some, None]
+                x = np.zeros((len(weight), features + 1))
+                x[row[cut] - lo, place[cut]], x[:, -1] = values[cut], 1.0
+                yield x.T @ (x * weight)
 
-    return _added(ready, run, features + 1)
+    return _added(blocks, run, (features + 1, features + 1))
 
 
 def fit(rows: DataFrame, labels: list[str], features: int, *, penalty: float = PENALTY, steps: int = 500, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights, a row per feature and the bias last, a column per label. rows: at, x, labels."""
-    ready, cores = distinct_rows(label_rows(rows, labels)), rows.sparkSession.sparkContext.defaultParallelism
-    if ready.rdd.getNumPartitions() < cores:  # every step runs over these parts
-        ready = ready.repartition(cores)
-    ready = ready.persist()
-    n = ready.agg(F.sum("times")).first()[0] or 0
-    w = np.zeros((features + 1, len(labels)))
+    return fit_ready(distinct_rows(label_rows(rows, labels)), len(labels), features, penalty=penalty, steps=steps, tolerance=tolerance)
+
+
+def fit_ready(ready: DataFrame, labels: int, features: int, *, penalty: float = PENALTY, steps: int = 500, tolerance: float = TOLERANCE) -> np.ndarray:
+    """The same of rows at, x, y (places in the label list) and times."""
+    blocks = _blocks(ready, features, labels)
+    n, w = float(blocks.map(lambda b: pickle.loads(b)[-1].sum()).sum()), np.zeros((features + 1, labels))
     if n and labels:
         shrink = np.full((features + 1, 1), penalty)
         shrink[-1] = 0.0
         if features <= OUTER:
-            inverse = np.linalg.pinv(outer_products(ready, features) / (4 * n) + np.diag(shrink[:, 0]))
+            inverse = np.linalg.pinv(outer_products(blocks, features) / (4 * n) + np.diag(shrink[:, 0]))
             move = lambda g: inverse @ g
         else:
-            most = (ready.select(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] + 1) / 4 + penalty
+            most = (blocks.map(pickle.loads).map(lambda b: float(np.add.reduceat(b[1] ** 2, b[2]).max())).max() + 1) / 4 + penalty
             move = lambda g: g / most
-        ahead, age, constant = w, np.zeros(len(labels)), None
+        ahead, age, constant = w, np.zeros(labels), None
         for _ in range(steps):
-            slope = gradients(ready, ahead)
+            slope = gradients(blocks, ahead)
             if constant is None:  # at weights of zero the bias's slope tells how many rows have the label
                 have = n / 2 - slope[-1]
                 constant = (have < 0.5) | (have > n - 0.5)
@@ -171,7 +192,7 @@ def fit(rows: DataFrame, labels: list[str], features: int, *, penalty: float = P
                 break
         if constant is not None:
             w[-1, constant] = share[constant]
-    ready.unpersist()
+    blocks.unpersist()
     return w
 
 

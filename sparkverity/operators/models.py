@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,21 +128,135 @@ def _sparse(ready: DataFrame, *keep: str) -> DataFrame:
     return ready.select(*keep, both.alias("_v")).select(*keep, "_v.at", "_v.x")
 
 
-def fit_text_labels(rows: DataFrame, labels: list[str], *, features: int = 5000, penalty: float = heads.PENALTY, steps: int = 100, tolerance: float = 2e-4) -> tuple[PipelineModel, DataFrame]:
-    """Uni- and bigrams weighted by inverse document frequency, texts of length one, a logistic head per label, all fitted in the same passes. rows: text, labels."""
-    prepare = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"\W+"), NGram(n=2, inputCol="_w", outputCol="_b"),
-        SQLTransformer(statement="SELECT *, concat(_w, _b) AS _t FROM __THIS__"), CountVectorizer(inputCol="_t", outputCol="_n", vocabSize=features),
-        IDF(inputCol="_n", outputCol="_i"), Normalizer(inputCol="_i", outputCol="vec"),
-    ]).fit(rows)
-    width = len(prepare.stages[3].vocabulary)
-    weights = heads.fit(_sparse(prepare.transform(rows), "labels"), labels, width, penalty=penalty, steps=steps, tolerance=tolerance)
-    return prepare, heads.as_rows(rows.sparkSession, weights, labels)
+@dataclass(frozen=True)
+class Weighting:
+    """Uni- and bigrams of texts, and what each of their occurrences weighs."""
 
+    grams: list[str]
+    idf: list[float]
 
-def text_label_scores(prepare: PipelineModel, head: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+
+#: Words whose grams are looked up at once.
+WORDS = 1 << 20
+
+
+def words(text: Column) -> Column:
+    """Runs of ASCII letters, digits and underscores of the lower-cased text; a null text has none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), "")
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch (words), some at a time."""
+    ends, lo = np.cumsum(batch.column("words").value_lengths().to_numpy()), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + WORDS, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _grams(piece: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """The row and the text of every word and every two neighbours."""
+    own = piece.column("words")
+    row, word = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy()), own.flatten()
+    if len(word) < 2:
+        return row, word
+    near = row[:-1] == row[1:]
+    both = pc.binary_join_element_wise(word[:-1], word[1:], " ").filter(pa.array(near))
+    return np.concatenate([row, row[:-1][near]]), pa.concat_arrays([word, both])
+
+
+def _counted(piece: pa.RecordBatch, grams: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, place and number of each gram of the list, by row and place."""
+    row, own = _grams(piece)
+    place = pc.index_in(own, value_set=grams)
+    known = place.is_valid().to_numpy(zero_copy_only=False)
+    key, n = np.unique(row[known] * len(grams) + place.filter(place.is_valid()).to_numpy(), return_counts=True)
+    return key // max(1, len(grams)), key % max(1, len(grams)), n
+
+
+def _weighed(row: np.ndarray, place: np.ndarray, n: np.ndarray, idf: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, place and value of what isn't zero, rows of length one."""
+    x = n * idf[place]
+    row, place, x = row[x != 0], place[x != 0], x[x != 0]
+    return row, place, x / np.sqrt(np.bincount(row, x * x, n_rows))[row]
+
+
+def _lists(row: np.ndarray, n_rows: int, *values: np.ndarray) -> list[pa.Array]:
+    """Values in order of rows as a list a row."""
+    ends = pa.array(np.searchsorted(row, np.arange(n_rows + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
+
+
+def common_grams(rows: DataFrame, most: int) -> list[str]:
+    """The most frequent uni- and bigrams of words, of equally frequent ones those first in the alphabet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                found = _grams(piece)[1].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["gram", "n"])
+
+    counts = rows.select("words").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return [r.gram for r in counts.orderBy(F.desc("n"), "gram").limit(most).collect()]
+
+
+def _equal_counts(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """at, n, y and times: rows (words, y) whose grams of the list are equally many, and their labels the same, are one."""
+    sent = rows.sparkSession.sparkContext.broadcast(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value, pa.string())
+        for batch in batches:
+            for piece in _pieces(batch):
+                row, place, n = _counted(piece, known)
+                yield pa.RecordBatch.from_arrays([*_lists(row, len(piece), place.astype(np.int32), n.astype(np.int32)), piece.column("y")], names=["at", "n", "y"])
+
+    return rows.select("words", "y").mapInArrow(run, "at array<int>, n array<int>, y array<int>").groupBy("at", "n", "y").agg(F.count("*").alias("times"))
+
+
+def fit_text_labels(rows: DataFrame, labels: list[str], *, features: int = 5000, penalty: float = heads.PENALTY, steps: int = 100, tolerance: float = 2e-4) -> tuple[Weighting, DataFrame]:
+    """Uni- and bigrams weighted by inverse document frequency, texts of length one, a logistic head per label, all fitted in the same passes. rows: text, labels.
+
+    One pass counts the grams, a second brings rows of equal counts together; what follows goes over those."""
+    spark, own = rows.sparkSession, rows.select(words(F.col("text")).alias("words"), heads.label_places(labels).alias("y"))
+    grams = common_grams(own, features)
+    counted = _equal_counts(own, grams).persist(StorageLevel.MEMORY_AND_DISK)
+    texts = counted.agg(F.sum("times")).first()[0] or 0
+    holding = {r.at: r.n for r in counted.select(F.explode("at").alias("at"), "times").groupBy("at").agg(F.sum("times").alias("n")).collect()}
+    idf = [math.log((texts + 1) / (holding.get(k, 0) + 1)) for k in range(len(grams))]
+    sent = spark.sparkContext.broadcast(np.array(idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n_rows = batch.column("at"), batch.num_rows
+            row, place, x = _weighed(np.repeat(np.arange(n_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy(), batch.column("n").flatten().to_numpy(), sent.value, n_rows)
+            yield pa.RecordBatch.from_arrays([*_lists(row, n_rows, place, x), batch.column("y"), batch.column("times")], names=["at", "x", "y", "times"])
+
+    ready = counted.mapInArrow(run, "at array<int>, x array<double>, y array<int>, times bigint").where("size(x) > 0")
+    weights = heads.fit_ready(ready, len(labels), len(grams), penalty=penalty, steps=steps, tolerance=tolerance)
+    counted.unpersist()
+    return Weighting(grams, idf), heads.as_rows(spark, weights, labels)
+
+
+def text_label_scores(prepare: Weighting, head: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """key, code and prob: a row per text and label."""
-    return heads.probabilities(_sparse(prepare.transform(rows), key), head.collect(), key)
+    fitted = head.collect()
+    names = [h.label for h in fitted]
+    weights = np.array([[*h.weights, h.bias] for h in fitted]).T if fitted else np.zeros((len(prepare.grams) + 1, 0))
+    sent = rows.sparkSession.sparkContext.broadcast((prepare, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (weighting, w), known = sent.value, pa.array(sent.value[0].grams, pa.string())
+        idf = np.array(weighting.idf)
+        for batch in batches:
+            for piece in _pieces(batch):
+                p = 1 / (1 + np.exp(-heads.logits(*_weighed(*_counted(piece, known), idf, len(piece)), w, len(piece))))
+                ends = pa.array(np.arange(len(piece) + 1) * len(names), pa.int32())
+                yield pa.RecordBatch.from_arrays([piece.column(key), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=[key, "p"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    scored = rows.select(key, words(F.col("text")).alias("words")).mapInArrow(run, f"{key} {kind}, p array<double>")
+    return scored.select(key, F.posexplode("p").alias("_k", "prob")).select(key, F.get(F.array(*map(F.lit, names)).cast("array<string>"), F.col("_k")).alias("code"), "prob")
 
 
 def fit_head(rows: DataFrame, labels: list[str], *, steps: int = 500, penalty: float = heads.PENALTY) -> DataFrame:

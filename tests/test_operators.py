@@ -376,3 +376,74 @@ def test_equal_rows_are_fitted_once(spark):
         a, b = heads.fit(many, ["a", "b"], 10, steps=5), heads.fit(spread, ["a", "b"], 10, steps=5)
         heads.OUTER = old
         assert abs(a - b).max() < 1e-9 < abs(a).max()
+
+
+def _library_scores(rows, names, features):
+    """Probabilities of the text baseline with the library's own steps before the heads."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+
+    ready = Pipeline(stages=[
+        RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"\W+"), NGram(n=2, inputCol="_w", outputCol="_b"),
+        SQLTransformer(statement="SELECT *, concat(_w, _b) AS _t FROM __THIS__"), CountVectorizer(inputCol="_t", outputCol="_n", vocabSize=features),
+        IDF(inputCol="_n", outputCol="_i"), Normalizer(inputCol="_i", outputCol="vec"),
+    ]).fit(rows)
+    sparse = M._sparse(ready.transform(rows), "id", "labels").persist()
+    weights = heads.fit(sparse, names, len(ready.stages[3].vocabulary), steps=100, tolerance=2e-4)
+    return {(r.id, r.code): r.prob for r in heads.probabilities(sparse, heads.as_rows(rows.sparkSession, weights, names).collect(), "id").collect()}
+
+
+def test_text_baseline_equals_the_library(spark):
+    """Few and many features, repeated words, texts without words, letters whose lower case differs, equal texts of other labels."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Sigmoid", "colon", "a-b_c", "LUNG", "10", "été"]) for _ in range(rng.randrange(12))) for _ in range(150)]
+    texts += ["", "  --", "İX Σας Kelvin", "one", "one"] + [" ".join(f"w{k % 700}x{k % 3}" for k in range(4000))]
+    names = ["a", "b", "c"]
+    rows = spark.createDataFrame([(k, t, [x for x in [*names, "other"] if x in t.lower() or k % 7 == 0]) for k, t in enumerate(texts)], "id long, text string, labels array<string>")
+    for some in (rows, rows.where("id < 150")):  # more than heads.OUTER features, and fewer
+        prepare, head = M.fit_text_labels(some, names, features=10_000)
+        assert (len(prepare.grams) > heads.OUTER) == (some is rows)
+        got = {(r.id, r.code): r.prob for r in M.text_label_scores(prepare, head, some, "id").collect()}
+        want = _library_scores(some, names, 10_000)
+        assert got.keys() == want.keys() and len(got) == 3 * some.count() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+
+
+def test_texts_are_read_once_for_words_once_for_rows(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = spark.range(400).selectExpr("id", "concat('text ', id % 9, ' of ', id) AS text", "array(cast(id % 2 AS string)) AS labels")
+    rows = made.mapInArrow(run, made.schema)
+    prepare, head = M.fit_text_labels(rows, ["0", "1"])
+    assert seen.value == 800
+    assert M.text_label_scores(prepare, head, rows, "id").count() == 800 and seen.value == 1200
+
+
+def test_grams_of_a_tie_do_not_rest_on_partitions(spark):
+    words = [f"w{k:03d}" for k in range(300)]
+    for parts in (2, 5):
+        random.Random(parts).shuffle(words)
+        rows = spark.createDataFrame([(w, [w]) for w in [*words, "z z", None]], "text string, labels array<string>").repartition(parts)
+        prepare, _ = M.fit_text_labels(rows, ["w001"], features=12, steps=1)
+        assert prepare.grams == ["z", *(f"w{k:03d}" for k in range(10)), "w010"] and abs(prepare.idf[0] - math.log(303 / 2)) < 1e-12
+
+
+def test_many_tasks_sums_are_added_in_a_tree(spark):
+    rows = spark.createDataFrame([([k % 5], [1.0], ["a"] if k % 3 else ["b"]) for k in range(90)], "at array<int>, x array<double>, labels array<string>")
+    whole = heads.fit(rows, ["a", "b"], 5, steps=5)
+    heads.DIRECT, old = 0, heads.DIRECT
+    tree = heads.fit(rows.repartition(9), ["a", "b"], 5, steps=5)
+    heads.DIRECT = old
+    assert abs(whole - tree).max() < 1e-12 < abs(whole).max()
+
+
+def test_text_baseline_without_words_or_labels(spark):
+    schema = "id long, text string, labels array<string>"
+    for rows, names in ([(1, " ", ["a"]), (2, None, None)], ["a"]), ([(1, "one two", ["a"])], []), ([], ["a"]):
+        some = spark.createDataFrame(rows, schema)
+        prepare, head = M.fit_text_labels(some, names)
+        assert {(r.id, r.code, r.prob) for r in M.text_label_scores(prepare, head, some, "id").collect()} == {(r[0], x, 0.5) for r in rows for x in names}
