@@ -136,28 +136,30 @@ class Weighting:
     idf: list[float]
 
 
-#: Words whose grams are looked up at once.
-WORDS = 1 << 20
+#: Bytes of text that are split at once.
+BYTES = 1 << 23
 
 
-def words(text: Column) -> Column:
-    """Runs of ASCII letters, digits and underscores of the lower-cased text; a null text has none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), "")
+def _lowered(rows: DataFrame, *keep: Column) -> DataFrame:
+    """text in lower case, a null one empty, and what is kept."""
+    return rows.select(F.lower(F.coalesce("text", F.lit(""))).alias("text"), *keep)
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch (words), some at a time."""
-    ends, lo = np.cumsum(batch.column("words").value_lengths().to_numpy()), 0
+    """Rows of a batch, some at a time."""
+    ends, lo = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64), 0
     while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + WORDS, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, side="right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
 
 
 def _grams(piece: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
-    """The row and the text of every word and every two neighbours."""
-    own = piece.column("words")
+    """The row and the text of every word (a run of ASCII letters, digits and underscores) and every two neighbours."""
+    own = pc.split_pattern_regex(piece.column("text"), r"\W+")
     row, word = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy()), own.flatten()
+    full = pc.not_equal(word, "")
+    row, word = row[full.to_numpy(zero_copy_only=False)], word.filter(full)
     if len(word) < 2:
         return row, word
     near = row[:-1] == row[1:]
@@ -188,7 +190,7 @@ def _lists(row: np.ndarray, n_rows: int, *values: np.ndarray) -> list[pa.Array]:
 
 
 def common_grams(rows: DataFrame, most: int) -> list[str]:
-    """The most frequent uni- and bigrams of words, of equally frequent ones those first in the alphabet."""
+    """The most frequent uni- and bigrams of texts in lower case, of equally frequent ones those first in the alphabet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,12 +198,12 @@ def common_grams(rows: DataFrame, most: int) -> list[str]:
                 found = _grams(piece)[1].value_counts()
                 yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["gram", "n"])
 
-    counts = rows.select("words").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     return [r.gram for r in counts.orderBy(F.desc("n"), "gram").limit(most).collect()]
 
 
 def _equal_counts(rows: DataFrame, grams: list[str]) -> DataFrame:
-    """at, n, y and times: rows (words, y) whose grams of the list are equally many, and their labels the same, are one."""
+    """at, n, y and times: rows (text, y) whose grams of the list are equally many, and their labels the same, are one."""
     sent = rows.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,14 +213,14 @@ def _equal_counts(rows: DataFrame, grams: list[str]) -> DataFrame:
                 row, place, n = _counted(piece, known)
                 yield pa.RecordBatch.from_arrays([*_lists(row, len(piece), place.astype(np.int32), n.astype(np.int32)), piece.column("y")], names=["at", "n", "y"])
 
-    return rows.select("words", "y").mapInArrow(run, "at array<int>, n array<int>, y array<int>").groupBy("at", "n", "y").agg(F.count("*").alias("times"))
+    return rows.select("text", "y").mapInArrow(run, "at array<int>, n array<int>, y array<int>").groupBy("at", "n", "y").agg(F.count("*").alias("times"))
 
 
 def fit_text_labels(rows: DataFrame, labels: list[str], *, features: int = 5000, penalty: float = heads.PENALTY, steps: int = 100, tolerance: float = 2e-4) -> tuple[Weighting, DataFrame]:
     """Uni- and bigrams weighted by inverse document frequency, texts of length one, a logistic head per label, all fitted in the same passes. rows: text, labels.
 
     One pass counts the grams, a second brings rows of equal counts together; what follows goes over those."""
-    spark, own = rows.sparkSession, rows.select(words(F.col("text")).alias("words"), heads.label_places(labels).alias("y"))
+    spark, own = rows.sparkSession, _lowered(rows, heads.label_places(labels).alias("y"))
     grams = common_grams(own, features)
     counted = _equal_counts(own, grams).persist(StorageLevel.MEMORY_AND_DISK)
     texts = counted.agg(F.sum("times")).first()[0] or 0
@@ -255,7 +257,7 @@ def text_label_scores(prepare: Weighting, head: DataFrame, rows: DataFrame, key:
                 yield pa.RecordBatch.from_arrays([piece.column(key), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=[key, "p"])
 
     kind = rows.schema[key].dataType.simpleString()
-    scored = rows.select(key, words(F.col("text")).alias("words")).mapInArrow(run, f"{key} {kind}, p array<double>")
+    scored = _lowered(rows, F.col(key)).mapInArrow(run, f"{key} {kind}, p array<double>")
     return scored.select(key, F.posexplode("p").alias("_k", "prob")).select(key, F.get(F.array(*map(F.lit, names)).cast("array<string>"), F.col("_k")).alias("code"), "prob")
 
 
